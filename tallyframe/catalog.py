@@ -21,6 +21,7 @@ from tallyframe.plans import (
     place_movement,
     places_build,
     reconciliation,
+    tables_build,
     tcp_places,
     vote_type_tables,
 )
@@ -62,7 +63,7 @@ def rounded(table: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def scan_results_csv(t: Inputs) -> DataFrame:
     root = shared_folder(t.spark, "first-prefs")
-    raw.land_first_prefs(t.cand, root, by_state=False)
+    raw.land(S.FIRST_PREFS_BY_PLACE, raw.first_prefs(t.cand), root)
     return result_files.scan_family(
         t.spark, root, S.FIRST_PREFS_BY_PLACE, S.TABLE_ELECTIONS["cand"], layout=raw.staged_path
     )
@@ -70,7 +71,7 @@ def scan_results_csv(t: Inputs) -> DataFrame:
 
 def scan_state_union(t: Inputs) -> DataFrame:
     root = shared_folder(t.spark, "first-prefs-by-state")
-    raw.land_first_prefs(t.cand, root, by_state=True)
+    raw.land(S.FIRST_PREFS_BY_PLACE, raw.first_prefs(t.cand), root, by_state=True)
     return result_files.scan_family(
         t.spark, root, S.FIRST_PREFS_BY_PLACE, S.TABLE_ELECTIONS["cand"],
         by_state=True, states=FIXTURE_STATES, layout=raw.staged_path,
@@ -78,10 +79,21 @@ def scan_state_union(t: Inputs) -> DataFrame:
 
 
 def election_registry(t: Inputs) -> DataFrame:
-    votes = registry.with_event_id(t.cand).groupBy("election", "event_id").agg(na_sum("votes").alias("votes"))
+    looked_up = t.cand.withColumn("event_id", registry.event_id_column())
+    votes = looked_up.groupBy("election", "event_id").agg(na_sum("votes").alias("votes"))
     return registry.elections_table(t.spark).join(votes, ["election", "event_id"], "left")
 
 
+def build_from_files(t: Inputs) -> DataFrame:
+    """Land every file family as CSV, then build the candidate table from the files alone."""
+    root = shared_folder(t.spark, "landed")
+    # Twelve families are written from two tables, so these are computed once.
+    store.write_tables({"cand": t.cand, "pp": t.pp}, f"{root}-source")
+    source = store.read_tables(t.spark, f"{root}-source", ("cand", "pp"))
+    raw.land_all(source["cand"], source["pp"], root)
+    return tables_build.build_tables(t.spark, root, FIXTURE_STATES, raw.staged_path)["cand"]
+
+
 def build_pp(t: Inputs) -> DataFrame:
     return places_build.build_pp(raw.places(t.pp), raw.tpp(t.pp))
 
@@ -175,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "election_registry": election_registry,
     "election_slice": lambda t: registry.election_slice({"cand": t.cand}, "cand", 2016),
     "election_slice_pp": lambda t: registry.election_slice({"pp": t.pp}, "pp", 2013),
+    "build_from_files": build_from_files,
     "build_pp": build_pp,
     "build_cand_base": build_cand_base,
     "build_cand_declaration": build_cand_declaration,

@@ -354,9 +354,13 @@ FROM declared""",
     )
 
 
+BUILT_CAND_2016 = built_cand(
+    "polling_place_id IN (SELECT polling_place_id FROM pp WHERE election = 2016 AND polling_place_type_id = '5')"
+)
+
 DIV = f"""
 nominated AS (
-  SELECT {DIVISION}, candidate_id, given_nm, surname, party_ab, elected, sum(votes) AS votes
+  SELECT {DIVISION}, candidate_id, given_nm, surname, party_ab, elected
   FROM cand WHERE candidate_id <> '999' GROUP BY ALL),
 div AS (
   SELECT n.election, n.division_id, n.state_ab, n.division_nm, CAST(count(*) AS VARCHAR) AS nominations,
@@ -366,7 +370,7 @@ div AS (
     max(party_ab) FILTER (WHERE elected = 'Y') AS elected_party,
     CASE WHEN CAST(division_id AS INTEGER) % 4 = 0 THEN 'XEN' END AS previous_party,
     CASE WHEN CAST(division_id AS INTEGER) % 4 = 0 THEN 1 END AS changed,
-    CASE WHEN max(votes) / sum(votes) > 0.25 THEN 'First' ELSE 'Preferences' END AS preferences,
+    CASE WHEN CAST(division_id AS INTEGER) % 3 = 0 THEN 'First' ELSE 'Preferences' END AS preferences,
     CASE WHEN CAST(division_id AS INTEGER) % 6 = 0 THEN 'GRN' END AS nonclassic_party1,
     CASE WHEN CAST(division_id AS INTEGER) % 6 = 0 THEN 'IND' END AS nonclassic_party2,
     CASE WHEN CAST(division_id AS INTEGER) % 6 = 0 THEN 1 END AS nonclassic
@@ -414,9 +418,8 @@ FROM cand WHERE type = 'Ordinary'"""
         CAND,
         DECLARED,
     ),
-    "build_cand": built_cand(
-        "polling_place_id IN (SELECT polling_place_id FROM pp WHERE election = 2016 AND polling_place_type_id = '5')"
-    ),
+    "build_from_files": BUILT_CAND_2016,
+    "build_cand": BUILT_CAND_2016,
     "build_cand_own_early": built_cand(
         "(election, polling_place_id) IN "
         "(SELECT (election, polling_place_id) FROM pp WHERE polling_place_type_id = '5')"

@@ -6,12 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe import schemas as S
-
-# Raw spelling of the first-preference columns, in file order.
-FIRST_PREFS_HEADER = [
-    "StateAb", "DivisionID", "DivisionNm", "PollingPlaceID", "PollingPlace", "CandidateID", "Surname", "GivenNm",
-    "BallotPosition", "Elected", "HistoricElected", "PartyAb", "PartyNm", "OrdinaryVotes", "Swing",
-]
+from tallyframe.sources.registry import event_id_column
+
+# Published spelling of the raw columns.
+PUBLISHED = {
+    "absent_votes": "AbsentVotes",
+    "australian_labor_party_percentage": "Australian Labor Party Percentage",
+    "australian_labor_party_votes": "Australian Labor Party Votes",
+    "ballot_position": "BallotPosition",
+    "candidate_id": "CandidateID",
+    "division_id": "DivisionID",
+    "division_nm": "DivisionNm",
+    "elected": "Elected",
+    "given_nm": "GivenNm",
+    "historic_elected": "HistoricElected",
+    "latitude": "Latitude",
+    "liberal_national_coalition_percentage": "Liberal/National Coalition Percentage",
+    "liberal_national_coalition_votes": "Liberal/National Coalition Votes",
+    "longitude": "Longitude",
+    "nominations": "Nominations",
+    "ordinary_votes": "OrdinaryVotes",
+    "party_ab": "PartyAb",
+    "party_ab1": "PartyAb1",
+    "party_ab2": "PartyAb2",
+    "party_nm": "PartyNm",
+    "polling_place": "PollingPlace",
+    "polling_place_id": "PollingPlaceID",
+    "polling_place_nm": "PollingPlaceNm",
+    "polling_place_type_id": "PollingPlaceTypeID",
+    "postal_votes": "PostalVotes",
+    "pre_poll_votes": "PrePollVotes",
+    "previous_party_ab": "PreviousPartyAb",
+    "provisional_votes": "ProvisionalVotes",
+    "state": "State",
+    "state_ab": "StateAb",
+    "surname": "Surname",
+    "swing": "Swing",
+    "total_votes": "TotalVotes",
+    "transaction_id": "TransactionId",
+}
 
 
 def _text(name: str) -> Column:
@@ -65,15 +98,17 @@ def tpp(pp: DataFrame) -> DataFrame:
 
 def division_files(cand: DataFrame) -> dict[str, DataFrame]:
     """The six files the division table is built from, as keyword arguments of ``build_div``."""
-    candidates = cand.where(F.col("candidate_id") != S.INFORMAL_CANDIDATE).groupBy(
-        *S.DIVISION_KEY, "candidate_id", "given_nm", "surname", "party_ab", "elected"
-    ).agg(F.sum("votes").alias("votes"))
+    candidates = (
+        cand.where(F.col("candidate_id") != S.INFORMAL_CANDIDATE)
+        .select(*S.DIVISION_KEY, "candidate_id", "given_nm", "surname", "party_ab", "elected")
+        .distinct()
+    )
     nominations = candidates.groupBy(*S.DIVISION_KEY).agg(
-        F.count(F.lit(1)).cast("string").alias("nominations"), F.max("votes").alias("top"), F.sum("votes").alias("all")
+        F.count(F.lit(1)).cast("string").alias("nominations")
     )
     key = ["election", "division_id"]
-    first = F.col("top") / F.col("all") > 0.25
     number = F.col("division_id").cast("int")
+    first = number % 3 == 0
     return {
         "nominations": nominations.select(F.lit("0").alias("transaction_id"), *S.DIVISION_KEY, "nominations"),
         "members_elected": candidates.where(F.col("elected") == "Y").select(
@@ -89,26 +124,26 @@ def division_files(cand: DataFrame) -> dict[str, DataFrame]:
 
 
 def staged_path(root: str, event: int, name: str) -> str:
-    """Layout of ``land_first_prefs``: one folder of part files per published file."""
+    """Layout of ``land``: one folder of part files per published file."""
     return f"{root}/event_id={event}/file={name}"
 
 
-def land_first_prefs(cand: DataFrame, root: str, by_state: bool) -> None:
-    """Write first preferences as banner-headed CSV, all elections and states in one distributed write.
+def land(family: str, frame: DataFrame, root: str, by_state: bool = False) -> None:
+    """Write one file family as banner-headed CSV, all elections (and states) in one distributed write.
 
-    Banner and header travel together as the CSV writer's own (two-line) header, so every part file starts with
+    Banner and header travel together as the CSV writer's own, two-line header, so every part file starts with
     both. The writer puts its quote character around a header of two lines; a tab there is whitespace to a reader.
     """
-    event = F.create_map(*[F.lit(v) for pair in S.EVENT_IDS.items() for v in pair])[F.col("election")]
-    parts = [F.lit(S.FIRST_PREFS_BY_PLACE), event.cast("string"), *([F.col("state_ab")] if by_state else [])]
-    raw = first_prefs(cand)
-    fields = [c for c in raw.columns if c != "election"]
+    event = event_id_column()
+    parts = [F.lit(family), event.cast("string"), *([F.col("state_ab")] if by_state else [])]
+    fields = [c for c in frame.columns if c != "election"]
     line = F.to_csv(F.struct(*[F.coalesce(F.col(c), F.lit("NA")).alias(c) for c in fields]), {"escape": '"'})
-    header = f"Election results, first preferences by place\n{','.join(FIRST_PREFS_HEADER)}"
+    header = f"Election results, {family}\n{','.join(PUBLISHED[c] for c in fields)}"
     (
-        raw.select(event.alias("event_id"), F.concat_ws("-", *parts).alias("file"), line.alias(header))
+        frame.select(event.alias("event_id"), F.concat_ws("-", *parts).alias("file"), line.alias(header))
         .hint("rebalance", F.col("event_id"), F.col("file"))
-        .write.partitionBy("event_id", "file")
+        .write.mode("append")
+        .partitionBy("event_id", "file")
         .option("header", True)
         .option("sep", "\u0001")
         .option("quote", "\t")
@@ -116,3 +151,23 @@ def land_first_prefs(cand: DataFrame, root: str, by_state: bool) -> None:
         .option("ignoreTrailingWhiteSpace", False)
         .csv(root)
     )
+
+
+def land_all(cand: DataFrame, pp: DataFrame, root: str) -> None:
+    """Every file family of every election, as a build from files expects them."""
+    division = division_files(cand)
+    for family, frame in {
+        S.POLLING_PLACES: places(pp),
+        S.TPP_BY_PLACE: tpp(pp),
+        S.TCP_BY_PLACE: tcp(cand),
+        S.FIRST_PREFS_BY_TYPE: first_prefs_by_type(cand),
+        S.TCP_BY_TYPE: tcp_by_type(cand),
+        S.NOMINATIONS: division["nominations"],
+        S.MEMBERS_ELECTED: division["members_elected"],
+        S.CHANGED_HANDS: division["changed_hands"],
+        S.DECIDED_ON_FIRST_PREFS: division["decided_on_first_prefs"],
+        S.DECIDED_ON_PREFS: division["decided_on_prefs"],
+        S.NON_CLASSIC: division["non_classic"],
+    }.items():
+        land(family, frame, root)
+    land(S.FIRST_PREFS_BY_PLACE, first_prefs(cand), root, by_state=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.schemas import EVENT_IDS, TABLE_ELECTIONS
@@ -14,8 +14,12 @@ def event_id(election: int) -> int:
     return EVENT_IDS[election]
 
 
+def _event_ids() -> Column:
+    return F.create_map(*[F.lit(value) for pair in EVENT_IDS.items() for value in pair])
+
+
 def elections_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(EVENT_IDS.items()), "election int, event_id int")
+    return spark.range(0, 1, 1, 1).select(F.explode(_event_ids()).alias("election", "event_id"))
 
 
 def elections_from(start: int, table: str = "cand") -> list[int]:
@@ -37,7 +41,6 @@ def election_slice(tables: dict[str, DataFrame], table: str, election: int) -> D
     return tables[table].where(F.col("election") == election)
 
 
-def with_event_id(table: DataFrame) -> DataFrame:
-    """Look up each row's event id. The registry is a literal, so the lookup is a map, not a join."""
-    pairs = [F.lit(value) for pair in EVENT_IDS.items() for value in pair]
-    return table.withColumn("event_id", F.try_element_at(F.create_map(*pairs), F.col("election")))
+def event_id_column() -> Column:
+    """Each row's event id by its election. The registry is a literal, so the lookup is a map, not a join."""
+    return F.try_element_at(_event_ids(), F.col("election"))

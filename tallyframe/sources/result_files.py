@@ -10,6 +10,7 @@ import csv
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,16 +57,26 @@ def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> Dat
     return rows.where(~is_header).select(*[text_field(name).alias(name) for name in names])
 
 
+def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, ...]]:
+    """Each path's header. The jobs are tiny and many, so they run side by side."""
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        return list(pool.map(lambda path: read_header(spark, path), paths))
+
+
+def _unite(scans: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+
+
 def scan_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """All rows of the given files as text, columns in snake case, missing columns NULL.
 
     Files with the same header are one scan; different headers are united by column name.
     """
+    paths = list(paths)
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in paths:
-        by_header[read_header(spark, path)].append(path)
-    scans = [_scan(spark, header, group) for header, group in by_header.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    for path, header in zip(paths, _headers(spark, paths)):
+        by_header[header].append(path)
+    return _unite([_scan(spark, header, same) for header, same in by_header.items()])
 
 
 def scan_family(
@@ -78,10 +89,15 @@ def scan_family(
     layout: Layout = landed_path,
 ) -> DataFrame:
     """A file family over several elections, tagged with ``election``; ``by_state`` unites the per-state files."""
-    scans = []
-    for election in elections:
-        event = event_id(election)
-        suffixes = [f"-{state}" for state in states] if by_state else [""]
-        paths = [layout(root, event, f"{family}-{event}{suffix}") for suffix in suffixes]
-        scans.append(scan_files(spark, paths).withColumn("election", F.lit(election)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    suffixes = [f"-{state}" for state in states] if by_state else [""]
+    names = [(election, event_id(election), suffix) for election in elections for suffix in suffixes]
+    paths = [layout(root, event, f"{family}-{event}{suffix}") for _, event, suffix in names]
+    scans: dict[tuple[int, tuple[str, ...]], list[str]] = defaultdict(list)
+    for (election, _, _), path, header in zip(names, paths, _headers(spark, paths)):
+        scans[election, header].append(path)
+    return _unite(
+        [
+            _scan(spark, header, same).withColumn("election", F.lit(election))
+            for (election, header), same in scans.items()
+        ]
+    )

@@ -1,0 +1,90 @@
+import math
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tallyframe.functions.missing import cell_sum, na_sum, number, percent_of, share, text_field, total_sum, zero_sum
+
+
+def column(spark, values, kind="double"):
+    return spark.createDataFrame([(v,) for v in values], f"x {kind}")
+
+
+def test_na_sum_is_missing_when_any_value_is(spark):
+    frame = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 2.0), ("b", 3.0), ("c", None)], "k string, x double")
+    sums = {r["k"]: r["s"] for r in frame.groupBy("k").agg(na_sum("x").alias("s")).collect()}
+    assert sums == {"a": None, "b": 5.0, "c": None}
+
+
+def test_cell_sum_is_missing_without_rows_and_total_sum_is_zero(spark):
+    frame = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, None)], "k int, x double")
+    row = frame.agg(
+        cell_sum("x", F.col("k") == 1).alias("present"), cell_sum("x", F.col("k") == 2).alias("gap"),
+        cell_sum("x", F.col("k") == 3).alias("absent"), total_sum("x", F.col("k") == 1).alias("total"),
+        total_sum("x", F.col("k") == 2).alias("total_gap"), total_sum("x", F.col("k") == 3).alias("total_none"),
+    ).first()
+    assert tuple(row) == (5.0, None, None, 5.0, None, 0.0)
+
+
+def test_cell_sum_in_a_pivot(spark):
+    frame = spark.createDataFrame([(1, "a", 2.0), (1, "a", None), (1, "b", 1.0), (2, "b", 4.0)], "k int, c string, x double")
+    pivoted = frame.groupBy("k").pivot("c", ["a", "b"]).agg(na_sum("x")).orderBy("k")
+    assert [tuple(r) for r in pivoted.collect()] == [(1, None, 1.0), (2, None, 4.0)]
+
+
+def test_zero_sum_skips_gaps(spark):
+    frame = column(spark, [1.0, None])
+    row = frame.agg(zero_sum("x").alias("a"), zero_sum("x", F.col("x") > 5).alias("b")).first()
+    assert tuple(row) == (1.0, 0.0)
+
+
+def test_share_is_missing_everywhere_when_one_value_is(spark):
+    frame = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 1.0), ("b", None), ("z", 0.0)], "k string, x double")
+    shares = sorted((r["k"], r["p"]) for r in frame.withColumn("p", share("x", ["k"])).collect() if r["k"] == "a")
+    assert shares == [("a", 25.0), ("a", 75.0)]
+    others = frame.where("k <> 'a'").withColumn("p", share("x", ["k"])).collect()
+    assert all(r["p"] is None for r in others)
+
+
+def test_share_over_some_rows_only(spark):
+    frame = spark.createDataFrame([("a", 1.0, False), ("a", 1.0, False), ("a", 2.0, True)], "k string, x double, t boolean")
+    shares = [r["p"] for r in frame.withColumn("p", share("x", ["k"], rows=~F.col("t"))).orderBy("t").collect()]
+    assert shares == [50.0, 50.0, None]
+
+
+def test_percent_of_zero_is_missing(spark):
+    frame = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0), (1.0, 4.0), (1.0, None)], "a double, b double")
+    assert [r["p"] for r in frame.select(percent_of("a", "b").alias("p")).collect()] == [None, None, 25.0, None]
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [("5", 5.0), (" 1.5 ", 1.5), ("1e3", 1000.0), ("-2", -2.0), ("", None), ("1,000", None), ("x", None), (None, None)],
+)
+def test_number(spark, text, value):
+    assert column(spark, [text], "string").select(number("x").alias("n")).first()["n"] == value
+
+
+def test_infinite_text_is_a_number(spark):
+    assert math.isinf(column(spark, ["Inf"], "string").select(number("x").alias("n")).first()["n"])
+
+
+def test_text_field(spark):
+    frame = column(spark, ["", None, "NA", "N", "na"], "string")
+    assert [r["f"] for r in frame.select(text_field("x").alias("f")).collect()] == ["", "", None, "N", "na"]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.integers(-50, 50).map(float))), min_size=1))
+def test_sums_agree_with_their_definition(spark, rows):
+    frame = spark.createDataFrame(rows, "k string, x double")
+    row = frame.agg(na_sum("x").alias("na"), zero_sum("x").alias("zero"), cell_sum("x", F.col("k") == "a").alias("a")).first()
+    values = [x for _, x in rows]
+    of_a = [x for k, x in rows if k == "a"]
+    assert row["na"] == (None if None in values else sum(values))
+    assert row["zero"] == sum(x for x in values if x is not None)
+    assert row["a"] == (None if None in of_a or not of_a else sum(of_a))
+
+
