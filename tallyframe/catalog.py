@@ -49,8 +49,14 @@ class Inputs:
         return derived.pp(self.spark, self.sf_dir)
 
     @property
-    def div(self) -> DataFrame:
-        return divisions_build.build_div(**raw.division_files(self.cand))
+    def divisions(self) -> DataFrame:
+        return derived.divisions(self.spark, self.sf_dir)
+
+    def stored(self, name: str) -> DataFrame:
+        """A table written to the shared folder and read back, for queries that read it several times."""
+        root = shared_folder(self.spark, "tables")
+        store.write_tables({name: getattr(self, name)}, root)
+        return store.read_tables(self.spark, root, (name,))[name]
 
 
 def rounded(table: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -87,10 +93,7 @@ def election_registry(t: Inputs) -> DataFrame:
 def build_from_files(t: Inputs) -> DataFrame:
     """Land every file family as CSV, then build the candidate table from the files alone."""
     root = shared_folder(t.spark, "landed")
-    # Twelve families are written from two tables, so these are computed once.
-    store.write_tables({"cand": t.cand, "pp": t.pp}, f"{root}-source")
-    source = store.read_tables(t.spark, f"{root}-source", ("cand", "pp"))
-    raw.land_all(source["cand"], source["pp"], root)
+    raw.land_all(t.stored("cand"), t.pp, t.divisions, root)
     return tables_build.build_tables(t.spark, root, FIXTURE_STATES, raw.staged_path)["cand"]
 
 
@@ -107,17 +110,23 @@ def build_cand_declaration(t: Inputs) -> DataFrame:
 
 
 def build_cand(t: Inputs, early_source_election: int | None = 2016) -> DataFrame:
-    cand = t.cand
+    cand = t.stored("cand")
     return candidates_build.build_cand(
         raw.first_prefs(cand), raw.tcp(cand), raw.first_prefs_by_type(cand), raw.tcp_by_type(cand), t.pp,
         early_source_election,
     )
 
 
+def build_div(t: Inputs) -> DataFrame:
+    return divisions_build.build_div(**raw.division_files(t.stored("cand"), t.divisions))
+
+
 def materialise_tables(t: Inputs) -> DataFrame:
     """Write the three tables, then count what came back per table and election."""
     root = shared_folder(t.spark, "tables")
-    store.write_tables({"cand": t.cand, "pp": t.pp, "div": t.div}, root)
+    store.write_tables({"cand": t.cand, "pp": t.pp}, root)
+    stored_cand = store.read_tables(t.spark, root, ("cand",))["cand"]
+    store.write_tables({"div": divisions_build.build_div(**raw.division_files(stored_cand, t.divisions))}, root)
     stored = store.read_tables(t.spark, root)
     measure = {"cand": "votes", "pp": "tpp_total_votes", "div": "changed"}
     counts = [
@@ -193,7 +202,7 @@ QUERIES: dict[str, Query] = {
     "build_cand_declaration": build_cand_declaration,
     "build_cand": build_cand,
     "build_cand_own_early": lambda t: build_cand(t, early_source_election=None),
-    "build_div": lambda t: t.div,
+    "build_div": build_div,
     "materialise_tables": materialise_tables,
     "agg_na_sum": agg_na_sum,
     "agg_sum_zero": agg_sum_zero,

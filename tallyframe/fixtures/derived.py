@@ -21,7 +21,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _read(spark, sf_dir, "nation")
     region = _read(spark, sf_dir, "region")
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
@@ -101,7 +101,7 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
         "type": F.when(F.col("is_ordinary"), ORDINARY).otherwise(DECLARATION),
         "informal": is_informal.cast("int"),
     }
-    return sums.join(_divisions(spark, sf_dir), "nation").withColumns(columns).select(*CAND_COLUMNS)
+    return sums.join(divisions(spark, sf_dir), "nation").withColumns(columns).select(*CAND_COLUMNS)
 
 
 def pp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,5 +146,5 @@ def pp(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tpp_total_votes": F.when(counted, coalition + alp),
         "tpp_swing": F.when(counted, (key % 101 - 50) / 10),
     }
-    joined = places.join(_divisions(spark, sf_dir), F.col("c_nationkey") == F.col("nation"))
+    joined = places.join(divisions(spark, sf_dir), F.col("c_nationkey") == F.col("nation"))
     return joined.withColumns(columns).select(*PP_COLUMNS)

@@ -96,28 +96,28 @@ def tpp(pp: DataFrame) -> DataFrame:
     return counted.select("election", "polling_place_id", *[_text(n).alias(raw) for raw, n in S.TPP_COLUMNS.items()])
 
 
-def division_files(cand: DataFrame) -> dict[str, DataFrame]:
+def division_files(cand: DataFrame, divisions: DataFrame) -> dict[str, DataFrame]:
     """The six files the division table is built from, as keyword arguments of ``build_div``."""
     candidates = (
         cand.where(F.col("candidate_id") != S.INFORMAL_CANDIDATE)
         .select(*S.DIVISION_KEY, "candidate_id", "given_nm", "surname", "party_ab", "elected")
         .distinct()
     )
-    nominations = candidates.groupBy(*S.DIVISION_KEY).agg(
-        F.count(F.lit(1)).cast("string").alias("nominations")
-    )
+    nominations = candidates.groupBy(*S.DIVISION_KEY).agg(F.count(F.lit(1)).cast("string").alias("nominations"))
     key = ["election", "division_id"]
+    elections = F.array(*[F.lit(election) for election in S.TABLE_ELECTIONS["cand"]])
+    seats = divisions.withColumn("election", F.explode(elections))
     number = F.col("division_id").cast("int")
-    first = number % 3 == 0
+    on_first_prefs = number % 3 == 0
     return {
-        "nominations": nominations.select(F.lit("0").alias("transaction_id"), *S.DIVISION_KEY, "nominations"),
+        "nominations": nominations.withColumn("transaction_id", F.lit("0")),
         "members_elected": candidates.where(F.col("elected") == "Y").select(
             *key, "candidate_id", "given_nm", "surname", "party_ab"
         ),
-        "changed_hands": nominations.where(number % 4 == 0).select(*key, F.lit("XEN").alias("previous_party_ab")),
-        "decided_on_first_prefs": nominations.where(first).select(*key),
-        "decided_on_prefs": nominations.where(~first).select(*key),
-        "non_classic": nominations.where(number % 6 == 0).select(
+        "changed_hands": seats.where(number % 4 == 0).select(*key, F.lit("XEN").alias("previous_party_ab")),
+        "decided_on_first_prefs": seats.where(on_first_prefs).select(*key),
+        "decided_on_prefs": seats.where(~on_first_prefs).select(*key),
+        "non_classic": seats.where(number % 6 == 0).select(
             *key, F.lit("GRN").alias("party_ab1"), F.lit("IND").alias("party_ab2")
         ),
     }
@@ -153,9 +153,9 @@ def land(family: str, frame: DataFrame, root: str, by_state: bool = False) -> No
     )
 
 
-def land_all(cand: DataFrame, pp: DataFrame, root: str) -> None:
+def land_all(cand: DataFrame, pp: DataFrame, divisions: DataFrame, root: str) -> None:
     """Every file family of every election, as a build from files expects them."""
-    division = division_files(cand)
+    division = division_files(cand, divisions)
     for family, frame in {
         S.POLLING_PLACES: places(pp),
         S.TPP_BY_PLACE: tpp(pp),

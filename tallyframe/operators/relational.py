@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.missing import na_sum, share
+from tallyframe.functions.missing import na_sum, share, zero_sum
 
 
 def restrict(
@@ -66,18 +66,17 @@ def pivot_sum(rows: DataFrame, by: list[str], column: str, values: list[str], me
 def rollup_geo(rows: DataFrame, measures: list[str], place: list[str]) -> DataFrame:
     """Totals (missing skipped) per polling place, division, state and nation, told apart by ``level``.
 
-    Rows are first summed to places; only that much smaller result is expanded into the four levels.
+    Each level is summed from the one below, so rows are read and shuffled once; both branches of the union share
+    that shuffle.
     """
     nation = ["election"]
     state = [*nation, "state_ab"]
     division = [*state, "division_id", "division_nm"]
-    finest = [*division, *place]
-    sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in measures]
-    places = rows.groupBy(*finest).agg(*sums)
+    sums = [zero_sum(c).alias(c) for c in measures]
     level = (
-        F.when(F.grouping("state_ab") == 1, "nation")
-        .when(F.grouping("division_id") == 1, "state")
-        .when(F.grouping(place[0]) == 1, "division")
-        .otherwise("place")
+        F.when(F.grouping("state_ab") == 1, "nation").when(F.grouping("division_id") == 1, "state").otherwise("division")
     )
-    return places.groupingSets([finest, division, state, nation], *finest).agg(level.alias("level"), *sums)
+    places = rows.groupBy(*division, *place).agg(*sums)
+    divisions = places.groupBy(*division).agg(*sums)
+    upper = divisions.groupingSets([division, state, nation], *division).agg(level.alias("level"), *sums)
+    return places.withColumn("level", F.lit("place")).unionByName(upper, allowMissingColumns=True)

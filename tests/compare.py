@@ -23,13 +23,10 @@ def kind(type_name: str) -> str:
     return "int" if type_name in NUMERIC else KINDS.get(type_name, type_name)
 
 
-def _sortable(row: list) -> list[str]:
-    return [repr(0.0 if value == 0 and isinstance(value, float) else value) for value in row]
-
-
 def canonical(rows: list[list]) -> list[list[str]]:
+    """Rows as text in a fixed order. Exact to the last digit, and to the sign of a zero."""
     assert not any(isinstance(v, float) and math.isnan(v) for row in rows for v in row)
-    return sorted(_sortable(row) for row in rows)
+    return sorted([repr(value) for value in row] for row in rows)
 
 
 def spark_result(df: DataFrame) -> tuple[dict[str, str], list[list[str]]]:
