@@ -1,7 +1,7 @@
 """Time every query end to end, from the given Parquet tables to its last row, and print one JSON line.
 
 Environment: BENCH_SF_DIR (tables), BENCH_CPUS (cores), BENCH_RUNS (warm runs per query, default 3),
-BENCH_QUERIES (comma-separated names, default all).
+BENCH_QUERIES (comma-separated names or "all", default the headline queries).
 """
 
 from __future__ import annotations
@@ -15,6 +15,13 @@ import time
 from tallyframe.catalog import queries
 from tallyframe.session import local_session
 
+HEADLINE = [
+    "div_votes_by_type", "div_table", "div_table_informal", "div_summary", "div_tcp", "div_tcp_percent", "div_pp_tcp",
+    "pp_by_party", "pp_party_groups", "pp_by_party_percent", "div_by_party", "nat_type_by_year",
+    "state_primary_by_group", "nat_primary_by_year", "pp_distance", "pp_geocode_changes", "pp_tcp_swing",
+    "rollup_geo", "check_division_totals", "build_cand", "scan_state_union", "materialise_tables",
+]
+
 
 def run(query, spark, sf_dir: str) -> float:
     start = time.perf_counter()
@@ -27,7 +34,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     catalog = queries()
-    names = [name for name in os.environ.get("BENCH_QUERIES", "").split(",") if name] or list(catalog)
+    chosen = os.environ.get("BENCH_QUERIES", "")
+    names = list(catalog) if chosen == "all" else [name for name in chosen.split(",") if name] or HEADLINE
 
     spark = local_session(cpus)
     spark.sparkContext.setLogLevel("ERROR")

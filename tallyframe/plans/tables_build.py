@@ -14,12 +14,27 @@ from tallyframe.sources.result_files import Layout, landed_path, scan_family
 
 
 def build_tables(
-    spark: SparkSession, root: str, states: Iterable[str] = S.STATES, layout: Layout = landed_path
+    spark: SparkSession,
+    root: str,
+    states: Iterable[str] = S.STATES,
+    layout: Layout = landed_path,
+    elections: Iterable[int] | None = None,
+    early_source_election: int | None = 2016,
 ) -> dict[str, DataFrame]:
-    """``pp``, ``cand`` and ``div`` from the files under ``root``, for every election that has the table."""
+    """``pp``, ``cand`` and ``div`` from the files under ``root``.
+
+    Covers every election that has the table, or those of them in ``elections``. Pre-poll centres come from the
+    polling places of ``early_source_election``, which must then be among them; see ``mark_early``.
+    """
+    covered = {
+        table: [year for year in years if elections is None or year in set(elections)]
+        for table, years in S.TABLE_ELECTIONS.items()
+    }
+    if early_source_election is not None and early_source_election not in covered["pp"]:
+        raise ValueError(f"no polling places of {early_source_election} to tell pre-poll centres by")
 
     def scan(table: str, family: str, by_state: bool = False) -> DataFrame:
-        return scan_family(spark, root, family, S.TABLE_ELECTIONS[table], by_state, states, layout)
+        return scan_family(spark, root, family, covered[table], by_state, states, layout)
 
     pp = build_pp(scan("pp", S.POLLING_PLACES), scan("pp", S.TPP_BY_PLACE))
     cand = build_cand(
@@ -28,6 +43,7 @@ def build_tables(
         scan("cand", S.FIRST_PREFS_BY_TYPE),
         scan("cand", S.TCP_BY_TYPE),
         pp,
+        early_source_election,
     )
     div = build_div(
         nominations=scan("div", S.NOMINATIONS),

@@ -23,6 +23,22 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def cluster_settings(input_bytes: int, partition_bytes: int = 128 * 1024**2) -> dict[str, str]:
+    """SQL settings for a job that shuffles up to ``input_bytes``; pass them to the session builder.
+
+    Adaptive execution merges small shuffle partitions and splits skewed ones, but cannot split an evenly large
+    shuffle further, so the number to start from has to fit the data.
+    """
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(200, -(-input_bytes // partition_bytes))),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder path under ``spark.checkpoint.dir``; a temporary one only where no cluster names any."""
     root = spark.conf.get("spark.checkpoint.dir", None)

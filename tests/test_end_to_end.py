@@ -1,0 +1,101 @@
+"""Hand-written result files in the landed layout, through the build and the store to the reports."""
+
+import pytest
+
+import tallyframe as tf
+from frames import records
+from tallyframe.session import cluster_settings, shared_folder
+
+PERSON = "StateAb,DivisionID,DivisionNm,CandidateID,Surname,GivenNm,BallotPosition,Elected,HistoricElected,PartyAb,PartyNm"
+AT_PLACE = (
+    "StateAb,DivisionID,DivisionNm,PollingPlaceID,PollingPlace,CandidateID,Surname,GivenNm,BallotPosition,Elected,"
+    "HistoricElected,PartyAb,PartyNm,OrdinaryVotes,Swing"
+)
+TYPES = "AbsentVotes,ProvisionalVotes,PrePollVotes,PostalVotes"
+
+FILES = {
+    "GeneralPollingPlacesDownload": """State,DivisionID,DivisionNm,PollingPlaceID,PollingPlaceTypeID,PollingPlaceNm,Latitude,Longitude
+NSW,101,Alpha,11,1,Town Hall,-33.80,151.20
+NSW,101,Alpha,12,5,"Centre, East",,""",
+    "HouseTppByPollingPlaceDownload": """PollingPlaceID,Liberal/National Coalition Votes,Liberal/National Coalition Percentage,Australian Labor Party Votes,Australian Labor Party Percentage,TotalVotes,Swing
+11,40,40,60,60,100,1.5""",
+    "HouseStateFirstPrefsByPollingPlaceDownload-NSW": f"""{AT_PLACE}
+NSW,101,Alpha,11,Town Hall,1,O'HARA,Kim,1,Y,N,ALP,Labor,55,1.0
+NSW,101,Alpha,11,Town Hall,2,SMITH,Lee,2,N,Y,LP,Liberal,35,-1.0
+NSW,101,Alpha,11,Town Hall,999,Informal,Informal,999,N,N,,,10,0
+NSW,101,Alpha,12,"Centre, East",1,O'HARA,Kim,1,Y,N,ALP,Labor,5,0
+NSW,101,Alpha,12,"Centre, East",2,SMITH,Lee,2,N,Y,LP,Liberal,5,0
+NSW,101,Alpha,12,"Centre, East",999,Informal,Informal,999,N,N,,,0,0""",
+    "HouseTcpByCandidateByPollingPlaceDownload": """PollingPlaceID,CandidateID,OrdinaryVotes,Swing
+11,1,58,2.5
+11,2,32,-2.5
+12,1,5,0
+12,2,5,0""",
+    "HouseFirstPrefsByCandidateByVoteTypeDownload": f"""{PERSON},{TYPES}
+NSW,101,Alpha,1,O'HARA,Kim,1,Y,N,ALP,Labor,1,2,3,4
+NSW,101,Alpha,2,SMITH,Lee,2,N,Y,LP,Liberal,4,3,2,1
+NSW,101,Alpha,999,Informal,Informal,999,N,N,,,1,1,1,1""",
+    "HouseTcpByCandidateByVoteTypeDownload": f"""DivisionID,CandidateID,{TYPES}
+101,1,1,2,3,4
+101,2,4,3,2,1""",
+    "HouseNominationsByDivisionDownload": "TransactionId,DivisionId,StateAb,DivisionNm,Nominations\n9,101,NSW,Alpha,2",
+    "HouseMembersElectedDownload": "DivisionID,CandidateID,GivenNm,Surname,PartyAb\n101,1,Kim,O'HARA,ALP",
+    "HouseSeatsWhichChangedHandsDownload": "DivisionID,PreviousPartyAb\n101,LP",
+    "HouseSeatsDecidedOnFirstPrefsDownload": "DivisionID\n101",
+    "HouseSeatsDecidedOnPrefsDownload": "DivisionID\n999",
+    "HouseNonClassicDivisionsDownload": "DivisionId,PartyAb1,PartyAb2\n555,IND,GRN",
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("landed")
+    (root / "20499").mkdir()
+    for family, text in FILES.items():
+        name, _, state = family.partition("-")
+        path = root / "20499" / f"{name}-20499{'-' + state if state else ''}.csv"
+        path.write_text(f"2016 federal election, banner\n{text}\n")
+    stored = str(tmp_path_factory.mktemp("stored"))
+    tf.write_tables(tf.build_tables(spark, str(root), states=("NSW",), elections=[2016]), stored)
+    return tf.read_tables(spark, stored)
+
+
+def test_tables(tables):
+    assert {name: table.count() for name, table in tables.items()} == {"cand": 18, "pp": 2, "div": 1}
+    seat = records(tables["div"])[0]
+    assert (seat["elected_surname"], seat["previous_party"], seat["preferences"], seat["nonclassic"]) == (
+        "O'HARA", "LP", "First", None,
+    )
+    east = next(r for r in records(tables["pp"]) if r["polling_place_id"] == "12")
+    assert (east["polling_place_nm"], east["latitude"], east["tpp_total_votes"]) == ("Centre, East", "", None)
+
+
+def test_reports(tables):
+    cand = tables["cand"]
+    primary, tcp = tf.div_summary(cand, elections=[2016], divisions=["Alpha"])
+    rows = {r["surname"]: r for r in records(primary)}
+    assert (rows["O'HARA"]["ordinary"], rows["O'HARA"]["pre_poll_ordinary"], rows["O'HARA"]["total_votes"]) == (55.0, 5.0, 70.0)
+    assert (rows["O'HARA"]["percent"], rows["Formal"]["percent"]) == (58.33, 89.55)
+    assert rows["Total"]["total_votes"] == 134.0
+    assert {r["surname"]: r["ordinary"] for r in records(tcp)} == {"O'HARA": 64.44, "SMITH": 35.56}
+    nation = records(tf.nat_primary_by_year(cand, 2016))[0]
+    assert (nation["alp"], nation["coalition"], nation["others"], nation["informal"]) == (70.0, 50.0, 0.0, 14.0)
+
+
+def test_build_needs_the_places_that_mark_early_votes(spark, tmp_path):
+    with pytest.raises(ValueError, match="no polling places of 2016"):
+        tf.build_tables(spark, str(tmp_path), elections=[2013])
+
+
+def test_shared_folder_is_new_and_under_the_named_root(spark):
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(spark, "tables")
+    assert "/tallyframe/tables-" in folder
+    assert root is None or folder.startswith(root.rstrip("/"))
+    assert folder != shared_folder(spark, "tables")
+
+
+def test_cluster_settings_scale_with_the_input():
+    partitions = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert cluster_settings(1)[partitions] == "200"
+    assert cluster_settings(10 * 1024**4)[partitions] == str(10 * 1024**4 // (128 * 1024**2))
