@@ -443,8 +443,12 @@ FROM cand WHERE type = 'Ordinary'"""
         "FROM cand GROUP BY election, state_ab, party_ab"
     ),
     "pivot_votes_by_type": query(
-        f"""PIVOT (SELECT {DIVISION}, candidate_id, polling_place, votes FROM cand WHERE type = 'Declaration')
-ON polling_place IN ('Absent', 'Provisional', 'PrePollDeclaration', 'Postal') USING sum(votes)"""
+        "SELECT {keys}, {cells} FROM cand WHERE type = 'Declaration' GROUP BY {keys}".format(
+            keys=f"{DIVISION}, candidate_id",
+            cells=", ".join(
+                f"sum(votes) FILTER (WHERE polling_place = '{place}') AS \"{place}\"" for place in S.DECLARATION_TYPES
+            ),
+        )
     ),
     "pivot_votes_by_party": query(
         f"SELECT {PLACE}, {party_columns(FIXTURE_PARTIES, 'votes', False)} FROM cand GROUP BY {PLACE}"
@@ -484,9 +488,9 @@ FROM (SELECT *, TRY_CAST(latitude AS DOUBLE) AS lat, TRY_CAST(longitude AS DOUBL
     "div_pp_tcp_wide": query(
         f"""SELECT *, "ALP" + "LP" AS total, {pct('"ALP"', '("ALP" + "LP")')} AS "percent_ALP",
   {pct('"LP"', '("ALP" + "LP")')} AS "percent_LP"
-FROM (PIVOT (SELECT {DIVISION}, polling_place, party_ab, tcp_votes FROM cand
-             WHERE tcp_votes IS NOT NULL AND party_ab IN ('ALP', 'LP'))
-      ON party_ab IN ('ALP', 'LP') USING sum(tcp_votes))"""
+FROM (SELECT {DIVISION}, polling_place, sum(tcp_votes) FILTER (WHERE party_ab = 'ALP') AS "ALP",
+        sum(tcp_votes) FILTER (WHERE party_ab = 'LP') AS "LP"
+      FROM cand WHERE tcp_votes IS NOT NULL AND party_ab IN ('ALP', 'LP') GROUP BY {DIVISION}, polling_place)"""
     ),
     "div_summary": query(
         f"""SELECT {DIVISION}, surname, given_nm, party_ab, elected, historic_elected AS historic, {TWO_DIGITS},
