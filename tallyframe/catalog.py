@@ -102,11 +102,13 @@ def build_pp(t: Inputs) -> DataFrame:
 
 
 def build_cand_base(t: Inputs) -> DataFrame:
-    return candidates_build.build_cand_base(raw.first_prefs(t.cand), raw.tcp(t.cand))
+    cand = t.stored("cand")
+    return candidates_build.build_cand_base(raw.first_prefs(cand), raw.tcp(cand))
 
 
 def build_cand_declaration(t: Inputs) -> DataFrame:
-    return candidates_build.build_cand_declaration(raw.first_prefs_by_type(t.cand), raw.tcp_by_type(t.cand))
+    cand = t.stored("cand")
+    return candidates_build.build_cand_declaration(raw.first_prefs_by_type(cand), raw.tcp_by_type(cand))
 
 
 def build_cand(t: Inputs, early_source_election: int | None = 2016) -> DataFrame:
@@ -227,7 +229,7 @@ QUERIES: dict[str, Query] = {
     "pp_by_party_wide": lambda t: party_tables.pp_by_party_wide(t.cand, FIXTURE_PARTIES),
     "pp_by_party_percent": lambda t: rounded(party_tables.pp_by_party_percent(t.cand), "percent"),
     "pp_party_groups": lambda t: party_tables.pp_party_groups(t.cand),
-    "pp_party_groups_legacy": lambda t: party_tables.pp_party_groups(t.cand, legacy_formal=True),
+    "pp_party_groups_legacy": lambda t: party_tables.pp_party_groups(t.stored("cand"), legacy_formal=True),
     "pp_party_groups_pct": lambda t: rounded(party_tables.pp_party_groups_percent(t.cand), *S.PARTY_GROUPS),
     "div_by_party": lambda t: party_tables.div_by_party(t.cand),
     "div_party_groups": lambda t: party_tables.div_party_groups(t.cand),
@@ -256,8 +258,8 @@ QUERIES: dict[str, Query] = {
     "pp_distance_legacy": lambda t: rounded(place_movement.pp_distance(t.pp, EARLIER, LATER, legacy=True), "distance"),
     "pp_status_counts": lambda t: place_movement.pp_status_counts(t.pp, EARLIER, LATER),
     "pp_geocode_changes": lambda t: rounded(place_movement.pp_geocode_changes(t.pp, EARLIER, LATER), "distance"),
-    "pp_tcp_swing": lambda t: rounded(tcp_places.pp_tcp_swing(t.cand, EARLIER, LATER), "swing"),
-    "pp_tcp_swing_alp": lambda t: rounded(tcp_places.pp_tcp_swing(t.cand, EARLIER, LATER, "ALP"), "swing"),
+    "pp_tcp_swing": lambda t: rounded(tcp_places.pp_tcp_swing(t.stored("cand"), EARLIER, LATER), "swing"),
+    "pp_tcp_swing_alp": lambda t: rounded(tcp_places.pp_tcp_swing(t.stored("cand"), EARLIER, LATER, "ALP"), "swing"),
     "check_division_totals": lambda t: reconciliation.division_totals(t.cand, t.pp),
     "check_state_informal": lambda t: reconciliation.state_informal(t.cand),
     "check_candidate_type": lambda t: reconciliation.candidate_type(t.cand),

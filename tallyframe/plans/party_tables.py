@@ -11,7 +11,7 @@ from tallyframe.functions.missing import percent_of, share, zero_sum
 from tallyframe.functions.parties import in_coalition, party_label
 from tallyframe.operators.party_groups import group_percentages, sum_by_group
 from tallyframe.operators.relational import restrict
-from tallyframe.schemas import DIVISION_KEY, GROUP_MEASURES, INFORMAL, PARTY_GROUPS, PLACE_KEY
+from tallyframe.schemas import DIVISION_KEY, INFORMAL, PARTY_GROUPS, PLACE_KEY
 from tallyframe.sources.registry import elections_from
 
 Elections = Iterable[int] | None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.missing import cell_sum, percent_of
@@ -54,18 +54,21 @@ def pp_tcp_swing(
 ) -> DataFrame:
     """A party's percentage at the earlier election minus that at the later, for every place of the earlier one.
 
-    Next to it stands the published swing of the later election's winner at the place. Places are matched by
-    division and place name, so a repeated name pairs up as often as it repeats.
+    Next to it stands the published swing of the later election's winner at the place, once per row that has it.
+    Places are matched by division and place name; both elections come out of one pass.
     """
     key = ["division_nm", "polling_place"]
-    percent = cell_sum("percent", F.col("party_ab") == party)
+    at_earlier, at_later = F.col("election") == earlier, F.col("election") == later
 
-    def percent_at(election: int, name: str) -> DataFrame:
-        return div_pp_tcp(cand, [election], divisions).groupBy(*NAMED_PLACE).agg(percent.alias(name)).drop(
-            "election", "state_ab", "division_id"
-        )
+    def percent(rows: Column) -> Column:
+        return F.max(F.when(rows & (F.col("party_ab") == party), F.col("percent")))
 
+    swing = (
+        div_pp_tcp(cand, [earlier, later], divisions)
+        .groupBy(*key)
+        .agg((percent(at_earlier) - percent(at_later)).alias("swing"), F.count_if(at_earlier).alias("rows"))
+        .where(F.col("rows") > 0)
+        .drop("rows")
+    )
     winners = restrict(cand, [later], divisions).where(F.col("elected") == "Y").select(*key, "tcp_swing")
-    both = null_safe_join(percent_at(earlier, "percent_x"), percent_at(later, "percent_y"), key)
-    swing = both.withColumn("swing", F.col("percent_x") - F.col("percent_y")).drop("percent_x", "percent_y")
     return null_safe_join(swing, winners, key)

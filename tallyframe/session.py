@@ -34,6 +34,8 @@ def cluster_settings(input_bytes: int, partition_bytes: int = 128 * 1024**2) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        # A join hashes instead of sorting where every partition of one side turns out small enough.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(partition_bytes // 2),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(200, -(-input_bytes // partition_bytes))),
         "spark.sql.session.timeZone": "UTC",
     }
