@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe import schemas as S
 from tallyframe.sources.registry import event_id_column
 
-# Published spelling of the raw columns.
+# Published spelling of the raw columns.
 PUBLISHED = {
     "absent_votes": "AbsentVotes",
     "australian_labor_party_percentage": "Australian Labor Party Percentage",

@@ -59,8 +59,12 @@ def share(value: str | Column, over: WindowSpec | list[str], rows: Column | None
 
 
 def number(value: str | Column) -> Column:
-    """Text to double; text that is not a number becomes NULL instead of an error."""
-    return _column(value).try_cast("double")
+    """Text to double; text that is not a number becomes NULL instead of an error.
+
+    A cast would also take a type suffix (``1d``, ``2.5f``), which no result file means as a number.
+    """
+    value = _column(value)
+    return F.when(~value.rlike(r"[0-9.][dDfF]\s*$"), value.try_cast("double"))
 
 
 def text_field(value: str | Column) -> Column:

@@ -38,7 +38,7 @@ ORDINARY = "Ordinary"
 DECLARATION = "Declaration"
 INFORMAL = "Informal"
 
-# Elections up to this one have no separate pre-poll ordinary count.
+# --- Fixed value: elections up to this one have no separate pre-poll ordinary count -----------------------
 LAST_ELECTION_WITHOUT_PRE_POLL_ORDINARY = 2007
 
 # --- Fixed values: parties of the coalition, by the span of elections they hold for ---------------------
@@ -46,7 +46,7 @@ COALITION_BEFORE_2010 = ("LP", "NP", "CLP")
 COALITION_IN_2010 = ("LP", "NP", "LNQ", "CLP")
 COALITION_AFTER_2010 = ("LP", "NP", "LNP", "CLP")
 
-# A polling place that moved less than this many kilometres counts as unmoved.
+# --- Fixed values: a place that moved less than this counts as unmoved; the earth's mean radius ------------
 SAME_PLACE_KM = 0.2
 EARTH_RADIUS_KM = 6371.0
 
@@ -55,7 +55,7 @@ DIVISION_KEY = ["election", "state_ab", "division_id", "division_nm"]
 CANDIDATE_IDENTITY = ["surname", "given_nm", "party_ab", "elected", "historic_elected"]
 PLACE_KEY = [*DIVISION_KEY, "polling_place_id", "polling_place"]
 
-# Declaration vote type -> the column that holds it in the by-vote-type files.
+# --- Fixed values: declaration vote types, with the column that holds each in the by-vote-type files -------
 DECLARATION_TYPES = {
     "Absent": "absent_votes",
     "Provisional": "provisional_votes",
@@ -72,6 +72,7 @@ TYPE_MEASURES = [*TYPE_COLUMNS, "total_ordinary", "total_votes"]
 PARTY_GROUPS = ["coalition", "alp", "grn", "others"]
 GROUP_MEASURES = [*PARTY_GROUPS, "informal", "total_formal", "total_pp"]
 
+# --- Fixed values: two-party-preferred columns as published, and their names in the table ------------------
 TPP_COLUMNS = {
     "liberal_national_coalition_votes": "tpp_coalition_votes",
     "liberal_national_coalition_percentage": "tpp_coalition_percent",

@@ -61,7 +61,8 @@ def test_percent_of_zero_is_missing(spark):
 
 @pytest.mark.parametrize(
     ("text", "value"),
-    [("5", 5.0), (" 1.5 ", 1.5), ("1e3", 1000.0), ("-2", -2.0), ("", None), ("1,000", None), ("x", None), (None, None)],
+    [("5", 5.0), (" 1.5 ", 1.5), ("1e3", 1000.0), ("-2", -2.0), ("", None), ("1,000", None), ("x", None), ("1d", None),
+     ("2.5F ", None), (None, None)],
 )
 def test_number(spark, text, value):
     assert column(spark, [text], "string").select(number("x").alias("n")).first()["n"] == value
