@@ -11,7 +11,7 @@ from tallyframe.functions.missing import percent_of, share, zero_sum
 from tallyframe.functions.parties import in_coalition, party_label
 from tallyframe.operators.party_groups import group_percentages, sum_by_group
 from tallyframe.operators.relational import restrict
-from tallyframe.schemas import DIVISION_KEY, INFORMAL, PARTY_GROUPS, PLACE_KEY
+from tallyframe.schemas import DIVISION_KEY, INFORMAL, PARTY_GROUPS, PLACE_KEY, PLACE_SORT_KEY
 from tallyframe.sources.registry import elections_from
 
 Elections = Iterable[int] | None
@@ -36,7 +36,7 @@ def pp_by_party_percent(cand: DataFrame, elections: Elections = None, divisions:
     """``pp_by_party`` as percent of the place's formal votes, without informal votes."""
     votes = pp_by_party(cand, elections, divisions)
     formal = ~F.col("party_ab").eqNullSafe(INFORMAL)
-    return votes.where(formal).withColumn("percent", share("votes", PLACE_KEY)).drop("votes")
+    return votes.where(formal).withColumn("percent", share("votes", PLACE_SORT_KEY)).drop("votes")
 
 
 def div_by_party(cand: DataFrame, elections: Elections = None, divisions: Divisions = None) -> DataFrame:

@@ -25,7 +25,7 @@ def div_pp_tcp(
         .groupBy(*NAMED_PLACE, "party_ab")
         .agg(F.sum("tcp_votes").alias("votes"))
     )
-    of_place = Window.partitionBy(*NAMED_PLACE)
+    of_place = Window.partitionBy(*reversed(NAMED_PLACE))  # sorts on the most distinctive column first
     total = F.when(F.count(F.lit(1)).over(of_place) == 2, F.sum("votes").over(of_place))
     return votes.withColumn("total", total).withColumn("percent", percent_of("votes", "total"))
 

@@ -54,6 +54,10 @@ EARTH_RADIUS_KM = 6371.0
 DIVISION_KEY = ["election", "state_ab", "division_id", "division_nm"]
 CANDIDATE_IDENTITY = ["surname", "given_nm", "party_ab", "elected", "historic_elected"]
 PLACE_KEY = [*DIVISION_KEY, "polling_place_id", "polling_place"]
+# The same keys, most distinctive first: a sort on them seldom compares more than the first.
+PLACE_SORT_KEY = ["polling_place_id", "polling_place", "division_id", "election", "division_nm", "state_ab"]
+# How rows lie inside stored files, as far as a table has the columns.
+STORED_ORDER = ["election", "division_nm", "polling_place_id"]
 
 # --- Fixed values: declaration vote types, with the column that holds each in the by-vote-type files -------
 DECLARATION_TYPES = {
