@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection
 from functools import reduce
 from operator import and_
 
@@ -13,7 +13,7 @@ from tallyframe.functions.missing import na_sum, share, zero_sum
 
 
 def restrict(
-    table: DataFrame, elections: Iterable[int] | None = None, divisions: Iterable[str] | None = None
+    table: DataFrame, elections: Collection[int] | None = None, divisions: Collection[str] | None = None
 ) -> DataFrame:
     """Keep the given elections and division names. Both are plain predicates, so they reach the scan."""
     if elections is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +23,8 @@ from tallyframe.schemas import (
 DIVISION = ["election", "division_id"]
 TOTAL_LABELS = {"surname": "Total", "given_nm": "", "party_ab": ""}
 
-Elections = Iterable[int] | None
-Divisions = Iterable[str] | None
+Elections = Collection[int] | None
+Divisions = Collection[str] | None
 
 
 def _candidates(cand: DataFrame, elections: Elections, divisions: Divisions, measure: str = "votes") -> DataFrame:
@@ -34,36 +34,29 @@ def _candidates(cand: DataFrame, elections: Elections, divisions: Divisions, mea
 
 
 def _with_totals(candidates: DataFrame) -> DataFrame:
-    return with_total_row(candidates, DIVISION_KEY, TYPE_MEASURES, TOTAL_LABELS).withColumn(
-        "percent", share("total_votes", DIVISION, rows=~F.col("is_total"))
-    )
+    table = with_total_row(candidates, DIVISION_KEY, TYPE_MEASURES, TOTAL_LABELS)
+    table = table.withColumn("percent", share("total_votes", DIVISION, rows=~F.col("is_total")))
+    return table.select(*DIVISION_KEY, "candidate_id", *CANDIDATE_IDENTITY, *TYPE_MEASURES, "percent")
 
 
 def div_table(cand: DataFrame, elections: Elections = None, divisions: Divisions = None) -> DataFrame:
     """Votes by candidate and vote type with a total per division; ``percent`` counts informal votes in."""
-    table = _with_totals(_candidates(cand, elections, divisions))
-    return table.select(*DIVISION_KEY, "candidate_id", *CANDIDATE_IDENTITY, *TYPE_MEASURES, "percent")
+    return _with_totals(_candidates(cand, elections, divisions))
 
 
-def _tcp_with_totals(cand: DataFrame, elections: Elections, divisions: Divisions) -> DataFrame:
-    counted = cand.where(F.col("tcp_votes").isNotNull())
-    return _with_totals(_candidates(counted, elections, divisions, "tcp_votes"))
+def _tcp_candidates(cand: DataFrame, elections: Elections, divisions: Divisions) -> DataFrame:
+    return _candidates(cand.where(F.col("tcp_votes").isNotNull()), elections, divisions, "tcp_votes")
 
 
 def div_tcp(cand: DataFrame, elections: Elections = None, divisions: Divisions = None) -> DataFrame:
     """``div_table`` of the two-candidate-preferred count."""
-    table = _tcp_with_totals(cand, elections, divisions)
-    return table.select(*DIVISION_KEY, "candidate_id", *CANDIDATE_IDENTITY, *TYPE_MEASURES, "percent")
+    return _with_totals(_tcp_candidates(cand, elections, divisions))
 
 
 def div_tcp_percent(cand: DataFrame, elections: Elections = None, divisions: Divisions = None) -> DataFrame:
     """Each vote type of the two-candidate-preferred count as a percentage of its own total."""
-    counted = cand.where(F.col("tcp_votes").isNotNull())
-    candidates = _candidates(counted, elections, divisions, "tcp_votes")
-    measures = [*TYPE_COLUMNS, "total_votes"]
-    return candidates.select(
-        *DIVISION_KEY, *CANDIDATE_IDENTITY, *[share(c, DIVISION).alias(c) for c in measures]
-    )
+    shares = [share(c, DIVISION).alias(c) for c in [*TYPE_COLUMNS, "total_votes"]]
+    return _tcp_candidates(cand, elections, divisions).select(*DIVISION_KEY, *CANDIDATE_IDENTITY, *shares)
 
 
 def _summary_rows(candidates: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +14,8 @@ from tallyframe.operators.relational import restrict
 from tallyframe.schemas import DIVISION_KEY, INFORMAL, PARTY_GROUPS, PLACE_KEY, PLACE_SORT_KEY
 from tallyframe.sources.registry import elections_from
 
-Elections = Iterable[int] | None
-Divisions = Iterable[str] | None
+Elections = Collection[int] | None
+Divisions = Collection[str] | None
 
 
 def _labelled(cand: DataFrame, elections: Elections, divisions: Divisions) -> DataFrame:

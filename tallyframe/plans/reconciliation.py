@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +11,8 @@ from tallyframe.functions.missing import na_sum
 from tallyframe.operators.relational import null_safe_join, restrict
 from tallyframe.schemas import DECLARATION, DIVISION_KEY
 
-Elections = Iterable[int] | None
-Divisions = Iterable[str] | None
+Elections = Collection[int] | None
+Divisions = Collection[str] | None
 
 
 def division_candidate_totals(cand: DataFrame, elections: Elections = None) -> DataFrame:

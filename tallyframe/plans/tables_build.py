@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,9 +16,9 @@ from tallyframe.sources.result_files import Layout, landed_path, scan_family
 def build_tables(
     spark: SparkSession,
     root: str,
-    states: Iterable[str] = S.STATES,
+    states: Collection[str] = S.STATES,
     layout: Layout = landed_path,
-    elections: Iterable[int] | None = None,
+    elections: Collection[int] | None = None,
     early_source_election: int | None = 2016,
 ) -> dict[str, DataFrame]:
     """``pp``, ``cand`` and ``div`` from the files under ``root``.

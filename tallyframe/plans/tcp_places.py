@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ NAMED_PLACE = [*DIVISION_KEY, "polling_place"]
 
 
 def div_pp_tcp(
-    cand: DataFrame, elections: Iterable[int] | None = None, divisions: Iterable[str] | None = None
+    cand: DataFrame, elections: Collection[int] | None = None, divisions: Collection[str] | None = None
 ) -> DataFrame:
     """Votes by place and party, as rows. ``total`` and ``percent`` need both parties of the count at the place."""
     votes = (
@@ -33,8 +33,8 @@ def div_pp_tcp(
 def div_pp_tcp_wide(
     cand: DataFrame,
     parties: tuple[str, str],
-    elections: Iterable[int] | None = None,
-    divisions: Iterable[str] | None = None,
+    elections: Collection[int] | None = None,
+    divisions: Collection[str] | None = None,
 ) -> DataFrame:
     """One row per place, a vote and a percent column for each of two parties; one shuffle, no window."""
     first, second = parties
@@ -50,7 +50,7 @@ def div_pp_tcp_wide(
 
 
 def pp_tcp_swing(
-    cand: DataFrame, earlier: int, later: int, party: str = "LP", divisions: Iterable[str] | None = None
+    cand: DataFrame, earlier: int, later: int, party: str = "LP", divisions: Collection[str] | None = None
 ) -> DataFrame:
     """A party's percentage at the earlier election minus that at the later, for every place of the earlier one.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +16,8 @@ from tallyframe.sources.registry import elections_from
 
 def div_votes_by_type(
     cand: DataFrame,
-    elections: Iterable[int] | None = None,
-    divisions: Iterable[str] | None = None,
+    elections: Collection[int] | None = None,
+    divisions: Collection[str] | None = None,
     percentage: bool = False,
 ) -> DataFrame:
     """All votes of each division by vote type; with ``percentage``, as percent of the division's votes."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 import csv
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Collection, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -83,9 +83,9 @@ def scan_family(
     spark: SparkSession,
     root: str,
     family: str,
-    elections: Iterable[int],
+    elections: Collection[int],
     by_state: bool = False,
-    states: Iterable[str] = STATES,
+    states: Collection[str] = STATES,
     layout: Layout = landed_path,
 ) -> DataFrame:
     """A file family over several elections, tagged with ``election``; ``by_state`` unites the per-state files."""
