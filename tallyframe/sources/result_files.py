@@ -43,8 +43,18 @@ def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(name.strip() for name in next(csv.reader([starts[1].value])))
 
 
+def column_names(header: tuple[str, ...]) -> list[str]:
+    """Column names of a header: snake case, unnamed columns ``x``, repeats numbered."""
+    names: list[str] = []
+    for published in header:
+        base = snake_case(published) or "x"
+        repeats = sum(name == base or re.fullmatch(rf"{base}_\d+", name) is not None for name in names)
+        names.append(f"{base}_{repeats}" if base in names else base)
+    return names
+
+
 def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
-    names = [snake_case(name) for name in header]
+    names = column_names(header)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     rows = (
         spark.read.schema(schema)
@@ -53,7 +63,9 @@ def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> Dat
         .option("escape", '"')
         .csv(paths)
     )
-    is_header = F.coalesce(F.col(names[0]), F.lit("")) == header[0]
+    # The header line is the row that holds its own (first) column name.
+    own_name, named = next((name, column) for name, column in zip(header, names) if name)
+    is_header = F.coalesce(F.col(named), F.lit("")) == own_name
     return rows.where(~is_header).select(*[text_field(name).alias(name) for name in names])
 
 

@@ -47,6 +47,15 @@ def test_quotes_and_commas_inside_fields(spark, tmp_path):
     assert records(scan_files(spark, [path])) == [{"surname": 'O"Hara', "party_nm": "Greens, The"}]
 
 
+def test_unnamed_and_repeated_columns(spark, tmp_path):
+    path = write(tmp_path / "u.csv", "b\n,Swing,Swing,Votes,Swing\n,1,2,3,4\nz,5,6,7,8\n")
+    rows = sorted(records(scan_files(spark, [path])), key=lambda r: r["x"])
+    assert rows == [
+        {"x": "", "swing": "1", "swing_1": "2", "votes": "3", "swing_2": "4"},
+        {"x": "z", "swing": "5", "swing_1": "6", "votes": "7", "swing_2": "8"},
+    ]
+
+
 def test_file_without_header_is_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="no header"):
         read_header(spark, write(tmp_path / "short.csv", "only a banner\n"))
