@@ -23,11 +23,12 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
-def cluster_settings(input_bytes: int, partition_bytes: int = 128 * 1024**2) -> dict[str, str]:
+def cluster_settings(input_bytes: int, partition_bytes: int = 64 * 1024**2) -> dict[str, str]:
     """SQL settings for a job that shuffles up to ``input_bytes``; pass them to the session builder.
 
     Adaptive execution merges small shuffle partitions and splits skewed ones, but cannot split an evenly large
-    shuffle further, so the number to start from has to fit the data.
+    shuffle further, so the number to start from has to fit the data. Shuffled sums carry many repeated names and
+    grow several-fold when read back, so partitions larger than this spill.
     """
     return {
         "spark.sql.adaptive.enabled": "true",
@@ -35,7 +36,7 @@ def cluster_settings(input_bytes: int, partition_bytes: int = 128 * 1024**2) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
         # A join hashes instead of sorting where every partition of one side turns out small enough.
-        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(partition_bytes // 2),
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(partition_bytes),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(200, -(-input_bytes // partition_bytes))),
         "spark.sql.session.timeZone": "UTC",
     }

@@ -98,4 +98,4 @@ def test_shared_folder_is_new_and_under_the_named_root(spark):
 def test_cluster_settings_scale_with_the_input():
     partitions = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     assert cluster_settings(1)[partitions] == "200"
-    assert cluster_settings(10 * 1024**4)[partitions] == str(10 * 1024**4 // (128 * 1024**2))
+    assert cluster_settings(10 * 1024**4)[partitions] == str(10 * 1024**4 // (64 * 1024**2))
