@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
@@ -43,10 +47,47 @@ def cluster_settings(input_bytes: int, partition_bytes: int = 64 * 1024**2) -> d
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder path under ``spark.checkpoint.dir``; a temporary one only where no cluster names any."""
+    """A new folder path that driver and executors share; it is deleted when the driver ends.
+
+    The parent is ``spark.checkpoint.dir``, or the checkpoint folder set on the context. A temporary folder serves
+    only where neither names any and the master is local.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = context_dir.get() if context_dir.isDefined() else None
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        root = tempfile.mkdtemp(prefix="tallyframe-")
-    return f"{root.rstrip('/')}/tallyframe/{purpose}-{uuid.uuid4().hex}"
+        root = _local_root()
+    folder = f"{root.rstrip('/')}/tallyframe-{uuid.uuid4().hex}-{purpose}"
+    _made.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder))
+    return folder
+
+
+def stored(table: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """The table written to a new shared folder and read back: its lineage ends there, so a lost executor costs
+    no more than the stage that runs."""
+    folder = shared_folder(table.sparkSession, purpose)
+    table.write.partitionBy(*partition_by).parquet(folder)
+    return table.sparkSession.read.schema(table.schema).parquet(folder)
+
+
+_made: list[tuple] = []
+
+
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="tallyframe-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
+@atexit.register
+def remove_shared_folders() -> None:
+    """Delete every folder handed out so far. Tables read from them are gone afterwards."""
+    while _made:
+        jvm, conf, folder = _made.pop()
+        with contextlib.suppress(Exception):  # the JVM may have ended
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
