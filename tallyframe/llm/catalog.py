@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import near_dedup
+from tallyframe.llm import bpe, near_dedup, secrets
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
 }
 ORACLES: dict[str, str] = {}
