@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import bpe, near_dedup, secrets
+from tallyframe.llm import bpe, langid, near_dedup, quality, secrets, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_compression_toxicity": toxicity.op4_compression_toxicity,
+    "op6_ppm_language": langid.op6_ppm_language,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
 }
 ORACLES: dict[str, str] = {}
