@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import bpe, langid, near_dedup, quality, secrets, toxicity
+from tallyframe.llm import bpe, decontamination, langid, near_dedup, quality, secrets, topk_search, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_compression_toxicity": toxicity.op4_compression_toxicity,
+    "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op6_ppm_language": langid.op6_ppm_language,
+    "op7_block_topk_search": topk_search.op7_block_topk_search,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_block_topk_search": topk_search.ORACLE,
+}
