@@ -1,6 +1,6 @@
 """Exact top-k search by inner product with block-at-a-time pruning.
 
-Vectors lie in blocks of an id range. A query bounds each block by the sum over components of the most that the block's
+Vectors of a group lie in blocks by id. A query bounds each block by the sum over components of the most that the block's
 largest and smallest values allow, takes blocks from the highest bound down, scores a block through its forward index
 (the block's matrix), and stops once no bound reaches its k-th score.
 """
@@ -101,19 +101,17 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     Vectors of different lengths are filled up with zeros. No queries or no vectors give no rows.
 
-    Vectors are dealt into id ranges and queries into chunks, both of bounded size; every chunk meets every range once,
-    on the pair of their numbers. Each task yields k rows per query at most; the last step ranks those.
+    Vectors are dealt into groups and queries into chunks, both of bounded size, by hashed id; every chunk meets every
+    group once, on the pair of their numbers. Within a group blocks are ranges of ids. Each task yields k rows per query
+    at most; the last step ranks those.
     """
     n, n_queries = vectors.count(), queries.count()
     groups, chunks = max(1, -(-n // GROUP_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
-    # Ranges of about equal numbers of rows, whatever gaps the ids have.
-    cuts = vectors.approxQuantile("vec_id", [g / groups for g in range(1, groups)], 0.1 / groups) if groups > 1 else []
-    numbered = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    group = F.size(F.filter(numbered, lambda c: c < F.col("vec_id")))
+    group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
     dealt = vectors.select("vec_id", "v", group.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     asked = queries.select(
         "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("part"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"),
     )
     met = asked.groupBy("chunk", "part").cogroup(dealt.groupBy("chunk", "part"))
     found = met.applyInPandas(_searched(k), "query_id long, vec_id long, score long")
