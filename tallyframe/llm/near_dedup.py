@@ -19,6 +19,8 @@ SKETCH_SIZE = 256
 ROWS_PER_BAND = 6
 #: Members of a bucket that one task compares with each other at a time.
 CHUNK = 256
+#: Largest bitmap, in bits, sent to every executor to pick out documents.
+MAX_FILTER_BITS = 1 << 26
 
 
 def _sketched(words: int):
@@ -91,6 +93,40 @@ def _linked(percent: int):
     return run
 
 
+def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of at least the wanted documents.
+
+    Up to MAX_FILTER_BITS / 16 of them are picked out by a bitmap of hashed ids, so that texts are not shuffled; a
+    document let through by chance does no harm. More are picked out by a join.
+    """
+    schema = "node long, shingles array<long>"
+    n = wanted.count()
+    if 16 * n > MAX_FILTER_BITS:
+        return docs.join(wanted, "doc_id", "left_semi").mapInArrow(_shingled(words), schema)
+    bits = 1 << max(15, (16 * n).bit_length())
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("long")
+    rows = (
+        wanted.select(bit.alias("bit"))
+        .selectExpr("bit DIV 8 AS byte", "shiftleft(1, CAST(bit % 8 AS INT)) AS set")
+        .groupBy("byte")
+        .agg(F.bit_or("set").alias("set"))
+        .toArrow()
+    )
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
+    bitmap[rows["byte"].to_numpy()] = rows["set"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def picked():
+            for batch in batches:
+                at = batch.column("bit").to_numpy()
+                yield batch.filter(pa.array(shared.value[at >> 3] >> (at & 7) & 1 == 1))
+
+        return _shingled(words)(picked())
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).mapInArrow(run, schema)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -129,9 +165,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     pairs = stored(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    full = stored(
-        docs.join(wanted, "doc_id", "left_semi").mapInArrow(_shingled(words), "node long, shingles array<long>"), "shingles"
-    )
+    full = stored(_sets_of(docs, wanted, words), "shingles")
     of_a, of_b = full.toDF("a", "of_a"), full.toDF("b", "of_b")
     both = F.size(F.array_intersect("of_a", "of_b"))
     checked = pairs.join(of_b, "b").join(of_a, "a").where(
