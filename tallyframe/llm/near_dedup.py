@@ -69,6 +69,7 @@ def _linked(percent: int):
         nodes, side = block["node"].to_numpy(), block["side"].to_numpy()
         sets = [np.asarray(s, dtype=np.int64) for s in block["shingles"]]
         sizes = np.array([len(s) for s in sets])
+        _, group = np.unique(block["component"].to_numpy(), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), sizes)
         values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[column]
@@ -83,7 +84,8 @@ def _linked(percent: int):
         union = sizes[:, None] + sizes[None, :] - common
         similar = 100 * common >= percent * union
         similar &= (side[:, None] != side[None, :]) if (side > 0).any() else True
-        group, links = np.arange(len(sets)), []
+        similar &= group[:, None] != group[None, :]  # the rest is linked already
+        links = []
         for i, j in zip(*np.nonzero(np.triu(similar, 1))):
             if group[i] != group[j]:
                 group[group == group[j]] = group[i]
@@ -179,22 +181,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = stored(checked.select("a", "b"), "checked")
     found = components(links)
 
-    # Buckets whose members are still apart: every pair of members, in blocks.
+    # Buckets whose members are still apart: every pair of members, in blocks. Of buckets with the same members, one.
     placed = shared.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    apart = (
+        placed.groupBy("bucket", "size")
+        .agg(
+            F.min("component").alias("low"), F.max("component").alias("high"),
+            F.bit_xor(F.xxhash64("node")).alias("mark"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark2"),
+        )
+        .where("low < high")
+        .groupBy("size", "mark", "mark2")
+        .agg(F.min("bucket").alias("bucket"))
+    )
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     split = placed.join(apart.select("bucket"), "bucket").select(
-        "bucket", "node", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk")
+        "bucket", "node", "component", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk")
     )
     blocks = split.select(
-        "bucket", "node", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+        "bucket", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     ).select(
-        "bucket", "node", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
+        "bucket", "node", "component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
         F.when(F.col("chunk") > F.col("other"), 1).when(F.col("chunk") < F.col("other"), 0).otherwise(-1).alias("side"),
     )
     more = (
         blocks.join(full, "node")
-        .select("bucket", "low", "high", "node", "side", "shingles")
+        .select("bucket", "low", "high", "node", "component", "side", "shingles")
         .groupBy("bucket", "low", "high")
         .applyInPandas(_linked(percent), "a long, b long")
     )
