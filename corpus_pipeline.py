@@ -3,23 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyframe.llm import bpe, decontamination, quality, secrets
 from tallyframe.llm.batches import read_table
 from tallyframe.llm.near_dedup import near_duplicates
 from tallyframe.session import stored
 
-#: The stages change texts by trained models and tokenizers, which SQL cannot express.
+#: The stages rest on trained models, edit distances and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates (five words, 0.8) the document with the smallest doc_id stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on ``docs`` themselves, rejects go; so do null, empty and blank texts."""
+    return quality.keep_good(docs, quality.train(docs))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates (runs of five words, 0.8) the document with the smallest doc_id stays. Rows that
+    repeat a doc_id and its text become one; rows without doc_id stay."""
+    kept = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("times"))
+    kept = stored(kept.withColumnRenamed("doc_id", "kept_id"), "kept")
+
+    def those(rows: DataFrame) -> DataFrame:
+        return docs.join(rows, docs.doc_id.eqNullSafe(rows.kept_id), "left_semi")
+
+    once = F.col("kept_id").isNull() | (F.col("times") == 1)
+    return those(kept.where(once)).unionByName(those(kept.where(~once)).dropDuplicates(["doc_id", "text"]))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which an item of ``benchmark`` occurs go."""
+    return decontamination.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text becomes a mark; n_chars follows."""
+    return secrets.redact(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and digests of the ids and of the bytes they decode to."""
+    return bpe.round_trip(docs, with_ids=True)
 
 
 STAGES = [
-    ("near_dedup", near_dedup),
+    ("quality_classifier", quality_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("secret_scan", secrets_stage),
+    ("bpe_encoding", bpe_stage),
 ]
 
 

@@ -211,9 +211,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and
-    decoded_sha256 (of the bytes that the ids decode to)."""
+    decoded_sha256 (of the bytes that the ids decode to); and the ids themselves where asked for.
+
+    Nulls, empty texts and repeated rows are treated as by ``encode``.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,17 +225,19 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             for part in runs(batch, run_bytes=RUN_BYTES):
                 ids, at = own.encode(*flat(part.column("text")))
                 each = [ids[at[r] : at[r + 1]] for r in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(np.diff(at), pa.int64()),
-                        pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each]),
-                        pa.array([hashlib.sha256(own.decode(x).tobytes()).hexdigest() for x in each]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                columns = [
+                    part.column("doc_id"),
+                    pa.array(np.diff(at), pa.int64()),
+                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each]),
+                    pa.array([hashlib.sha256(own.decode(x).tobytes()).hexdigest() for x in each]),
+                ]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    return id_and_text(docs).mapInArrow(run, schema)
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import bpe, decontamination, langid, lm_scoring, near_dedup, quality, secrets, topk_search, toxicity
+from tallyframe.llm import bpe, decontamination, langid, lm_scoring, near_dedup, quality, secrets, substring_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_block_topk_search": topk_search.op7_block_topk_search,
     "op8_masked_lm_scoring": lm_scoring.op8_masked_lm_scoring,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
+    "op10_repeated_substrings": substring_dedup.op10_repeated_substrings,
 }
 ORACLES: dict[str, str] = {
     "op7_block_topk_search": topk_search.ORACLE,

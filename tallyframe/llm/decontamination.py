@@ -295,5 +295,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (text, ...) in which no item of ``benchmark`` occurs, with all their columns; see
+    ``contaminated``."""
+
+    def clean(items):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = items.value
+            for batch in batches:
+                for part in runs(batch, run_bytes=RUN_BYTES):
+                    data, offsets, _ = normalised(*flat(part.column("text")))
+                    kept = np.ones(part.num_rows, dtype=bool)
+                    kept[matches(own, data, offsets)[0]] = False
+                    yield part.filter(pa.array(kept))
+
+        return run
+
+    for items in _passes(benchmark):
+        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+    return docs
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

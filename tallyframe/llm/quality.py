@@ -196,6 +196,14 @@ def train(docs: DataFrame) -> Model | None:
     return Model(prior, rates, fit_linear(rows, targets))
 
 
+def scored(model: Model | None, measures: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """The linear scorer; 0 for texts without words."""
+    if model is None:
+        return np.zeros(len(shapes))
+    odds = features(measures, shapes) @ model.weights
+    return np.where(shapes.any(axis=1), 1 / (1 + np.exp(-np.clip(odds, -30, 30))), 0.0)
+
+
 def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, posterior (of the votes), score (of the linear scorer) and keep (score of 0.3 or more) of every row of
     ``docs`` (doc_id, text).
@@ -216,8 +224,7 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
                 else:
                     filled = shapes.any(axis=1)
                     believed = np.where(filled, posterior(digits(votes(measures)), own.prior, own.rates), 0.0)
-                    odds = features(measures, shapes) @ own.weights
-                    scores = np.where(filled, 1 / (1 + np.exp(-np.clip(odds, -30, 30))), 0.0)
+                    scores = scored(own, measures, shapes)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(believed), pa.array(scores), pa.array(scores >= LEAST_SCORE)],
                     names=["doc_id", "posterior", "score", "keep"],
@@ -226,6 +233,20 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, posterior double, score double, keep boolean")
 
 
+def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` (text, ...) that the scorer keeps, with all their columns; see ``score_quality``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for part in runs(batch):
+                measures, shapes = measured(*flat(part.column("text")))
+                yield part.filter(pa.array(scored(own, measures, shapes) >= LEAST_SCORE))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_quality(docs, train(docs))
