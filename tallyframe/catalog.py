@@ -29,7 +29,8 @@ from tallyframe.session import shared_folder
 from tallyframe.sources import registry, result_files, store
 
 FIXTURE_STATES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-FIXTURE_PARTIES = ["ALP", "CLP", "GRN", "IND", "LNP", "LNQ", "LP", "NP", "XEN"]
+FIXTURE_PARTIES = ["ALP", "CLP", "GRN", "HAN", "IND", "LNP", "LNQ", "LP", "NP", "XEN"]
+ONE_DIVISION = "NATION_1"
 EARLIER, LATER = 2013, 2016
 
 
@@ -52,13 +53,38 @@ class Inputs:
     def divisions(self) -> DataFrame:
         return derived.divisions(self.spark, self.sf_dir)
 
-    def stored(self, name: str) -> DataFrame:
-        """A table written to the shared folder and read back, for queries that read it several times."""
+    def stored(self, name: str, *elections: int) -> DataFrame:
+        """A table, or its rows of some elections, written to the shared folder and read back, for queries that read it
+        several times. The folder goes when the driver ends."""
         root = shared_folder(self.spark, "tables")
-        store.write_tables({name: getattr(self, name)}, root)
+        store.write_tables({name: rel.restrict(getattr(self, name), elections or None)}, root)
         return store.read_tables(self.spark, root, (name,))[name]
 
 
+@dataclass(frozen=True)
+class StoredInputs(Inputs):
+    """The same tables, derived and stored once beforehand: what a user of the library has."""
+
+    root: str
+
+    @classmethod
+    def write(cls, inputs: Inputs) -> StoredInputs:
+        root = shared_folder(inputs.spark, "tables")
+        store.write_tables({"cand": inputs.cand, "pp": inputs.pp}, root)
+        return cls(inputs.spark, inputs.sf_dir, root)
+
+    @property
+    def cand(self) -> DataFrame:
+        return store.read_tables(self.spark, self.root, ("cand",))["cand"]
+
+    @property
+    def pp(self) -> DataFrame:
+        return store.read_tables(self.spark, self.root, ("pp",))["pp"]
+
+    def stored(self, name: str, *elections: int) -> DataFrame:
+        return rel.restrict(getattr(self, name), elections or None)
+
+
 def rounded(table: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Percentages and distances, cut to digits that every engine agrees on."""
     return table.withColumns({c: F.round(c, digits) for c in columns})
@@ -162,7 +188,8 @@ def pivot_votes_by_type(t: Inputs) -> DataFrame:
 
 
 def pivot_votes_by_party(t: Inputs) -> DataFrame:
-    return rel.pivot_sum(t.cand, S.PLACE_KEY, "party_ab", FIXTURE_PARTIES, "votes")
+    names = {**{party: party for party in FIXTURE_PARTIES}, "": "blank"}
+    return rel.pivot_sum(t.cand, S.PLACE_KEY, "party_ab", names, "votes")
 
 
 def with_total_row(t: Inputs) -> DataFrame:
@@ -198,6 +225,7 @@ QUERIES: dict[str, Query] = {
     "election_registry": election_registry,
     "election_slice": lambda t: registry.election_slice({"cand": t.cand}, "cand", 2016),
     "election_slice_pp": lambda t: registry.election_slice({"pp": t.pp}, "pp", 2013),
+    "election_slice_div": lambda t: registry.election_slice({"div": build_div(t)}, "div", 2013),
     "build_from_files": build_from_files,
     "build_pp": build_pp,
     "build_cand_base": build_cand_base,
@@ -215,10 +243,15 @@ QUERIES: dict[str, Query] = {
     "rollup_geo": rollup_geo,
     "haversine_km": haversine,
     "div_table": lambda t: rounded(division_tables.div_table(t.cand), "percent"),
+    "div_table_one": lambda t: rounded(division_tables.div_table(t.stored("cand"), 2016, ONE_DIVISION), "percent"),
     "div_table_informal": lambda t: rounded(division_tables.div_table_informal(t.cand), "percent"),
     "div_tcp": lambda t: rounded(division_tables.div_tcp(t.cand), "percent"),
     "div_tcp_percent": lambda t: rounded(division_tables.div_tcp_percent(t.cand), *PERCENT_TYPES),
     "div_pp_tcp": lambda t: rounded(tcp_places.div_pp_tcp(t.cand), "percent"),
+    "div_pp_tcp_one": lambda t: rounded(tcp_places.div_pp_tcp(t.stored("cand"), 2016, ONE_DIVISION), "percent"),
+    "div_pp_tcp_pairs": lambda t: rounded(
+        tcp_places.div_pp_tcp_wide(t.stored("cand")), "percent_first", "percent_second"
+    ),
     "div_pp_tcp_wide": lambda t: rounded(
         tcp_places.div_pp_tcp_wide(t.cand, ("ALP", "LP")), "percent_ALP", "percent_LP"
     ),
@@ -228,11 +261,18 @@ QUERIES: dict[str, Query] = {
     "pp_by_party": lambda t: party_tables.pp_by_party(t.cand),
     "pp_by_party_wide": lambda t: party_tables.pp_by_party_wide(t.cand, FIXTURE_PARTIES),
     "pp_by_party_percent": lambda t: rounded(party_tables.pp_by_party_percent(t.cand), "percent"),
+    "pp_by_party_percent_legacy": lambda t: rounded(
+        party_tables.pp_by_party_percent(t.stored("cand"), legacy_formal=True), "percent"
+    ),
     "pp_party_groups": lambda t: party_tables.pp_party_groups(t.cand),
     "pp_party_groups_legacy": lambda t: party_tables.pp_party_groups(t.stored("cand"), legacy_formal=True),
+    "pp_party_groups_legacy_one": lambda t: party_tables.pp_party_groups(
+        t.stored("cand"), 2007, ONE_DIVISION, legacy_formal=True
+    ),
     "pp_party_groups_pct": lambda t: rounded(party_tables.pp_party_groups_percent(t.cand), *S.PARTY_GROUPS),
     "div_by_party": lambda t: party_tables.div_by_party(t.cand),
     "div_party_groups": lambda t: party_tables.div_party_groups(t.cand),
+    "div_party_groups_legacy": lambda t: party_tables.div_party_groups(t.stored("cand"), legacy_formal=True),
     "div_votes_by_type": lambda t: vote_type_tables.div_votes_by_type(t.cand),
     "div_votes_by_type_pct": lambda t: rounded(
         vote_type_tables.div_votes_by_type(t.cand, percentage=True), *S.TYPE_COLUMNS, "total_ordinary"
@@ -249,17 +289,27 @@ QUERIES: dict[str, Query] = {
     "state_primary_pct": lambda t: rounded(
         party_tables.state_primary_by_group(t.cand, percentage=True), *S.PARTY_GROUPS, "informal"
     ),
+    "state_primary_pct_legacy": lambda t: rounded(
+        party_tables.state_primary_by_group(t.stored("cand"), percentage=True, legacy_formal=True),
+        *S.PARTY_GROUPS, "informal",
+    ),
     "national_primary_by_group": lambda t: party_tables.state_primary_by_group(t.cand, national=True),
     "nat_primary_by_year": lambda t: party_tables.nat_primary_by_year(t.cand, 2007),
     "nat_primary_by_year_pct": lambda t: rounded(
         party_tables.nat_primary_by_year(t.cand, 2004, percentage=True), *S.PARTY_GROUPS, "informal"
     ),
+    "nat_primary_pct_legacy": lambda t: rounded(
+        party_tables.nat_primary_by_year(t.stored("cand"), 2004, percentage=True, legacy_formal=True),
+        *S.PARTY_GROUPS, "informal",
+    ),
     "pp_distance": lambda t: rounded(place_movement.pp_distance(t.pp, EARLIER, LATER), "distance"),
     "pp_distance_legacy": lambda t: rounded(place_movement.pp_distance(t.pp, EARLIER, LATER, legacy=True), "distance"),
     "pp_status_counts": lambda t: place_movement.pp_status_counts(t.pp, EARLIER, LATER),
     "pp_geocode_changes": lambda t: rounded(place_movement.pp_geocode_changes(t.pp, EARLIER, LATER), "distance"),
-    "pp_tcp_swing": lambda t: rounded(tcp_places.pp_tcp_swing(t.stored("cand"), EARLIER, LATER), "swing"),
-    "pp_tcp_swing_alp": lambda t: rounded(tcp_places.pp_tcp_swing(t.stored("cand"), EARLIER, LATER, "ALP"), "swing"),
+    "pp_tcp_swing": lambda t: rounded(tcp_places.pp_tcp_swing(t.stored("cand", EARLIER, LATER), EARLIER, LATER), "swing"),
+    "pp_tcp_swing_alp": lambda t: rounded(
+        tcp_places.pp_tcp_swing(t.stored("cand", EARLIER, LATER), EARLIER, LATER, "ALP"), "swing"
+    ),
     "check_division_totals": lambda t: reconciliation.division_totals(t.cand, t.pp),
     "check_state_informal": lambda t: reconciliation.state_informal(t.cand),
     "check_candidate_type": lambda t: reconciliation.candidate_type(t.cand),

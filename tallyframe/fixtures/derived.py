@@ -1,6 +1,6 @@
 """Election-shaped tables derived from the order tables that tests and benchmarks are given.
 
-Order years become elections, regions states, nations divisions, line numbers candidates (7 is informal), order
+Order years become elections (every fifth year the same one), regions states, nations divisions, line numbers candidates (7 is informal), order
 priorities vote types, customers polling places and quantities votes. Everything is computed from whole tables.
 """
 
@@ -52,8 +52,7 @@ def _second_party() -> Column:
 def _ballot_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: where and how its lines were voted."""
     date, priority = F.col("o_orderdate"), F.col("o_orderpriority")
-    first, last = F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("2000-01-01").cast("timestamp_ntz")
-    orders = _read(spark, sf_dir, "orders").where((date >= first) & (date < last))
+    orders = _read(spark, sf_dir, "orders")
     customers = _read(spark, sf_dir, "customer").drop("c_acctbal")
 
     is_ordinary = priority == "3-MEDIUM"
@@ -65,7 +64,7 @@ def _ballot_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey",
-        (2004 + 3 * (F.year(date) - 1995)).alias("election"),
+        (2004 + 3 * F.pmod(F.year(date) - 1995, F.lit(5))).cast("int").alias("election"),
         F.col("c_nationkey").alias("nation"),
         is_ordinary.alias("is_ordinary"),
         F.when(is_ordinary, F.col("c_custkey")).alias("place"),
@@ -92,7 +91,7 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot, is_informal = F.col("slot"), F.col("slot") == 7
     numbered = F.col("slot").cast("string")
     party = (
-        F.when(slot == 1, "ALP").when(slot == 2, _second_party()).when(slot == 3, "GRN").when(slot == 4, "XEN")
+        F.when(slot == 1, "ALP").when(slot == 2, _second_party()).when(slot == 3, "GRN").when(slot == 4, F.when(F.col("election") >= 2010, "XEN").otherwise("HAN"))
         .when(slot == 5, "IND").otherwise("")
     )
     is_tcp = slot <= 2

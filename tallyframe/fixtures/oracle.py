@@ -9,20 +9,19 @@ from tallyframe import schemas as S
 
 CAND = """
 base AS (
-  SELECT CASE year(o.o_orderdate) WHEN 1995 THEN 2004 WHEN 1996 THEN 2007 WHEN 1997 THEN 2010 WHEN 1998 THEN 2013
-              WHEN 1999 THEN 2016 END AS election,
+  SELECT CASE year(o.o_orderdate) % 5 WHEN 0 THEN 2004 WHEN 1 THEN 2007 WHEN 2 THEN 2010 WHEN 3 THEN 2013
+              WHEN 4 THEN 2016 END AS election,
     r.r_name AS state_ab, CAST(100 + n.n_nationkey AS VARCHAR) AS division_id, n.n_name AS division_nm,
     n.n_regionkey AS rk, n.n_nationkey AS nk, l.l_linenumber AS slot, c.c_custkey AS ck, c.c_name AS c_name,
     c.c_mktsegment AS seg, o.o_orderpriority AS prio, l.l_quantity AS q
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE year(o.o_orderdate) BETWEEN 1995 AND 1999),
+  JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
 mapped AS (
   SELECT election, state_ab, division_id, division_nm, nk, slot, q,
     CASE WHEN slot = 7 THEN '999' ELSE CAST((100 + nk) * 10 + slot AS VARCHAR) END AS candidate_id,
     CASE WHEN slot = 7 THEN 'Informal' ELSE concat('Surname', slot) END AS surname,
     CASE WHEN slot = 7 THEN 'Informal' ELSE concat('Given', slot) END AS given_nm,
-    CASE slot WHEN 1 THEN 'ALP' WHEN 3 THEN 'GRN' WHEN 4 THEN 'XEN' WHEN 5 THEN 'IND'
+    CASE slot WHEN 1 THEN 'ALP' WHEN 3 THEN 'GRN' WHEN 4 THEN CASE WHEN election >= 2010 THEN 'XEN' ELSE 'HAN' END WHEN 5 THEN 'IND'
       WHEN 2 THEN CASE rk WHEN 1 THEN 'NP' WHEN 3 THEN 'CLP'
         WHEN 2 THEN CASE WHEN election > 2010 THEN 'LNP' WHEN election = 2010 THEN 'LNQ' ELSE 'LP' END
         ELSE 'LP' END ELSE '' END AS party_ab,
@@ -147,10 +146,17 @@ FROM detail
 UNION ALL
 SELECT {DIVISION}, NULL, 'Total', '', '', NULL, NULL, {na_list(TYPES)}, NULL FROM detail GROUP BY {DIVISION}"""
 
+# A division with informal votes alone has 0 formal ones.
+FORMAL_TOTALS = ", ".join(
+    f"CASE WHEN count(*) FILTER (WHERE candidate_id <> '999') = count({c}) FILTER (WHERE candidate_id <> '999') "
+    f"THEN coalesce(sum({c}) FILTER (WHERE candidate_id <> '999'), 0) END AS {c}"
+    for c in TYPES
+)
+
 INFORMAL_ROWS = f"""
 formal_and_informal AS (
   SELECT {DIVISION}, NULL AS candidate_id, 'Formal' AS surname, '' AS given_nm, '' AS party_ab, NULL AS elected,
-    NULL AS historic_elected, {na_list(TYPES)} FROM detail WHERE candidate_id <> '999' GROUP BY {DIVISION}
+    NULL AS historic_elected, {FORMAL_TOTALS} FROM detail GROUP BY {DIVISION}
   UNION ALL
   SELECT {DIVISION}, candidate_id, surname, '', party_ab, elected, historic_elected, {TYPE_LIST}
   FROM detail WHERE candidate_id = '999'),
@@ -376,7 +382,32 @@ div AS (
     CASE WHEN CAST(division_id AS INTEGER) % 6 = 0 THEN 1 END AS nonclassic
   FROM nominated n GROUP BY n.election, n.division_id, n.state_ab, n.division_nm)"""
 
-FIXTURE_PARTIES = ["ALP", "CLP", "GRN", "IND", "LNP", "LNQ", "LP", "NP", "XEN"]
+# Written out here, apart from the list that the Spark queries pivot on.
+PARTY_COLUMNS = ["ALP", "CLP", "GRN", "HAN", "IND", "LNP", "LNQ", "LP", "NP", "XEN"]
+WITH_LAST = """with_last AS (SELECT * FROM place_parties JOIN (SELECT election, max(party_ab) AS last_party
+  FROM place_parties WHERE party_ab <> 'Informal' GROUP BY election) USING (election))"""
+LEGACY = "party_ab <> 'Informal' AND party_ab <> last_party"
+
+
+def legacy_primary(by: str) -> str:
+    columns = ", ".join(f"{pct(c, 'total_formal')} AS {c}" for c in S.PARTY_GROUPS)
+    return query(
+        f"SELECT {by}, {columns}, {pct('informal', 'total_pp')} AS informal FROM ({groups(by, LEGACY, 'with_last')})",
+        CAND,
+        LABELLED,
+        WITH_LAST,
+    )
+
+
+def other_parties(measure: str, with_informal: bool) -> str:
+    """The columns for blank and unlisted parties."""
+    listed = ", ".join(f"'{p}'" for p in [*PARTY_COLUMNS, "", *["Informal"] * with_informal])
+    blank, rest = "party_ab = ''", f"party_ab NOT IN ({listed})"
+    aggregate = zero if with_informal else na
+    return ", ".join(
+        f"CASE WHEN count(*) FILTER (WHERE {rows}) > 0 THEN {aggregate(measure, rows)} END AS {name}"
+        for name, rows in (("blank", blank), ("other", rest))
+    )
 
 
 def table_counts(table: str, measure: str) -> str:
@@ -418,6 +449,7 @@ FROM cand WHERE type = 'Ordinary'"""
         CAND,
         DECLARED,
     ),
+    "election_slice_div": query("SELECT * FROM div WHERE election = 2013", CAND, DIV),
     "build_from_files": BUILT_CAND_2016,
     "build_cand": BUILT_CAND_2016,
     "build_cand_own_early": built_cand(
@@ -447,11 +479,14 @@ FROM cand WHERE type = 'Ordinary'"""
             keys=f"{DIVISION}, candidate_id",
             cells=", ".join(
                 f"sum(votes) FILTER (WHERE polling_place = '{place}') AS \"{place}\"" for place in S.DECLARATION_TYPES
-            ),
+            )
+            + ", sum(votes) FILTER (WHERE polling_place NOT IN ('Absent', 'Provisional', 'PrePollDeclaration', 'Postal'))"
+            " AS other",
         )
     ),
     "pivot_votes_by_party": query(
-        f"SELECT {PLACE}, {party_columns(FIXTURE_PARTIES, 'votes', False)} FROM cand GROUP BY {PLACE}"
+        f"SELECT {PLACE}, {party_columns(PARTY_COLUMNS, 'votes', False)}, {other_parties('votes', False)} "
+        f"FROM cand GROUP BY {PLACE}"
     ),
     "with_total_row": query(
         f"""SELECT election, state_ab, false AS is_total, {na_list(['votes', 'tcp_votes'])} FROM cand GROUP BY 1, 2
@@ -479,12 +514,32 @@ FROM (SELECT *, TRY_CAST(latitude AS DOUBLE) AS lat, TRY_CAST(longitude AS DOUBL
         PP,
     ),
     "div_table": query(WITH_TOTAL, CAND, typed("votes")),
+    "div_table_one": query(
+        f"SELECT * FROM ({WITH_TOTAL}) WHERE election = 2016 AND division_nm = 'NATION_1'", CAND, typed("votes")
+    ),
     "div_table_informal": query(
         "SELECT * REPLACE (round(percent, 6) AS percent) FROM informal_rows", CAND, typed("votes"), INFORMAL_ROWS
     ),
     "div_tcp": query(WITH_TOTAL, CAND, TCP, typed("tcp_votes", "counted")),
     "div_tcp_percent": tcp_percent(6),
     "div_pp_tcp": query("SELECT * REPLACE (round(percent, 6) AS percent) FROM pp_tcp", CAND, PP_TCP),
+    "div_pp_tcp_one": query(
+        "SELECT * REPLACE (round(percent, 6) AS percent) FROM pp_tcp WHERE election = 2016 AND division_nm = 'NATION_1'",
+        CAND,
+        PP_TCP,
+    ),
+    "div_pp_tcp_pairs": query(
+        f"""SELECT *, first + second AS total, {pct('first', '(first + second)')} AS percent_first,
+  {pct('second', '(first + second)')} AS percent_second
+FROM (SELECT {DIVISION}, polling_place, d.first_party, d.second_party,
+        sum(votes) FILTER (WHERE party_ab = d.first_party) AS first,
+        sum(votes) FILTER (WHERE party_ab = d.second_party) AS second
+      FROM place_tcp JOIN (SELECT {DIVISION}, min(party_ab) AS first_party, max(party_ab) AS second_party
+                           FROM place_tcp GROUP BY {DIVISION}) d USING ({DIVISION})
+      GROUP BY ALL)""",
+        CAND,
+        PP_TCP,
+    ),
     "div_pp_tcp_wide": query(
         f"""SELECT *, "ALP" + "LP" AS total, {pct('"ALP"', '("ALP" + "LP")')} AS "percent_ALP",
   {pct('"LP"', '("ALP" + "LP")')} AS "percent_LP"
@@ -509,7 +564,7 @@ FROM cand WHERE type = 'Ordinary' GROUP BY {DIVISION}, candidate_id"""
     ),
     "pp_by_party": query(f"SELECT {PLACE}, party_ab, votes FROM place_parties", CAND, LABELLED),
     "pp_by_party_wide": query(
-        f"""SELECT {PLACE}, {party_columns([*FIXTURE_PARTIES, 'Informal'], 'votes', True)},
+        f"""SELECT {PLACE}, {party_columns([*PARTY_COLUMNS, 'Informal'], 'votes', True)}, {other_parties('votes', True)},
   {zero('votes', 'is_coalition')} AS group_coalition,
   {zero('votes', "party_ab NOT IN ('ALP', 'GRN', 'Informal') AND NOT is_coalition")} AS group_others,
   {zero('votes', "party_ab <> 'Informal'")} AS total_formal, {zero('votes')} AS total_pp
@@ -529,12 +584,27 @@ WHERE p.party_ab <> 'Informal'""",
     ),
     "pp_party_groups": query(groups(PLACE), CAND, LABELLED),
     "pp_party_groups_legacy": query(
-        groups(PLACE, "party_ab <> 'Informal' AND party_ab <> last_party", "with_last"),
+        groups(PLACE, LEGACY, "with_last"), CAND, LABELLED, WITH_LAST,
+    ),
+    "pp_party_groups_legacy_one": query(
+        f"SELECT * FROM ({groups(PLACE, LEGACY, 'with_last')}) WHERE election = 2007 AND division_nm = 'NATION_1'",
+        CAND,
+        LABELLED,
+        WITH_LAST,
+    ),
+    "pp_by_party_percent_legacy": query(
+        f"""SELECT p.{PLACE.replace(', ', ', p.')}, p.party_ab, {pct('p.votes', 'f.formal')} AS percent
+FROM place_parties p LEFT JOIN (SELECT {PLACE}, sum(votes) AS formal FROM with_last WHERE {LEGACY} GROUP BY {PLACE}) f
+  ON p.election = f.election AND p.division_id = f.division_id AND p.polling_place = f.polling_place
+  AND p.polling_place_id IS NOT DISTINCT FROM f.polling_place_id
+WHERE p.party_ab <> 'Informal'""",
         CAND,
         LABELLED,
-        """with_last AS (SELECT * FROM place_parties JOIN (SELECT election, max(party_ab) AS last_party
-  FROM place_parties WHERE party_ab <> 'Informal' GROUP BY election) USING (election))""",
+        WITH_LAST,
     ),
+    "div_party_groups_legacy": query(groups(DIVISION, LEGACY, "with_last"), CAND, LABELLED, WITH_LAST),
+    "state_primary_pct_legacy": legacy_primary("election, state_ab"),
+    "nat_primary_pct_legacy": legacy_primary("election"),
     "pp_party_groups_pct": query(
         f"SELECT {PLACE}, {', '.join(f'{pct(c, 'total_formal')} AS {c}' for c in S.PARTY_GROUPS)} FROM g",
         CAND,

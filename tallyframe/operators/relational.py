@@ -9,17 +9,37 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.missing import na_sum, share, zero_sum
+from tallyframe.functions.missing import cell_sum, na_sum, share, zero_sum
+from tallyframe.schemas import EVENT_IDS
+
+
+def several(value):
+    """One value or a collection of them, as a list; None stays None."""
+    if value is None or isinstance(value, (list, tuple)):
+        return value
+    return [value] if isinstance(value, (str, int)) else list(value)
 
 
 def restrict(
-    table: DataFrame, elections: Collection[int] | None = None, divisions: Collection[str] | None = None
+    table: DataFrame, elections: Collection[int] | int | None = None, divisions: Collection[str] | str | None = None
 ) -> DataFrame:
-    """Keep the given elections and division names. Both are plain predicates, so they reach the scan."""
+    """Keep the given elections and division names, one or several. Both are plain predicates, so they reach the scan.
+
+    Unknown elections are refused by the registry; division names, which only the table knows, by a look at the
+    names among its chosen rows.
+    """
+    elections, divisions = several(elections), several(divisions)
     if elections is not None:
+        unknown = sorted(set(elections) - set(EVENT_IDS))
+        if unknown:
+            raise ValueError(f"unknown elections {unknown}; registered: {sorted(EVENT_IDS)}")
         table = table.where(F.col("election").isin(*elections))
     if divisions is not None:
         table = table.where(F.col("division_nm").isin(*divisions))
+        known = {row.division_nm for row in table.select("division_nm").distinct().collect()}
+        unknown = sorted(set(divisions) - known)
+        if unknown:
+            raise ValueError(f"unknown divisions {unknown}")
     return table
 
 
@@ -40,27 +60,40 @@ def with_total_row(rows: DataFrame, by: list[str], measures: list[str], labels:
     """Append one total per ``by`` group: ``na_sum`` of the measures, ``labels`` as text, other columns missing.
 
     Every row is counted twice, as itself and towards its total, so detail and totals come out of one
-    aggregation and the input is read once. Rows must be unique without their measures, as grouped rows are.
+    aggregation and the input is read once. A row number keeps rows apart that differ in their measures alone.
     Rows already partitioned by (a part of) ``by`` are not shuffled again. Adds ``is_total``.
     """
     is_total = F.col("is_total")
     described = [c for c in rows.columns if c not in by and c not in measures]
     keys = [F.when(is_total, F.lit(labels.get(c))).otherwise(F.col(c)).alias(c) for c in described]
     return (
-        rows.withColumn("is_total", F.explode(F.array(F.lit(False), F.lit(True))))
-        .groupBy(*by, *keys, "is_total")
+        rows.withColumn("__row", F.monotonically_increasing_id())
+        .withColumn("is_total", F.explode(F.array(F.lit(False), F.lit(True))))
+        .groupBy(*by, *keys, "is_total", F.when(~is_total, F.col("__row")).alias("__row"))
         .agg(*[na_sum(c).alias(c) for c in measures])
+        .drop("__row")
     )
 
 
 def share_of_total(rows: DataFrame, value: str, over: list[str], name: str = "percent") -> DataFrame:
-    """Each row's ``value`` as a percentage of its group's total."""
+    """Each row's ``value`` as a percentage of its group's total.
+
+    A group is one window, so it lies in one task: meant for rows that are sums already, few to a group.
+    """
     return rows.withColumn(name, share(value, over))
 
 
-def pivot_sum(rows: DataFrame, by: list[str], column: str, values: list[str], measure: str) -> DataFrame:
-    """One column per listed value, holding ``na_sum`` of the measure; NULL where a combination is absent."""
-    return rows.groupBy(*by).pivot(column, values).agg(na_sum(measure))
+def pivot_sum(
+    rows: DataFrame, by: list[str], column: str, values: Collection[str] | dict[str, str], measure: str,
+    remainder: str = "other",
+) -> DataFrame:
+    """One column per listed value (a dict names them), holding ``na_sum`` of the measure; NULL where a combination is
+    absent. The column ``remainder`` sums all other values, missing ones included, so that no row is left out."""
+    names = values if isinstance(values, dict) else {value: value for value in values}
+    at = F.col(column)
+    listed = F.coalesce(at.isin(*names), F.lit(False))
+    cells = [cell_sum(measure, at.eqNullSafe(value)).alias(name) for value, name in names.items()]
+    return rows.groupBy(*by).agg(*cells, cell_sum(measure, ~listed).alias(remainder))
 
 
 def rollup_geo(rows: DataFrame, measures: list[str], place: list[str]) -> DataFrame:

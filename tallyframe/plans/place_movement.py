@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from tallyframe.functions.geo import haversine_km
 from tallyframe.functions.missing import number
 from tallyframe.operators.relational import null_safe_join
-from tallyframe.schemas import MOBILE_TEAM, SAME_PLACE_KM
+from tallyframe.schemas import MOBILE_TEAM, SAME_PLACE_KM, TPP_COLUMNS
 
-PLACE_COLUMNS = [
-    "state", "division_id", "division_nm", "polling_place_type_id", "polling_place_nm", "latitude", "longitude",
-]
 COORDINATES = ["latitude_x", "longitude_x", "latitude_y", "longitude_y"]
 
 
@@ -37,7 +34,9 @@ def pp_distance(pp: DataFrame, earlier: int, later: int, legacy: bool = False) -
 
     A place of the later election only has no earlier type to judge by, so its status is missing.
     """
-    places = _both(pp, earlier, later, PLACE_COLUMNS).withColumns({c: number(c) for c in COORDINATES})
+    # All columns of the places, also those that only some files have; not the counts that the build adds.
+    columns = [c for c in pp.columns if c not in ("election", "polling_place_id", *TPP_COLUMNS.values())]
+    places = _both(pp, earlier, later, columns).withColumns({c: number(c) for c in COORDINATES})
     distance = F.col("distance")
     status = (
         F.when(F.col("polling_place_nm_y").isNull(), "Abolished")

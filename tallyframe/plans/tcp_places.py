@@ -3,28 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Collection
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.missing import cell_sum, percent_of
-from tallyframe.operators.relational import null_safe_join, restrict
+from tallyframe.operators.relational import restrict
 from tallyframe.schemas import DIVISION_KEY
 
 # Places are told apart by name: declaration votes have no id.
 NAMED_PLACE = [*DIVISION_KEY, "polling_place"]
+COUNTED = "tcp_votes IS NOT NULL"
 
 
 def div_pp_tcp(
     cand: DataFrame, elections: Collection[int] | None = None, divisions: Collection[str] | None = None
 ) -> DataFrame:
-    """Votes by place and party, as rows. ``total`` and ``percent`` need both parties of the count at the place."""
-    votes = (
-        restrict(cand, elections, divisions)
-        .where(F.col("tcp_votes").isNotNull())
-        .groupBy(*NAMED_PLACE, "party_ab")
-        .agg(F.sum("tcp_votes").alias("votes"))
-    )
+    """Votes by place and party, as rows. ``total`` and ``percent`` need both parties of the count at the place.
+
+    Rows are dealt out by place at once, where both the sums and the totals are made.
+    """
+    return _by_place(restrict(cand, elections, divisions).where(COUNTED).repartition(*NAMED_PLACE))
+
+
+def _by_place(rows: DataFrame) -> DataFrame:
+    """``div_pp_tcp`` of rows that are dealt out by (a part of) the place."""
+    votes = rows.groupBy(*NAMED_PLACE, "party_ab").agg(F.sum("tcp_votes").alias("votes"))
     of_place = Window.partitionBy(*reversed(NAMED_PLACE))  # sorts on the most distinctive column first
     total = F.when(F.count(F.lit(1)).over(of_place) == 2, F.sum("votes").over(of_place))
     return votes.withColumn("total", total).withColumn("percent", percent_of("votes", "total"))
@@ -32,11 +38,17 @@ def div_pp_tcp(
 
 def div_pp_tcp_wide(
     cand: DataFrame,
-    parties: tuple[str, str],
+    parties: tuple[str, str] | None = None,
     elections: Collection[int] | None = None,
     divisions: Collection[str] | None = None,
 ) -> DataFrame:
-    """One row per place, a vote and a percent column for each of two parties; one shuffle, no window."""
+    """One row per place, a vote and a percent column for each of two parties.
+
+    Without ``parties`` each division has its own pair, the parties of its count by name: then the columns are first
+    and second, with the parties next to their votes. The side that is joined to has one row per division.
+    """
+    if parties is None:
+        return _own_pairs(div_pp_tcp(cand, elections, divisions))
     first, second = parties
     votes = (
         restrict(cand, elections, divisions)
@@ -49,6 +61,19 @@ def div_pp_tcp_wide(
     )
 
 
+def _own_pairs(votes: DataFrame) -> DataFrame:
+    pairs = votes.groupBy(*DIVISION_KEY).agg(F.min("party_ab").alias("first_party"), F.max("party_ab").alias("second_party"))
+    named = [F.col(c).alias(f"__{c}") if c in DIVISION_KEY else F.col(c) for c in pairs.columns]
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in DIVISION_KEY]
+    joined = votes.join(pairs.select(*named), reduce(and_, same)).drop(*[f"__{c}" for c in DIVISION_KEY])
+    party = F.col("party_ab")
+    cells = {side: cell_sum("votes", party == F.col(f"{side}_party")) for side in ("first", "second")}
+    table = joined.groupBy(*NAMED_PLACE, "first_party", "second_party").agg(*[c.alias(side) for side, c in cells.items()])
+    return table.withColumn("total", F.col("first") + F.col("second")).withColumns(
+        {f"percent_{side}": percent_of(side, "total") for side in cells}
+    )
+
+
 def pp_tcp_swing(
     cand: DataFrame, earlier: int, later: int, party: str = "LP", divisions: Collection[str] | None = None
 ) -> DataFrame:
@@ -63,12 +88,14 @@ def pp_tcp_swing(
     def percent(rows: Column) -> Column:
         return F.max(F.when(rows & (F.col("party_ab") == party), F.col("percent")))
 
+    # Both elections of a place meet once, and the winners' rows meet them there.
+    both = restrict(cand, [earlier, later], divisions).repartition(*key)
     swing = (
-        div_pp_tcp(cand, [earlier, later], divisions)
+        _by_place(both.where(COUNTED))
         .groupBy(*key)
         .agg((percent(at_earlier) - percent(at_later)).alias("swing"), F.count_if(at_earlier).alias("rows"))
         .where(F.col("rows") > 0)
         .drop("rows")
     )
     winners = restrict(cand, [later], divisions).where(F.col("elected") == "Y").select(*key, "tcp_swing")
-    return null_safe_join(swing, winners, key)
+    return swing.join(winners, key, "left")

@@ -12,7 +12,7 @@ STATES = ("NSW", "VIC", "QLD", "WA", "SA", "TAS", "ACT", "NT")
 TABLE_ELECTIONS = {
     "cand": (2004, 2007, 2010, 2013, 2016),
     "pp": (2013, 2016),
-    "div": (2013, 2016),
+    "div": (2004, 2007, 2010, 2013, 2016),
 }
 
 # --- Fixed values: published file families ------------------------------------------------------------

@@ -27,20 +27,27 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+#: Every map task keeps a size for each partition, and the driver all of them, so there cannot be any number.
+MOST_PARTITIONS = 50_000
+
+
 def cluster_settings(input_bytes: int, partition_bytes: int = 64 * 1024**2) -> dict[str, str]:
     """SQL settings for a job that shuffles up to ``input_bytes``; pass them to the session builder.
 
+    Partitions are of ``partition_bytes`` up to MOST_PARTITIONS of them, and larger beyond.
+
     Adaptive execution merges small shuffle partitions and splits skewed ones, but cannot split an evenly large
     shuffle further, so the number to start from has to fit the data. Shuffled sums carry many repeated names and
     grow several-fold when read back, so partitions larger than this spill.
     """
+    partition_bytes = max(partition_bytes, -(-input_bytes // MOST_PARTITIONS))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
         # A join hashes instead of sorting where every partition of one side turns out small enough.
-        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(partition_bytes),
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(64 * 1024**2),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(max(200, -(-input_bytes // partition_bytes))),
         "spark.sql.session.timeZone": "UTC",
     }
@@ -84,10 +91,11 @@ def _local_root() -> str:
 
 
 @atexit.register
-def remove_shared_folders() -> None:
-    """Delete every folder handed out so far. Tables read from them are gone afterwards."""
-    while _made:
-        jvm, conf, folder = _made.pop()
+def remove_shared_folders(under: str = "") -> None:
+    """Delete every folder handed out so far, or those whose path holds a text. Tables read from them are gone afterwards."""
+    for made in [m for m in _made if under in m[2]]:
+        _made.remove(made)
+        jvm, conf, folder = made
         with contextlib.suppress(Exception):  # the JVM may have ended
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)

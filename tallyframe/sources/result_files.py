@@ -12,6 +12,7 @@ from collections import defaultdict
 from collections.abc import Callable, Collection, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,25 @@ def column_names(header: tuple[str, ...]) -> list[str]:
     return names
 
 
-def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
+def _with_line_breaks(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Paths with a quoted field that goes over several lines: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    found = set()
+    for path in paths:
+        if spark.read.text(path).where(quotes % 2 == 1).head(1):
+            found.add(path)
+    return found
+
+
+def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str], line_breaks: bool | None = None) -> DataFrame:
+    """Rows of files with one header. Files with quoted line breaks are read whole, one task each; all others are
+    split. With ``line_breaks`` None every file is looked at first."""
+    broken = _with_line_breaks(spark, paths) if line_breaks is None else set(paths) if line_breaks else set()
+    parts = [(sorted(broken), True), ([p for p in paths if p not in broken], False)]
+    return _unite([_read_csv(spark, header, some, whole) for some, whole in parts if some])
+
+
+def _read_csv(spark: SparkSession, header: tuple[str, ...], paths: list[str], whole: bool) -> DataFrame:
     names = column_names(header)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     rows = (
@@ -61,11 +80,12 @@ def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> Dat
         .option("header", True)  # takes off the banner of each file
         .option("enforceSchema", True)
         .option("escape", '"')
+        .option("multiLine", whole)
         .csv(paths)
     )
-    # The header line is the row that holds its own (first) column name.
-    own_name, named = next((name, column) for name, column in zip(header, names) if name)
-    is_header = F.coalesce(F.col(named), F.lit("")) == own_name
+    # The header line is the row at the start of a file that holds every column's own name.
+    own = [F.btrim(F.coalesce(F.col(column), F.lit("")), F.lit(" \t\r")) == name for name, column in zip(header, names)]
+    is_header = reduce(and_, own) & (F.col("_metadata.file_block_start") == 0)
     return rows.where(~is_header).select(*[text_field(name).alias(name) for name in names])
 
 
@@ -79,16 +99,17 @@ def _unite(scans: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
-def scan_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+def scan_files(spark: SparkSession, paths: Iterable[str], line_breaks: bool | None = None) -> DataFrame:
     """All rows of the given files as text, columns in snake case, missing columns NULL.
 
-    Files with the same header are one scan; different headers are united by column name.
+    Files with the same header are one scan; different headers are united by column name. ``line_breaks`` says
+    whether quoted fields go over several lines; None looks.
     """
     paths = list(paths)
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for path, header in zip(paths, _headers(spark, paths)):
         by_header[header].append(path)
-    return _unite([_scan(spark, header, same) for header, same in by_header.items()])
+    return _unite([_scan(spark, header, same, line_breaks) for header, same in by_header.items()])
 
 
 def scan_family(
@@ -99,8 +120,12 @@ def scan_family(
     by_state: bool = False,
     states: Collection[str] = STATES,
     layout: Layout = landed_path,
+    line_breaks: bool | None = None,
 ) -> DataFrame:
-    """A file family over several elections, tagged with ``election``; ``by_state`` unites the per-state files."""
+    """A file family over several elections, tagged with ``election``; ``by_state`` unites the per-state files.
+
+    ``line_breaks`` as in ``scan_files``.
+    """
     suffixes = [f"-{state}" for state in states] if by_state else [""]
     names = [(election, event_id(election), suffix) for election in elections for suffix in suffixes]
     paths = [layout(root, event, f"{family}-{event}{suffix}") for _, event, suffix in names]
@@ -109,7 +134,7 @@ def scan_family(
         scans[election, header].append(path)
     return _unite(
         [
-            _scan(spark, header, same).withColumn("election", F.lit(election))
+            _scan(spark, header, same, line_breaks).withColumn("election", F.lit(election))
             for (election, header), same in scans.items()
         ]
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyframe.schemas import STORED_ORDER
 
@@ -15,14 +14,14 @@ def table_path(root: str, table: str) -> str:
 def write_tables(tables: dict[str, DataFrame], root: str) -> None:
     """Write each table, replacing only the elections it holds.
 
-    The rebalance hint lets adaptive execution size the files: a small election is one file, a huge one is split.
-    Rows lie by division and place inside a file: a filter on divisions skips pages, neighbours compress well, and
-    the rows of a place meet in one map task.
+    Rows are dealt out by ranges of election, division and place, and adaptive execution merges small ranges: a small
+    election is one file, a huge one many, each of few divisions, and a huge division is split by place. So a filter
+    on divisions skips files and pages, neighbours compress well, and the rows of a place meet in one map task.
     """
     for name, table in tables.items():
         order = [column for column in STORED_ORDER if column in table.columns]
         (
-            table.hint("rebalance", F.col("election"))
+            table.repartitionByRange(*order)
             .sortWithinPartitions(*order)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

@@ -1,10 +1,12 @@
 """Hand-written result files in the landed layout, through the build and the store to the reports."""
 
+from pathlib import Path
+
 import pytest
 
 import tallyframe as tf
 from frames import records
-from tallyframe.session import cluster_settings, shared_folder
+from tallyframe.session import cluster_settings, remove_shared_folders, shared_folder, stored
 
 PERSON = "StateAb,DivisionID,DivisionNm,CandidateID,Surname,GivenNm,BallotPosition,Elected,HistoricElected,PartyAb,PartyNm"
 AT_PLACE = (
@@ -90,7 +92,7 @@ def test_build_needs_the_places_that_mark_early_votes(spark, tmp_path):
 def test_shared_folder_is_new_and_under_the_named_root(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     folder = shared_folder(spark, "tables")
-    assert "/tallyframe/tables-" in folder
+    assert "/tallyframe-" in folder and folder.endswith("-tables")
     assert root is None or folder.startswith(root.rstrip("/"))
     assert folder != shared_folder(spark, "tables")
 
@@ -98,4 +100,15 @@ def test_shared_folder_is_new_and_under_the_named_root(spark):
 def test_cluster_settings_scale_with_the_input():
     partitions = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     assert cluster_settings(1)[partitions] == "200"
-    assert cluster_settings(10 * 1024**4)[partitions] == str(10 * 1024**4 // (64 * 1024**2))
+    assert cluster_settings(1024**4)[partitions] == str(1024**4 // (64 * 1024**2))
+    large = cluster_settings(100 * 10**12)
+    assert 10_000 <= int(large[partitions]) <= 50_000
+    assert int(large["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) > 64 * 1024**2
+
+
+def test_no_shared_folder_is_left(spark):
+    table = stored(spark.range(10), "numbers")
+    folder = Path(table.inputFiles()[0].removeprefix("file:")).parent
+    assert table.count() == 10 and folder.exists()
+    remove_shared_folders(str(folder.parent))
+    assert not folder.exists()

@@ -5,9 +5,11 @@ import pytest
 
 import compare
 from __spark_entry__ import entry, oracle_sql, queries
+from tallyframe import catalog
 from tallyframe.fixtures import derived
+from tallyframe.fixtures.oracle import ORACLES
 
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES = catalog.queries()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +21,10 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_entry_holds_every_query():
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql()) <= set(queries())
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
 

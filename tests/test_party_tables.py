@@ -1,6 +1,7 @@
 import pytest
 
 from frames import cand_table, ordinary, records
+from tallyframe.operators.relational import pivot_sum
 from tallyframe.plans import party_tables
 
 
@@ -59,6 +60,8 @@ def test_legacy_formal_leaves_out_the_last_party(spark):
 def test_wide_table_has_gaps_for_absent_parties(spark):
     row = records(party_tables.pp_by_party_wide(cand_table(spark, mixed()), ["ALP", "CLP", "XEN"]))[0]
     assert (row["ALP"], row["CLP"], row["XEN"], row["Informal"]) == (30.0, None, 4.0, 6.0)
+    assert (row["blank"], row["other"]) == (3.0, 45.0)
+    assert sum(row[c] or 0 for c in ("ALP", "CLP", "XEN", "Informal", "blank", "other")) == row["total_pp"]
     assert (row["group_coalition"], row["group_others"], row["total_formal"], row["total_pp"]) == (26.0, 16.0, 82.0, 88.0)
 
 
@@ -82,3 +85,28 @@ def test_primary_by_year_runs_from_a_start(spark):
     assert [r["election"] for r in records(party_tables.nat_primary_by_year(cand, 2010))] == [2010, 2016]
     with pytest.raises(ValueError):
         party_tables.nat_primary_by_year(cand, 2002)
+
+
+def test_pivot_leaves_no_votes_out(spark):
+    table = cand_table(spark, mixed())
+    row = records(pivot_sum(table, ["polling_place"], "party_ab", {"ALP": "ALP", "": "blank"}, "votes"))[0]
+    assert (row["ALP"], row["blank"], row["other"]) == (30.0, 9.0, 49.0)
+
+
+def test_last_party_is_that_of_the_whole_election(spark):
+    here = [vote("ALP", 30.0), vote("LP", 20.0)]
+    there = [vote("ALP", 1.0, division_nm="Beta"), vote("XEN", 2.0, division_nm="Beta")]
+    cand = cand_table(spark, here + there)
+    row = records(party_tables.pp_party_groups(cand, 2016, "Alpha", legacy_formal=True))[0]
+    assert row["total_formal"] == 50.0
+    shares = {r["party_ab"]: r["percent"] for r in records(party_tables.pp_by_party_percent(cand, 2016, "Alpha", True))}
+    assert shares == {"ALP": pytest.approx(60.0), "LP": pytest.approx(40.0)}
+
+
+def test_one_division_or_election_may_be_given_as_such(spark):
+    cand = cand_table(spark, mixed())
+    assert party_tables.pp_by_party(cand, 2016, "Alpha").count() == party_tables.pp_by_party(cand, [2016], ["Alpha"]).count() > 0
+    with pytest.raises(ValueError, match="unknown divisions"):
+        party_tables.pp_by_party(cand, divisions="Nowhere")
+    with pytest.raises(ValueError, match="unknown elections"):
+        party_tables.pp_by_party(cand, 1999)

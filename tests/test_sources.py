@@ -30,6 +30,23 @@ def test_scan_drops_banner_and_header_and_keeps_blank_text(spark, tmp_path):
     assert numbers == [0, 0, 5.0, 7.0]
 
 
+def test_a_row_that_names_a_column_is_no_header(spark, tmp_path):
+    path = write(tmp_path / "n.csv", "b\nSurname,Votes\nSurname,5\nOther,6\n")
+    assert sorted(r["surname"] for r in scan_files(spark, [path]).collect()) == ["Other", "Surname"]
+
+
+def test_blanks_around_header_names(spark, tmp_path):
+    path = write(tmp_path / "t.csv", "b\nStateAb ,Votes\nNSW,5\n")
+    assert records(scan_files(spark, [path])) == [{"state_ab": "NSW", "votes": "5"}]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    broken = write(tmp_path / "l.csv", 'b\nPlace,Votes\n"Town\nHall",1\nEast,2\n')
+    whole = write(tmp_path / "w.csv", "b\nPlace,Votes\nWest,3\n")
+    rows = sorted(records(scan_files(spark, [broken, whole])), key=lambda r: r["votes"])
+    assert [(r["place"], r["votes"]) for r in rows] == [("Town\nHall", "1"), ("East", "2"), ("West", "3")]
+
+
 def test_every_file_of_a_scan_loses_its_own_banner_and_header(spark, tmp_path):
     paths = [write(tmp_path / f"{i}.csv", f"banner {i}\nA,B\n{i},x\n") for i in range(3)]
     assert sorted(r["a"] for r in scan_files(spark, paths).collect()) == ["0", "1", "2"]
