@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 from tallyframe.llm.batches import flat, id_and_text, read_table, runs, shingles
 from tallyframe.llm.components import components
 from tallyframe.llm.fast_sketch import band_keys, sketches
+from tallyframe.llm.filters import MAX_BITS, bitmap, may_hold
 from tallyframe.session import stored
 
 SKETCH_SIZE = 256
 ROWS_PER_BAND = 6
 #: Members of a bucket that one task compares with each other at a time.
-CHUNK = 256
-#: Largest bitmap, in bits, sent to every executor to pick out documents.
-MAX_FILTER_BITS = 1 << 26
+CHUNK = 1024
 
 
 def _sketched(words: int):
@@ -98,35 +97,23 @@ def _linked(percent: int):
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of at least the wanted documents.
 
-    Up to MAX_FILTER_BITS / 16 of them are picked out by a bitmap of hashed ids, so that texts are not shuffled; a
+    Up to MAX_BITS / 16 of them are picked out by a bitmap of hashed ids, so that texts are not shuffled; a
     document let through by chance does no harm. More are picked out by a join.
     """
     schema = "node long, shingles array<long>"
-    n = wanted.count()
-    if 16 * n > MAX_FILTER_BITS:
+    if 16 * wanted.count() > MAX_BITS:
         return docs.join(wanted, "doc_id", "left_semi").mapInArrow(_shingled(words), schema)
-    bits = 1 << max(15, (16 * n).bit_length())
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("long")
-    rows = (
-        wanted.select(bit.alias("bit"))
-        .selectExpr("bit DIV 8 AS byte", "shiftleft(1, CAST(bit % 8 AS INT)) AS set")
-        .groupBy("byte")
-        .agg(F.bit_or("set").alias("set"))
-        .toArrow()
-    )
-    bitmap = np.zeros(bits // 8, dtype=np.uint8)
-    bitmap[rows["byte"].to_numpy()] = rows["set"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    mark = F.xxhash64("doc_id").alias("mark")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(mark), "mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def picked():
             for batch in batches:
-                at = batch.column("bit").to_numpy()
-                yield batch.filter(pa.array(shared.value[at >> 3] >> (at & 7) & 1 == 1))
+                yield batch.filter(pa.array(may_hold(shared.value, batch.column("mark").to_numpy())))
 
         return _shingled(words)(picked())
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).mapInArrow(run, schema)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", mark).mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
