@@ -31,6 +31,8 @@ LENGTH = 400
 WINDOW, PIECE = 208, 16
 #: Units of one anchor name that one task compares; those of commoner names are compared string by string in a shuffle.
 GROUP_UNITS = 1 << 14
+#: Units that a task compares in one call, at about; those of one name always lie together.
+LOT_UNITS = 1 << 12
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -148,9 +150,9 @@ def _emit_contexts(wanted, common, hot: bool):
 
 
 def _compared(group: pd.DataFrame) -> pd.DataFrame:
-    """Among units of one anchor name: of each, the starts (counted from its first) whose string another one has."""
+    """Among units of each anchor name: of each, the starts (counted from its first) whose string another one has."""
     group = group.drop_duplicates("name")
-    names, leads = group["name"].to_numpy(), group["lead"].to_numpy()
+    names, leads, keys = group["name"].to_numpy(), group["lead"].to_numpy(), group["key"].to_numpy().view(np.uint64)
     lengths = np.array([len(c) for c in group["context"]], dtype=np.int64)
     data = np.frombuffer(b"".join(group["context"]), dtype=np.uint8)
     base = np.concatenate([[0], np.cumsum(lengths)])
@@ -159,7 +161,7 @@ def _compared(group: pd.DataFrame) -> pd.DataFrame:
     start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     at = base[unit] + start
     hashes = span_hashes(prefix_hashes(data), at, at + LENGTH)
-    hashes = mix(hashes + (leads[unit] - start).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    hashes = mix(hashes + (leads[unit] - start).astype(np.uint64) * U64(0x9E3779B97F4A7C15) + keys[unit])
     _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
     hit = np.flatnonzero(times[which] > 1)
     # neighbouring starts of one unit make a run
@@ -219,11 +221,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     names = units.groupBy("key", "name").agg(F.count("*").alias("n"), F.min("unit").alias("unit"))
     names = stored(names, "names")
     keys = names.groupBy("key").agg(F.count("*").alias("names")).where("names > 1")
-    wanted = sc.broadcast(bitmap(names.join(keys, "key"), "unit"))
+    mixed = names.join(keys, "key")
+    wanted = sc.broadcast(bitmap(mixed, "unit"))
+    lots = max(1, -(-mixed.count() // LOT_UNITS))
     common = sc.broadcast(bitmap(keys.where(F.col("names") > GROUP_UNITS), "key"))
 
     contexts = docs.mapInArrow(_emit_contexts(wanted, common, False), "key long, name long, lead int, context binary")
-    few = contexts.groupBy("key").applyInPandas(_compared, "name long, low int, high int")
+    lot = F.pmod(F.col("key"), F.lit(lots)).alias("lot")  # many anchor names in one call
+    few = contexts.groupBy(lot).applyInPandas(_compared, "name long, low int, high int")
     listed = docs.mapInArrow(_emit_contexts(wanted, common, True), "key long, name long, lead int, strings array<long>")
     strings = stored(listed.select("name", F.posexplode("strings").alias("low", "string")), "strings")
     several = strings.groupBy("string").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a < b")
