@@ -16,7 +16,7 @@ _EMPTY = np.uint64(2**64 - 1)
 
 
 def sketches(sets: list[np.ndarray], t: int = 128, seed: int = 1) -> np.ndarray:
-    """One row of t values per set; a row of an empty set holds no meaning. t is a power of two."""
+    """One row of t values per set; a row of an empty set holds no meaning. t is a power of two, 256 at most."""
     out = np.full((len(sets), t), _EMPTY, dtype=np.uint64)
     flat_out = out.reshape(-1)
     open_rows = np.array([r for r, s in enumerate(sets) if len(s)], dtype=np.int64)
@@ -29,11 +29,9 @@ def sketches(sets: list[np.ndarray], t: int = 128, seed: int = 1) -> np.ndarray:
         salt = U64(((seed << 20) + round_ + 1) * 0x9E3779B97F4A7C15 % 2**64)
         hashed = mix(elements ^ mix(np.array([salt], dtype=np.uint64))[0])
         bins = (hashed & U64(t - 1)).astype(np.int64) if round_ < t else np.full(len(hashed), round_ - t)
-        # the round in the high bits: an earlier round always wins
-        values = (hashed >> bits >> U64(9)) | (U64(round_) << U64(64 - 9 - 0))
-        cells = owner * t + bins
-        # Bins filled in earlier rounds hold smaller values already, as the round leads each value.
-        np.minimum.at(flat_out, cells, values)
+        # The round leads each value, so that bins filled in earlier rounds hold smaller ones already.
+        values = (hashed >> bits >> U64(9)) | (U64(round_) << U64(55))
+        np.minimum.at(flat_out, owner * t + bins, values)
         open_rows = open_rows[(out[open_rows] == _EMPTY).any(axis=1)]
     return out
 
