@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.batches import U64, flat, id_and_text, read_table, runs
-from tallyframe.llm.samples import labelled_sample, remainder
+from tallyframe.llm.samples import labelled_sample, remainder, sized
 
 #: Longest context in bytes.
 ORDER = 4
@@ -29,7 +29,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     since = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
     for k in range(1, n):
         before = np.zeros(len(data), dtype=np.uint64)
-        before[k:] = wide[: len(data) - k]
+        before[k:] = wide[: max(0, len(data) - k)]
         before[since < k] = 0
         keys |= before << U64(8 * k)
     return keys
@@ -174,7 +174,7 @@ def predict_languages(docs: DataFrame, trees: Trees | None) -> DataFrame:
 def train_trees(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Trees | None:
     """Trees of every non-null ``lang`` of ``docs`` (doc_id, text, lang), from a bounded sample of each; None without
     any. Rows with null doc_id, text or lang are left out."""
-    samples = labelled_sample(docs, "lang", docs_per_language, BYTES_PER_LANGUAGE)
+    samples = labelled_sample(docs, sized(docs, "lang"), "lang", docs_per_language, BYTES_PER_LANGUAGE)
     samples = [(text, lang) for text, lang in samples if any(map(str.isalpha, text))]
     return Trees.train(samples) if samples else None
 

@@ -12,25 +12,31 @@ def remainder(n: int, id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, label: str, per_label: int, max_bytes: int) -> list[tuple[str, object]]:
+def labelled_sample(
+    docs: DataFrame, labelled: DataFrame, label: str, per_label: int, max_bytes: int
+) -> list[tuple[str, object]]:
     """Up to ``per_label`` rows (text, label) of every label and about ``max_bytes`` of text per label, in an order that
-    depends on doc_id alone. Rows with null doc_id, text or label are left out.
+    depends on doc_id alone. ``labelled`` has doc_id, size (of the text) and the label; rows with a null among them are
+    left out.
 
-    Ids and lengths are ranked first; only the chosen texts come to the driver, in one row each.
+    Ids and sizes are ranked first; only the chosen texts are read and come to the driver.
     """
-    usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(label).isNotNull())
-    order = W.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = usable.select(
-        "doc_id", F.col(label).alias("label"), F.octet_length("text").alias("size"), F.row_number().over(order).alias("rank")
-    ).where(F.col("rank") <= per_label)
-    chosen, room = [], {}
+    usable = labelled.select("doc_id", "size", F.col(label).alias("label")).dropna()
+    order = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = usable.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
+    chosen, room = {}, {}
     for row in sorted(ranked.collect(), key=lambda r: (str(r.label), r.rank)):
         left = room.get(row.label, max_bytes)
         if row.size <= left:
-            chosen.append(row.doc_id)
+            chosen[row.doc_id] = row.label
             room[row.label] = left - row.size
     if not chosen:
         return []
-    texts = usable.where(F.col("doc_id").isin(chosen)).select("doc_id", "text", F.col(label).alias("label")).collect()
-    texts.sort(key=lambda r: (str(r.label), r.doc_id, r.text))
-    return [(r.text, r.label) for r in texts]
+    texts = docs.where(F.col("doc_id").isin(list(chosen)) & F.col("text").isNotNull()).select("doc_id", "text").collect()
+    texts.sort(key=lambda r: (str(chosen[r.doc_id]), r.doc_id, r.text))
+    return [(r.text, chosen[r.doc_id]) for r in texts]
+
+
+def sized(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, size of the text in bytes, and further columns; never the text itself."""
+    return docs.select("doc_id", F.octet_length("text").alias("size"), *columns)

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.batches import U64, flat, id_and_text, read_table, runs
 from tallyframe.llm.langid import grams
-from tallyframe.llm.samples import labelled_sample, remainder
+from tallyframe.llm.samples import labelled_sample, remainder, sized
+from tallyframe.session import stored
 
 #: Bounds of the labelled sample per class that dictionaries and calibration are fitted on.
 DOCS_PER_CLASS = 3000
@@ -31,7 +32,7 @@ DICTIONARY_BYTES = 6144
 #: A sequence of this many bytes stands out if it occurs in so many documents of its class, in so large a share of
 #: them, and in so many times the share of the other class.
 SEQUENCE = 6
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 4, 0.02, 20
+LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 6, 0.02, 20
 #: Differences, in bytes, whose shares among the windows of a text are its features.
 STEPS = (2, 3, 4, 6)
 #: Features: a constant, shares at each step, capped counts at each step, largest, mean of the three largest.
@@ -67,13 +68,13 @@ def _stretches(texts: list[bytes], keys: np.ndarray) -> list[bytes]:
     return out
 
 
-def _dictionary(samples: list[bytes]) -> bytes:
+def _dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A trained dictionary's content; the samples themselves where they are too few to train on."""
     try:
-        made = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=32, d=6).as_bytes()
+        made = zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
     except (zstandard.ZstdError, ValueError):
         made = b"".join(sorted(set(samples)))
-    return MARKER + made[-DICTIONARY_BYTES:]
+    return MARKER + made[-size:]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -150,7 +151,8 @@ def fit(samples: list[tuple[str, int]], share_toxic: float) -> Scorer:
         parts[label] = _stretches(training[label], keys)
     # The ordinary dictionary also holds ordinary text at large, lest chance matches favour the toxic one.
     parts[0] += [text[i : i + 8] for text in training[0][:600] for i in range(0, len(text), 64)]
-    toxic, ordinary = _dictionary(parts[1]), _dictionary(parts[0])
+    toxic = _dictionary(parts[1])
+    ordinary = _dictionary(parts[0], max(256, len(toxic) - len(MARKER)))  # of the same size, or chances differ
     held = {label: texts[1::2] if halved else texts for label, texts in by.items()}
     own = Windows(toxic, ordinary)
     rows = np.array([own.features(t) for label in (0, 1) for t in held[label]]).reshape(-1, N_FEATURES)
@@ -160,14 +162,16 @@ def fit(samples: list[tuple[str, int]], share_toxic: float) -> Scorer:
     return Scorer(toxic, ordinary, fit_logistic(rows, labels, weights * len(labels)))
 
 
-def train(labelled: DataFrame) -> Scorer | float:
-    """A scorer fitted on a bounded sample of ``labelled`` (doc_id, text, toxic); the share of toxic rows itself where
-    one class is missing. Rows with null doc_id, text or label are left out."""
-    usable = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND toxic IN (0, 1)")
+def train(docs: DataFrame, labels: DataFrame) -> Scorer | float:
+    """A scorer fitted on a bounded sample of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic); the share of toxic
+    rows itself where one class is missing. Rows with null doc_id, text or label are left out. Of repeated labels of a
+    document one is taken."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = stored(sized(docs).where("doc_id IS NOT NULL AND size IS NOT NULL").join(known, "doc_id"), "labelled")
     share = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if share is None or share in (0.0, 1.0):
         return share or 0.0
-    return fit(labelled_sample(usable, "toxic", DOCS_PER_CLASS, BYTES_PER_CLASS), share)
+    return fit(labelled_sample(docs, usable, "toxic", DOCS_PER_CLASS, BYTES_PER_CLASS), share)
 
 
 def score_toxicity(docs: DataFrame, scorer: Scorer | float) -> DataFrame:
@@ -200,6 +204,6 @@ def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     held_out = remainder(4) == 2
     known = labels.select("doc_id", "toxic").where(~held_out)
-    scorer = train(docs.select("doc_id", "text").join(known, "doc_id"))
+    scorer = train(docs, known)
     made = score_toxicity(docs, scorer)
     return made.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
