@@ -1,8 +1,8 @@
 """Masked pseudo-likelihood: a network over the two words on either side of a word predicts it; the logarithms of these
 probabilities, summed over all words, score a document.
 
-Words are coded by frequency: the commonest each have a code, the rest share hashed ones. A code is a pair of digits,
-predicted one after the other, so that a softmax spans 64 classes. The network is trained in numpy where the examples
+Words are coded by frequency: the commonest each have a code, the rest share hashed ones. A word's vector is weighted by
+where it stands. A code is a pair of digits, predicted one after the other, so that a softmax spans 64 classes. The network is trained in numpy where the examples
 lie: partitions train from the same start and their weights are averaged, round by round.
 """
 
@@ -32,7 +32,7 @@ PART_EXAMPLES, MOST_PARTS, ROUNDS = 1 << 16, 1024, 2
 BATCH, RATE = 256, 0.15
 RUN_BYTES = 1 << 20
 SHAPES = {
-    "side": (len(SIDES), CODES + 1, WIDTH), "bias": (WIDTH,), "first": (WIDTH, DIGITS), "first_bias": (DIGITS,),
+    "word": (CODES + 1, WIDTH), "side": (len(SIDES), WIDTH), "bias": (WIDTH,), "first": (WIDTH, DIGITS), "first_bias": (DIGITS,),
     "given": (DIGITS, WIDTH), "second": (WIDTH, DIGITS), "second_bias": (DIGITS, DIGITS),
 }
 #: Weights travel in so many pieces.
@@ -103,6 +103,7 @@ class Network:
         sizes = [int(np.prod(s)) for s in SHAPES.values()]
         if flat_weights is None:
             flat_weights = np.random.default_rng(11).normal(0, 0.1, sum(sizes)).astype(np.float32)
+            flat_weights[sizes[0] : sizes[0] + sizes[1]] += 1
         self.flat = flat_weights
         cuts = np.cumsum([0, *sizes])
         self.w = {name: self.flat[a:b].reshape(s) for (name, s), a, b in zip(SHAPES.items(), cuts, cuts[1:])}
@@ -110,7 +111,7 @@ class Network:
     def hidden(self, around: np.ndarray) -> np.ndarray:
         total = np.repeat(self.w["bias"][None], around.shape[1], axis=0)
         for k in range(len(SIDES)):
-            total += self.w["side"][k][around[k]]
+            total += self.w["word"][around[k]] * self.w["side"][k]
         return np.tanh(total)
 
     def log_probabilities(self, codes: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -140,7 +141,8 @@ class Network:
         np.add.at(s["given"], first, back)
         np.add.at(s["second_bias"], first, q)
         for k in range(len(SIDES)):
-            np.add.at(s["side"][k], around[k], back_h)
+            s["side"][k] = (back_h * w["word"][around[k]]).sum(axis=0)
+            np.add.at(s["word"], around[k], back_h * w["side"][k])
         squares += slope.flat**2
         self.flat -= RATE * slope.flat / (np.sqrt(squares) + 1e-6)
 
