@@ -15,16 +15,32 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Texts are handled in runs of rows of about this many bytes, so that work arrays stay small; one longer text is one run.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
+RUN_ROWS = 2048
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Text that Spark sends a Python worker at a time, and may hold there and in the JVM in several copies.
+BATCH_BYTES = 4 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def with_small_batches(docs: DataFrame) -> DataFrame:
+    """The same table, after its session's Arrow batches were limited to BATCH_BYTES, if they were larger. A limit given
+    in another unit than bytes is someone's choice and stays."""
+    spark = docs.sparkSession
+    size = spark.conf.get(_SETTING).removesuffix("b")
+    if size.isdigit() and int(size) > BATCH_BYTES:
+        spark.conf.set(_SETTING, f"{BATCH_BYTES}b")
+    return docs
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns every text operator needs, whatever else the table holds."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,14 +55,14 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(batch: pa.RecordBatch, column: str = "text", run_bytes: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
-    """A batch cut into runs of rows of bounded size."""
+    """A batch cut into runs of at most RUN_ROWS rows and about ``run_bytes`` of text."""
     if not batch.num_rows:
         return
     _, offsets = flat(batch.column(column))
     start = 0
     while start < batch.num_rows:
         stop = int(np.searchsorted(offsets, offsets[start] + run_bytes, side="right")) - 1
-        stop = min(max(stop, start + 1), batch.num_rows)
+        stop = min(max(stop, start + 1), start + RUN_ROWS, batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
 

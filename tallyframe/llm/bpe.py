@@ -24,7 +24,7 @@ from tallyframe.llm.batches import flat, id_and_text, prefix_hashes, read_table,
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces whose ids a worker keeps between runs of texts.
 KEPT_PIECES = 1 << 18
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 20
 _LETTER, _NUMBER, _BLANK, _OTHER = range(4)
 
 

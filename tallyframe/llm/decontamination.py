@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.batches import U64, flat, id_and_text, mix, read_table, runs
+from tallyframe.llm.batches import U64, flat, id_and_text, mix, read_table, runs, with_small_batches
 
 #: A window matches an item if at most this share of the item's bytes is edited.
 EDIT_SHARE = 0.10
@@ -312,7 +312,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for items in _passes(benchmark):
-        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+        docs = with_small_batches(docs).mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
     return docs
 
 

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.batches import U64, flat, id_and_text, mix, prefix_hashes, read_table, runs, span_hashes, word_spans
+from tallyframe.llm.batches import (
+    U64, flat, id_and_text, mix, prefix_hashes, read_table, runs, span_hashes, with_small_batches, word_spans,
+)
 
 #: Measures of a text, each a share of its words.
 MEASURES = ("shouted", "marked", "trailing_signs", "bare_signs", "repeated", "echoed", "lettered")
@@ -244,7 +246,7 @@ def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
                 measures, shapes = measured(*flat(part.column("text")))
                 yield part.filter(pa.array(scored(own, measures, shapes) >= LEAST_SCORE))
 
-    return docs.mapInArrow(run, docs.schema)
+    return with_small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.batches import flat, id_and_text, lowered, read_table, runs
+from tallyframe.llm.batches import flat, id_and_text, lowered, read_table, runs, with_small_batches
 
 #: Kinds in the order that breaks ties between spans with one start.
 KINDS = ("assign", "access", "hex", "checked_token", "web_token")
@@ -172,7 +172,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 columns[text_at] = pa.array(cut, part.schema.field(text_at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    made = docs.mapInArrow(run, schema)
+    made = with_small_batches(docs).mapInArrow(run, schema)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         made = made.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(kind)))

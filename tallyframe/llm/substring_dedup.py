@@ -189,7 +189,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, offsets = flat(part.column("text"))
             covered = np.zeros(len(data) + 1, dtype=np.int32)
             spans = part.column("spans")
-            counts = np.array([len(s) if s is not None else 0 for s in spans.to_pylist()], dtype=np.int64)
+            counts = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             each = spans.flatten()
             base = np.repeat(offsets[:-1], counts)
             np.add.at(covered, base + each.field("low").to_numpy(), 1)
