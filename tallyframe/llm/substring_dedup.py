@@ -207,6 +207,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _untouched(held):
+    """Results of texts that have no spans for sure."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _split(held, False)(batches):
+            none = pa.nulls(batch.num_rows, SPANS)
+            yield from _cut(iter([pa.RecordBatch.from_arrays([*batch.columns, none], names=[*batch.schema.names, "spans"])]))
+
+    return run
+
+
+SPANS = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -261,10 +273,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     held = sc.broadcast(bitmap(numbered, "number"))
     same = "doc_id long, text string, tid binary"
     touched = keyed.mapInArrow(_split(held, True), same).join(spans, "tid", "left").select("doc_id", "text", "spans")
-    rest = keyed.mapInArrow(_split(held, False), same).select(
-        "doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
-    )
-    return touched.unionByName(rest).mapInArrow(_cut, RESULT)
+    # One Python worker to a task: texts without spans are told apart and cut in one function.
+    return touched.mapInArrow(_cut, RESULT).unionByName(keyed.mapInArrow(_untouched(held), RESULT))
 
 
 def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
