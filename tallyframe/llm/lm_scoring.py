@@ -2,8 +2,8 @@
 probabilities, summed over all words, score a document.
 
 Words are coded by frequency: the commonest each have a code, the rest share hashed ones. A word's vector is weighted by
-where it stands. A code is a pair of digits, predicted one after the other, so that a softmax spans 64 classes. The network is trained in numpy where the examples
-lie: partitions train from the same start and their weights are averaged, round by round.
+where it stands. A code is a pair of digits, predicted one after the other, so that a softmax spans 64 classes. The network is trained in numpy where the texts
+lie, on every word: partitions train from the same start and their weights are averaged, round by round.
 """
 
 from __future__ import annotations
@@ -25,10 +25,8 @@ CODES = DIGITS * DIGITS
 COMMON = CODES - DIGITS
 SIDES = (-2, -1, 1, 2)
 WIDTH = 24
-#: One word in so many, chosen by its hash and place, is an example to train on.
-EXAMPLE_RATE = 64
-#: Examples that one partition trains on, at about; and rounds of averaging.
-PART_EXAMPLES, MOST_PARTS, ROUNDS = 1 << 16, 1024, 2
+#: Words that one partition trains on, at least and at about; and rounds of averaging, each over all words.
+PART_EXAMPLES, ROUNDS = 1 << 16, 2
 BATCH, RATE = 256, 0.15
 RUN_BYTES = 1 << 20
 SHAPES = {
@@ -79,23 +77,6 @@ def contexts(codes: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-def _examples(coder):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in runs(batch):
-                hashes, row = word_hashes(*flat(part.column("text")))
-                codes = coder.value(hashes)
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                chosen = np.flatnonzero(mix(hashes + place.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) % U64(EXAMPLE_RATE) == 0)
-                around = contexts(codes, row)[:, chosen]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(codes[chosen].astype(np.int16)), *[pa.array(c.astype(np.int16)) for c in around]],
-                    names=["code", "c0", "c1", "c2", "c3"],
-                )
-
-    return run
-
-
 class Network:
     """Weights in one flat array, seen by name."""
 
@@ -124,32 +105,48 @@ class Network:
 
     def train(self, codes: np.ndarray, around: np.ndarray, squares: np.ndarray) -> None:
         """One step of Adagrad on a batch."""
-        first, second = np.divmod(codes, DIGITS)
-        w, n = self.w, len(codes)
-        h = self.hidden(around)
+        self.step(codes, around, Network(squares).w)
+
+    def step(self, codes: np.ndarray, around: np.ndarray, sums: dict[str, np.ndarray]) -> None:
+        """The same, with the sums of squares seen by name."""
+        first, second = codes // DIGITS, codes % DIGITS
+        w, rows = self.w, np.arange(len(codes))
+        vectors = w["word"].take(around, axis=0)
+        h = np.tanh(np.einsum("knd,kd->nd", vectors, w["side"]) + w["bias"])
         p = _softmax(h @ w["first"] + w["first_bias"])
-        p[np.arange(n), first] -= 1
-        given = np.tanh(h + w["given"][first])
-        q = _softmax(given @ w["second"] + w["second_bias"][first])
-        q[np.arange(n), second] -= 1
-        back = (q @ w["second"].T) * (1 - given**2)
-        back_h = (p @ w["first"].T + back) * (1 - h**2)
-        slope = Network(np.zeros_like(self.flat))
-        s = slope.w
-        s["first"][:], s["first_bias"][:], s["second"][:] = h.T @ p, p.sum(axis=0), given.T @ q
-        s["bias"][:] = back_h.sum(axis=0)
-        np.add.at(s["given"], first, back)
-        np.add.at(s["second_bias"], first, q)
-        for k in range(len(SIDES)):
-            s["side"][k] = (back_h * w["word"][around[k]]).sum(axis=0)
-            np.add.at(s["word"], around[k], back_h * w["side"][k])
-        squares += slope.flat**2
-        self.flat -= RATE * slope.flat / (np.sqrt(squares) + 1e-6)
+        p[rows, first] -= 1
+        given = np.tanh(h + w["given"].take(first, axis=0))
+        q = _softmax(given @ w["second"] + w["second_bias"].take(first, axis=0))
+        q[rows, second] -= 1
+        back = (q @ w["second"].T) * (1 - given * given)
+        back_h = (p @ w["first"].T + back) * (1 - h * h)
+        chosen = np.zeros((len(codes), DIGITS), dtype=np.float32)
+        chosen[rows, first] = 1
+        slopes = {
+            "first": h.T @ p, "first_bias": p.sum(axis=0), "second": given.T @ q, "bias": back_h.sum(axis=0),
+            "given": chosen.T @ back, "second_bias": chosen.T @ q, "side": np.einsum("nd,knd->kd", back_h, vectors),
+        }
+        # Only vectors of words that stand around have a slope.
+        words = around.ravel()
+        order = np.argsort(words.astype(np.uint16), kind="stable")
+        words = words[order]
+        begins = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        each = (back_h[None] * w["side"][:, None]).reshape(-1, WIDTH).take(order, axis=0)
+        own, s = words[begins], np.add.reduceat(each, begins)
+        grown = sums["word"].take(own, axis=0) + s * s
+        sums["word"][own] = grown
+        w["word"][own] -= RATE * s / (np.sqrt(grown) + 1e-6)
+        for name, s in slopes.items():
+            sums[name] += s * s
+            w[name] -= RATE * s / (np.sqrt(sums[name]) + 1e-6)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    """In place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def _log_softmax(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -157,16 +154,20 @@ def _log_softmax(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return x[np.arange(len(x)), chosen] - np.log(np.exp(x).sum(axis=1))
 
 
-def _trained(start):
+def _trained(start, coder):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Network(start.value.copy()), 0
-        squares = np.full_like(own.flat, 1e-2)
+        own, seen, random = Network(start.value.copy()), 0, np.random.default_rng(7)
+        squares = Network(np.full_like(own.flat, 1e-2)).w
         for batch in batches:
-            codes, *around = (c.to_numpy().astype(np.int32) for c in batch.columns)
-            around = np.stack(around)
-            for low in range(0, len(codes), BATCH):
-                own.train(codes[low : low + BATCH], around[:, low : low + BATCH], squares)
-            seen += len(codes)
+            for part in runs(batch):
+                hashes, row = word_hashes(*flat(part.column("text")))
+                codes = coder.value(hashes)
+                around = contexts(codes, row)
+                order = random.permutation(len(codes))
+                for low in range(0, len(codes), BATCH):
+                    some = order[low : low + BATCH]
+                    own.step(codes[some], around[:, some], squares)
+                seen += len(codes)
         if seen:
             pieces = np.array_split(own.flat, PIECES)
             yield pa.RecordBatch.from_arrays(
@@ -187,27 +188,21 @@ def _summed(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame) -> tuple[Coder, Network] | None:
-    """A coder from the counts of all words of ``docs``, and a network trained on one word in EXAMPLE_RATE of them, with
-    its neighbours; None if there is no example. Null texts count as empty."""
+    """A coder from the counts of all words of ``docs``, and a network trained on every one of them with its neighbours;
+    None if there is no word. Null texts count as empty."""
     texts, spark = id_and_text(docs).select("text"), docs.sparkSession
-    counts = texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    common = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
-    coder = Coder([row.word for row in common])
-    columns = ["code", "c0", "c1", "c2", "c3"]
-    made = stored(
-        texts.mapInArrow(_examples(spark.sparkContext.broadcast(coder)), ", ".join(f"{c} short" for c in columns)), "examples"
-    )
-    n = made.count()
+    counts = stored(texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    n = counts.agg(F.sum("n")).first()[0]
     if not n:
         return None
-    parts = min(MOST_PARTS, max(1, -(-n // PART_EXAMPLES)))
+    common = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    coder = Coder([row.word for row in common])
+    shared = spark.sparkContext.broadcast(coder)
     network = Network()
-    for turn in range(ROUNDS):
-        # Equal examples are dealt out by a random number that stays the same if a task runs again.
-        mixed = made.withColumn("place", F.rand(7 + turn)).repartition(parts, "place").sortWithinPartitions("place", *columns)
+    for _ in range(ROUNDS):
         start = spark.sparkContext.broadcast(network.flat)
         schema = "piece int, n long, weights binary"
-        sums = mixed.select(*columns).mapInArrow(_trained(start), schema)
+        sums = texts.coalesce(-(-n // PART_EXAMPLES)).mapInArrow(_trained(start, shared), schema)
         for share in (32, 1):  # of many partitions, never all in one task
             lot = F.pmod(F.xxhash64("n", "weights"), F.lit(share)).alias("lot")
             sums = sums.groupBy("piece", lot).applyInPandas(_summed, schema)

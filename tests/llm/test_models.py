@@ -170,3 +170,25 @@ def test_lm_on_awkward_documents(spark):
     assert len(rows) == len(cases.AWKWARD) and all(r.log_likelihood <= 0 for r in rows)
     assert lm_scoring.train(cases.empty(spark)) is None
     assert lm_scoring.score_documents(docs, None).count() == len(cases.AWKWARD)
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_lm_trains_on_every_word():
+    texts = ["to be or not to be", None, "", "that is the question to be asked"]
+    hashes, _ = lm_scoring.word_hashes(*flat(pa.array(texts)))
+    coder = lm_scoring.Coder([int(h) for h in np.unique(hashes).view(np.int64)])
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    (made,) = lm_scoring._trained(Shared(lm_scoring.Network().flat), Shared(coder))(iter([batch]))
+    assert set(made.column("n").to_pylist()) == {len(hashes)}
+
+
+def test_lm_learns_from_a_table_of_few_words(spark):
+    docs = cases.documents(spark, [(1, "a cat sat here", "en")])
+    model = lm_scoring.train(docs)
+    assert model is not None
+    (row,) = lm_scoring.score_documents(docs, model).collect()
+    assert row.mean_log_likelihood > -math.log(lm_scoring.CODES)
