@@ -1,18 +1,21 @@
 """Masked pseudo-likelihood: a network over the two words on either side of a word predicts it; the logarithms of these
 probabilities, summed over all words, score a document.
 
-Words are coded by frequency: the commonest each have a code, the rest share hashed ones. A word's vector is weighted by
-where it stands. A code is a pair of digits, predicted one after the other, so that a softmax spans 64 classes. The network is trained in numpy where the texts
+Words are coded by frequency: the commonest each have a code, the rest share hashed ones. The probability of a word that
+shares a code is that of the code times the word's share of it, from the counts of all words; a word never counted has its
+spelling's part of what Witten and Bell set aside for such. A word's vector is weighted by where it stands. A code is a pair of digits, predicted one after the other, so that a softmax spans 64 classes. The network is trained in numpy where the texts
 lie, on every word: partitions train from the same start and their weights are averaged, round by round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +48,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words, and with no word those of each byte in words and, as byte 256, of their ends."""
     for batch in batches:
         for part in runs(batch):
-            words, counts = np.unique(word_hashes(*flat(part.column("text")))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+            data, offsets = flat(part.column("text"))
+            starts, ends, _ = word_spans(data, offsets)
+            words, counts = np.unique(word_hashes(data, offsets)[0], return_counts=True)
+            letters = np.bincount(lowered(data), minlength=257)
+            letters[[0x20, *range(0x09, 0x0E)]], letters[256] = 0, len(starts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int16()), pa.array(words.view(np.int64)), pa.array(counts)], COUNTED)
+            yield pa.RecordBatch.from_arrays([pa.array(range(257), pa.int16()), pa.nulls(257, pa.int64()), pa.array(letters)], COUNTED)
+
+
+COUNTED = ["byte", "word", "n"]
 
 
 class Coder:
@@ -67,6 +79,33 @@ class Coder:
         return np.where(self.hashes[at] == hashes, self.codes[at], rare)
 
 
+def _pools(coder):
+    """Total and number of the words of each shared code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, n = coder.value(batch.column("word").to_numpy().view(np.uint64)), batch.column("n").to_numpy()
+            pooled, pool = codes >= COMMON, codes - COMMON
+            total = np.bincount(pool[pooled], n[pooled], minlength=DIGITS).astype(np.int64)
+            kinds = np.bincount(pool[pooled], minlength=DIGITS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(DIGITS), pa.int32()), pa.array(total), pa.array(kinds)], ["pool", "n", "kinds"])
+
+    return run
+
+
+def _shares(coder, pools: np.ndarray):
+    """Logarithm of each counted word's share of its shared code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, n = coder.value(batch.column("word").to_numpy().view(np.uint64)), batch.column("n").to_numpy()
+            pooled = codes >= COMMON
+            share = np.log(n[pooled]) - np.log(pools.sum(axis=0)[codes[pooled] - COMMON])
+            yield pa.RecordBatch.from_arrays([batch.column("word").filter(pa.array(pooled)), pa.array(share)], ["word", "share"])
+
+    return run
+
+
 def contexts(codes: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Codes of the words at SIDES of each word; beyond its text the code for no word."""
     out = np.full((len(SIDES), len(codes)), CODES, dtype=np.int32)
@@ -187,17 +226,41 @@ def _summed(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": [group["piece"].iloc[0]], "n": [group["n"].sum()], "weights": [total.astype(np.float32).tobytes()]})
 
 
-def train(docs: DataFrame) -> tuple[Coder, Network] | None:
+@dataclass
+class Model:
+    coder: Coder
+    network: Network
+    #: Counts of all words (word, n); counts and kinds of words by shared code; logarithms of the shares of bytes and ends.
+    counts: DataFrame
+    pools: np.ndarray
+    spelling: np.ndarray
+
+    def unseen(self) -> np.ndarray:
+        """Logarithm of what each shared code leaves to words that were never counted."""
+        total, kinds = self.pools
+        return np.where(kinds > 0, np.log(np.maximum(kinds, 1)) - np.log(np.maximum(total + kinds, 1)), 0.0)
+
+
+def train(docs: DataFrame) -> Model | None:
     """A coder from the counts of all words of ``docs``, and a network trained on every one of them with its neighbours;
     None if there is no word. Null texts count as empty."""
     texts, spark = id_and_text(docs).select("text"), docs.sparkSession
-    counts = stored(texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    n = counts.agg(F.sum("n")).first()[0]
+    made = texts.mapInArrow(_count_words, "byte short, word long, n long").groupBy("byte", "word").agg(F.sum("n").alias("n"))
+    made = stored(made, "words")
+    counts = made.where("byte IS NULL").select("word", "n")
+    letters = np.ones(257, np.int64)
+    for row in made.where("byte IS NOT NULL").collect():
+        letters[row.byte] += row.n
+    n = int(letters[256]) - 1
     if not n:
         return None
     common = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
     coder = Coder([row.word for row in common])
     shared = spark.sparkContext.broadcast(coder)
+    pools = np.zeros((2, DIGITS), np.int64)
+    found = counts.mapInArrow(_pools(shared), "pool int, n long, kinds long").groupBy("pool")
+    for row in found.agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
+        pools[:, row.pool] = row.n, row.kinds
     network = Network()
     for _ in range(ROUNDS):
         start = spark.sparkContext.broadcast(network.flat)
@@ -208,40 +271,69 @@ def train(docs: DataFrame) -> tuple[Coder, Network] | None:
             sums = sums.groupBy("piece", lot).applyInPandas(_summed, schema)
         rows = sorted(sums.collect(), key=lambda r: r.piece)
         network = Network(np.concatenate([np.frombuffer(r.weights, dtype=np.float32) / np.float32(r.n) for r in rows]).astype(np.float32))
-    return coder, network
+    return Model(coder, network, counts, pools, np.log(letters / letters.sum()))
 
 
-def score_documents(docs: DataFrame, model: tuple[Coder, Network] | None) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, n_words, log_likelihood (natural, summed over words) and mean_log_likelihood (null without words) of
     every row of ``docs`` (doc_id, text).
 
     Null, empty and blank texts have no words and 0. Without a model every word has the probability 1 / CODES. Rows
     are kept one for one, also those without doc_id and repeated ones; other columns are not read.
     """
-    coder, network = model or (None, None)
-    shared = docs.sparkSession.sparkContext.broadcast((coder, network.flat if network else None))
+    shared = docs.sparkSession.sparkContext.broadcast(
+        model and (model.coder, model.network.flat, model.unseen(), model.spelling)
+    )
+    names = ["row", "doc_id", "n_words", "word", "times", "amount"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, weights = shared.value
+        """Rows with n_words have the amount of all codes of a text; the others a word of a shared code, how often the text
+        holds it, and the amount for once if it was never counted."""
+        coder, weights, unseen, spelling = shared.value or (None, None, None, None)
         own = Network(weights) if weights is not None else None
+        next_row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in runs(batch, run_bytes=RUN_BYTES):
-                hashes, row = word_hashes(*flat(part.column("text")))
+                data, offsets = flat(part.column("text"))
+                hashes, row = word_hashes(data, offsets)
                 said = np.full(len(hashes), -np.log(CODES))
+                ids = next_row + np.arange(part.num_rows)
+                next_row += part.num_rows
                 if own is not None and len(hashes):
                     codes = coder(hashes)
                     around = contexts(codes, row)
                     for low in range(0, len(codes), 8192):
                         some = slice(low, low + 8192)
                         said[some] = own.log_probabilities(codes[some], around[:, some])
+                    pooled = np.flatnonzero(codes >= COMMON)
+                    pooled = pooled[np.lexsort((hashes[pooled], row[pooled]))]
+                    new = np.flatnonzero((np.diff(hashes[pooled], prepend=U64(0)) != 0) | (np.diff(row[pooled], prepend=-1) != 0))
+                    times = np.diff(np.append(new, len(pooled)))
+                    at = pooled[new]
+                    starts, ends, _ = word_spans(data, offsets)
+                    letters = np.concatenate([[0.0], np.cumsum(spelling[lowered(data)])])
+                    spelled = letters[ends[at]] - letters[starts[at]] + spelling[256] + unseen[codes[at] - COMMON]
+                    none = pa.nulls(len(at), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[row[at]]), none, none, pa.array(hashes[at].view(np.int64)), pa.array(times), pa.array(spelled)], names
+                    )
                 words = np.bincount(row, minlength=part.num_rows)
-                total = np.bincount(row, said, minlength=part.num_rows)
+                total = np.bincount(row, said, minlength=part.num_rows).astype(np.float64)
+                # These meet no word; a hash deals them out.
+                dealt = mix(ids.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(words, pa.int64()), pa.array(total.astype(np.float64))],
-                    names=["doc_id", "n_words", "log_likelihood"],
+                    [pa.array(ids), part.column("doc_id"), pa.array(words, pa.int64()), pa.array(dealt), pa.nulls(len(ids), pa.int64()), pa.array(total)],
+                    names,
                 )
 
-    made = id_and_text(docs).mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
+    made = id_and_text(docs).mapInArrow(run, "row long, doc_id long, n_words long, word long, times long, amount double")
+    if model:
+        coder = docs.sparkSession.sparkContext.broadcast(model.coder)
+        shares = model.counts.mapInArrow(_shares(coder, model.pools), "word long, share double")
+        amount = F.when(F.col("times").isNull(), F.col("amount")).otherwise(F.col("times") * F.coalesce("share", "amount"))
+        made = made.join(shares, "word", "left").groupBy("row")
+        made = made.agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(amount).alias("amount"))
+    made = made.select("doc_id", "n_words", F.col("amount").alias("log_likelihood"))
     return made.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", F.col("n_words").cast("double")))
 
 

@@ -192,3 +192,37 @@ def test_lm_learns_from_a_table_of_few_words(spark):
     assert model is not None
     (row,) = lm_scoring.score_documents(docs, model).collect()
     assert row.mean_log_likelihood > -math.log(lm_scoring.CODES)
+
+
+def test_lm_words_of_a_shared_code_have_probabilities_of_their_own(spark):
+    common = [f"c{i}" for i in range(lm_scoring.COMMON)]
+    rare = [f"r{i}" for i in range(400)]
+    new = [f"new{'x' * (i % 7)}{i}" for i in range(400)]
+    docs = cases.documents(spark, [(1, " ".join(common * 3 + rare[:200] * 2 + rare[200:]), "en")])
+    model = lm_scoring.train(docs)
+    words = rare + new
+    hashes, _ = lm_scoring.word_hashes(*flat(pa.array(words)))
+    pool = model.coder(hashes)
+    assert (pool >= lm_scoring.COMMON).all()
+    rows = lm_scoring.score_documents(cases.documents(spark, [(i, w, None) for i, w in enumerate(words)]), model).collect()
+    said = {r.doc_id: r.log_likelihood for r in rows}
+    assert len(rows) == len(words)
+    for code in np.unique(pool):
+        own = np.flatnonzero(pool == code)
+        twice, once, never = ([said[i] for i in own if a <= i < b] for a, b in ((0, 200), (200, 400), (400, 800)))
+        network = model.network.log_probabilities(np.array([code]), np.full((4, 1), lm_scoring.CODES))[0]
+        counted = 2 * len(twice) + len(once)
+        assert twice == pytest.approx([network + math.log(2 / (counted + len(twice) + len(once)))] * len(twice))
+        assert once == pytest.approx([network + math.log(1 / (counted + len(twice) + len(once)))] * len(once))
+        assert all(n < o for n in never for o in once)
+        assert sum(math.exp(s - network) for s in twice + once + never) <= 1 + 1e-6
+        longest = [len(words[i]) for i in own if i >= 400]
+        assert len({round(s, 6) for s in never}) > 1 or len(set(longest)) < 2
+
+
+def test_lm_keeps_repeated_rows_one_for_one(spark):
+    text = " ".join(f"w{i}" for i in range(5000))
+    docs = cases.documents(spark, [(1, text, "en"), (1, text, "en"), (1, "w1 w4999", "en"), (None, text, "en"), (None, text, "en")])
+    rows = lm_scoring.score_documents(docs, lm_scoring.train(docs)).collect()
+    assert sorted((r.doc_id or 0, r.n_words) for r in rows) == [(0, 5000), (0, 5000), (1, 2), (1, 5000), (1, 5000)]
+    assert len({round(r.log_likelihood, 3) for r in rows}) == 2
