@@ -148,7 +148,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     first = np.searchsorted(row, np.arange(rows + 1))
     joined = np.zeros(len(hashes), dtype=np.uint64)
     for k in range(n):
-        joined[: len(hashes) - k] += hashes[k:] * U64((BASE * (2 * k + 3)) & (2**64 - 1))
+        joined[: max(0, len(hashes) - k)] += hashes[k:] * U64((BASE * (2 * k + 3)) & (2**64 - 1))
         joined = mix(joined) if k < n - 1 else joined
     joined = mix(joined)
     out = []

@@ -107,3 +107,9 @@ def test_components(spark):
         (2, 2), (3, 2), (4, 2), (5, 2), (8, 8), (9, 8), (10, 8),
     }
     assert components(links.where("a < 0")).collect() == []
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 4])
+def test_a_single_document_of_few_words(spark, count):
+    rows = [(1, " ".join("abcd"[:count]), "en")]
+    assert found(near_dedup.near_duplicates(cases.documents(spark, rows), 5)) == expected(rows, 5, 80)
