@@ -1,7 +1,8 @@
 """Benchmark decontamination under edit distance: CGK random walks map edits to Hamming distance, bit-sampling LSH over
 item-sized windows finds candidates, and a banded edit distance decides.
 
-Windows begin at words. Before the walks a count sifts them: only windows go on that hold a tenth as many sequences of
+Windows begin at words, and at every character in scripts without blanks; items that stand in a text byte for byte are
+found by hash, wherever they begin. Before the walks a count sifts them: only windows go on that hold a tenth as many sequences of
 twelve bytes found in items as an item of their length has. With a tenth of an item's bytes edited at random places
 0.9 ** 12 = 28 % of its sequences are left, so three times fewer are asked for.
 """
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.batches import U64, flat, id_and_text, mix, read_table, runs, with_small_batches
+from tallyframe.llm.batches import U64, flat, id_and_text, mix, prefix_hashes, read_table, runs, span_hashes, with_small_batches
 
 #: A window matches an item if at most this share of the item's bytes is edited.
 EDIT_SHARE = 0.10
@@ -107,6 +108,17 @@ class Items:
                     order = np.argsort(keys, kind="stable")
                     tables.append((keys[order], order))
             self.tables.append(tables)
+        # Items by their first eight bytes, or all of them.
+        self.hashes = span_hashes(prefix_hashes(self.data), self.starts, ends)
+        first = np.ndarray((len(self.data),), "<u8", np.append(self.data, np.zeros(8, np.uint8)), strides=(1,))[self.starts]
+        self.heads = []
+        for size in np.unique(np.minimum(self.lengths, 8)):
+            mask = U64((1 << 8 * int(size)) - 1)
+            own = np.flatnonzero(np.minimum(self.lengths, 8) == size)
+            own = own[np.argsort(first[own] & mask, kind="stable")]
+            table = np.zeros(1 << 16, dtype=bool)
+            table[(mix(first[own] & mask) >> U64(48)).astype(np.int64)] = True
+            self.heads.append((mask, table, first[own] & mask, own))
 
     def walk(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, w: int, steps: int) -> np.ndarray:
         """CGK images: each step writes the byte under the pointer, and a random bit of (step, byte) moves it on."""
@@ -134,9 +146,7 @@ def candidates(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     if not len(data) or not items.classes:
         return np.zeros((4, 0), np.int64)
     hits = np.concatenate([[0], np.cumsum(items.bitmap[gram_slots(data)])])
-    first = np.zeros(len(data), dtype=bool)
-    first[offsets[:-1][np.diff(offsets) > 0]] = True
-    begins = np.flatnonzero(first | np.append(False, data[:-1] == 32))
+    begins = window_begins(data, offsets)
     ends = offsets[np.searchsorted(offsets, begins, side="right")]
     dense = np.stack([hits[np.minimum(begins + reach, ends)] - hits[begins] >= c for _, reach, c, _ in items.classes])
     some = dense.any(axis=0)
@@ -169,21 +179,76 @@ def candidates(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     return pairs[:, _new(pairs[[2, 0]])]
 
 
+def window_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where a text begins, what follows a character that is neither letter nor digit, and, since many scripts have no
+    blanks, every character of three or four bytes and what follows one; never a blank."""
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    byte = data[at]
+    plain = ((byte >= 97) & (byte <= 122)) | ((byte >= 48) & (byte <= 57)) | ((byte >= 65) & (byte <= 90))
+    second = data[np.minimum(at + 1, len(data) - 1)]
+    sign = (byte == 0xC2) | ((byte == 0xC3) & ((second == 0x97) | (second == 0xB7)))
+    open_after = ((byte < 0x80) & ~plain) | sign | (byte >= 0xE0)
+    begins = np.zeros(len(data), dtype=bool)
+    begins[at] = np.append(False, open_after[:-1]) | (byte >= 0xE0)
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(begins & (data != 32))
+
+
+def verbatim(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Columns (row, item, start) of every place where an item stands byte for byte. One under LEAST_BYTES counts only
+    where no ASCII letter or digit goes on before or after it."""
+    found = [np.zeros((3, 0), np.int64)]
+    heads = np.ndarray((len(data),), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,)).copy()
+    sums = None
+    for mask, table, keys, owners in items.heads:
+        masked = heads & mask
+        at = np.flatnonzero(table[(mix(masked) >> U64(48)).astype(np.int64)])
+        left = np.searchsorted(keys, masked[at], side="left")
+        counts = np.searchsorted(keys, masked[at], side="right") - left
+        if counts.any() and sums is None:
+            sums = prefix_hashes(data)
+        for k in range(int(counts.max(initial=0))):
+            more = counts > k
+            start, item = at[more], owners[left[more] + k]
+            row = np.searchsorted(offsets, start, side="right") - 1
+            end = start + items.lengths[item]
+            good = end <= offsets[row + 1]
+            start, item, row, end = start[good], item[good], row[good], end[good]
+            good = span_hashes(sums, start, end) == items.hashes[item]
+            found.append(np.stack([row[good], item[good], start[good]]))
+    row, item, start = np.concatenate(found, axis=1)
+    letter = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57)) if len(row) else np.zeros(0, bool)
+    end = start + items.lengths[item]
+    last = np.minimum(end, len(data) - 1)
+    cut = (start > offsets[row]) & letter[start - 1] & letter[start] | (end < offsets[row + 1]) & letter[last] & letter[end - 1]
+    whole = ~cut | (items.lengths[item] >= LEAST_BYTES)
+    return np.stack([row, item, start])[:, whole]
+
+
 def _new(columns: np.ndarray) -> np.ndarray:
     """Which columns differ from the one before."""
     return np.append(True, (columns[:, 1:] != columns[:, :-1]).any(axis=0))[: columns.shape[1]]
 
 
 def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Columns (row, item, edits, start, size) of items that occur in a text, one window of each: of the most alike
-    window if it is within the limit, or else of the closest of the others."""
+    """Columns (row, item, edits, start, size) of items that occur in a text, one window of each: the first where it
+    stands byte for byte; or else the most alike window if it is within the limit, or the closest of the others."""
+    if not len(data):
+        return np.zeros((5, 0), np.int64)
+    exact = verbatim(items, data, offsets)
+    exact = exact[:, np.lexsort(exact[::-1])]
+    exact = exact[:, _new(exact[:2])]
+    out = [np.stack([exact[0], exact[1], np.zeros_like(exact[0]), exact[2], items.lengths[exact[1]]])]
     start, end, item, unlike = candidates(items, data, offsets)
     row = np.searchsorted(offsets, start, side="right") - 1
+    open_ = ~np.isin(row * len(items.ids) + item, exact[0] * len(items.ids) + exact[1])
+    start, end, item, unlike, row = start[open_], end[open_], item[open_], unlike[open_], row[open_]
     order = np.lexsort((start, unlike, item, row))
     start, end, item, row = start[order], end[order], item[order], row[order]
     leads = _new(np.stack([row, item]))
     pair = np.cumsum(leads) - 1
-    out, settled = [], np.zeros(int(leads.sum()), dtype=bool)
+    settled = np.zeros(int(leads.sum()), dtype=bool)
     for some in (np.flatnonzero(leads), None):
         some = np.flatnonzero(~leads & ~settled[pair]) if some is None else some
         edits, sizes = edit_distances(items, data, start[some], end[some], item[some])
@@ -281,8 +346,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document and item of ``benchmark`` (item_id, text) that occurs in it: doc_id, item_id, and the edits, start
     and end (in characters) of a window.
 
-    Case and blanks are evened out. An item occurs if some window that begins at a word is within EDIT_SHARE of the
-    item's bytes in edits. Verbatim items are always found; edited ones with the recall of the LSH (see the tests).
+    Case and blanks are evened out. An item occurs if it stands in the text byte for byte, or if some window (see
+    ``window_begins``) is within EDIT_SHARE of the item's bytes in edits. Verbatim items are always found; edited ones with the recall of the LSH (see the tests).
     Null or empty texts match nothing, nor do items without id or under LEAST_BYTES bytes. Rows that repeat a doc_id
     give rows of their own; a null doc_id stays null. Other columns are not read.
     """

@@ -94,6 +94,24 @@ def test_awkward_documents_and_items(spark):
     assert decontamination.contaminated(cases.empty(spark), items).collect() == []
 
 
+def test_items_that_follow_no_blank(spark):
+    english = "what is the boiling point of water at the level of the sea?"
+    chinese = "下列哪一个选项最准确地描述了水在海平面上的沸点以及它随高度的变化"
+    edited = chinese.replace("准", "正").replace("高", "深")
+    items = spark.createDataFrame([(1, english), (2, chinese)], "item_id long, text string")
+    rows = [
+        (1, f"question:{english} yes", {1}), (2, f"<b>{english}</b>", {1}), (3, f"xyzxyzxyz{english}", {1}), (4, f"a\u00a0{english}", {1}),
+        (5, f"前面的句子没有空格{chinese}后面的句子", {2}), (6, f"前面的句子没有空格{edited}后面的句子", {2}), (7, f"前文\u3000{english}", {1}),
+        (8, "question:" + english.replace("boiling", "boilin").replace("what", "that"), {1}), (9, "前面的句子没有空格后面的句子", set()),
+    ]
+    docs = cases.documents(spark, [(i, t, None) for i, t, _ in rows])
+    found = decontamination.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, k) for i, _, held in rows for k in held}
+    texts = {i: t for i, t, _ in rows}
+    assert all(r.edits or texts[r.doc_id][r.start : r.end] in (english, chinese) for r in found)
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()] == [9]
+
+
 def plain_top(vectors, queries, k):
     out = []
     for q in queries:
