@@ -1,10 +1,9 @@
 """Benchmark decontamination under edit distance: CGK random walks map edits to Hamming distance, bit-sampling LSH over
 item-sized windows finds candidates, and a banded edit distance decides.
 
-Windows begin at words, and at every character in scripts without blanks; items that stand in a text byte for byte are
-found by hash, wherever they begin. Before the walks a count sifts them: only windows go on that hold a tenth as many sequences of
-twelve bytes found in items as an item of their length has. With a tenth of an item's bytes edited at random places
-0.9 ** 12 = 28 % of its sequences are left, so three times fewer are asked for.
+Windows begin at words, and at every character in scripts without blanks. Before the walks a count sifts them: k edits
+leave a window with at least n + 1 - q (k + 1) of the sequences of q bytes of an item of n, and q is chosen so that this
+is 1 or more; the sift loses nothing. Items that stand in a text byte for byte are found by hash, wherever they begin.
 """
 
 from __future__ import annotations
@@ -21,10 +20,8 @@ from tallyframe.llm.batches import U64, flat, id_and_text, mix, prefix_hashes, r
 
 #: A window matches an item if at most this share of the item's bytes is edited.
 EDIT_SHARE = 0.10
-#: Items with fewer bytes show nothing by occurring somewhere.
+#: Items with fewer bytes must stand there byte for byte.
 LEAST_BYTES = 24
-#: Length of the sequences that sift windows, and the share of an item's sequences that a window must hold.
-Q, SIFT_SHARE = 12, 0.1
 #: Independent walks, hash tables per walk, and sampled coordinates per table.
 WALKS, TABLES, SAMPLED = 3, 24, 5
 #: Least share of equal bytes in two images for the edits to be counted; unrelated texts have about 0.07.
@@ -34,7 +31,10 @@ CLASS_RATIO = 1.25
 #: Items of one pass over the documents are sent to every executor; more bytes take more passes.
 PASS_BYTES = 8 << 20
 RUN_BYTES = 1 << 20
-BITMAP_BITS = 24
+#: Size of a class's bitmap of sequences: a slot in so many is taken at most, up to the greatest number of slots.
+BITMAP_ROOM, BITMAP_LEAST, BITMAP_MOST = 16, 16, 24
+#: Sequences are counted by item, not only by class, unless one is held by more items than this on average.
+MOST_HOLDERS = 16
 #: Windows that walk at a time.
 BLOCK = 1 << 14
 
@@ -58,11 +58,23 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return data, at[offsets], source
 
 
-def gram_slots(data: np.ndarray) -> np.ndarray:
-    """A bitmap slot for the Q bytes from each position on."""
-    padded = np.concatenate([data, np.zeros(Q, np.uint8)])
-    head, tail = (np.ndarray((len(data),), "<u8", padded[k:].copy(), strides=(1,)) for k in (0, Q - 8))
-    return (mix(head * U64(0x9E3779B97F4A7C15) + tail) >> U64(64 - BITMAP_BITS)).astype(np.int64)
+def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the q bytes from each position on, 9 at most."""
+    padded = np.append(data, np.zeros(9, np.uint8))
+    head = np.ndarray((len(data),), "<u8", padded, strides=(1,)).copy()
+    if q < 8:
+        head &= U64((1 << 8 * q) - 1)
+    elif q > 8:
+        head = head * U64(0x9E3779B97F4A7C15) + padded[8 : 8 + len(data)]
+    return mix(head)
+
+
+def bitmap_of(grams: np.ndarray) -> tuple[int, np.ndarray]:
+    """A bitmap of hashes, by as many of their first bits as it says."""
+    bits = int(np.clip(np.ceil(np.log2(BITMAP_ROOM * len(grams))), BITMAP_LEAST, BITMAP_MOST))
+    bitmap = np.zeros(1 << bits, dtype=bool)
+    bitmap[(grams >> U64(64 - bits)).astype(np.int64)] = True
+    return bits, bitmap
 
 
 @dataclass
@@ -76,19 +88,30 @@ class Items:
 
     def __post_init__(self) -> None:
         self.edits = np.floor(EDIT_SHARE * self.lengths).astype(np.int64)
-        needed = np.ceil(SIFT_SHARE * (self.lengths - Q + 1)).astype(np.int64)
-        self.bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
-        for a, n in zip(self.starts, self.lengths):
-            self.bitmap[gram_slots(self.data[a : a + n])[: n - Q + 1]] = True
-        kinds = np.floor(np.log(self.lengths / LEAST_BYTES) / np.log(CLASS_RATIO)).astype(int)
-        self.classes = []
-        for kind in np.unique(kinds):
-            own = np.flatnonzero(kinds == kind)
-            least, most = self.lengths[own].min(), self.lengths[own].max()
-            reach = most + self.edits[own].max() - Q + 1
+        self.edits[self.lengths < LEAST_BYTES] = 0
+        kinds = np.floor(np.log(np.maximum(self.lengths, 1) / LEAST_BYTES) / np.log(CLASS_RATIO)).astype(int)
+        self.classes, self.sifts = [], []
+        for kind in np.unique(kinds[self.lengths >= LEAST_BYTES]):
+            own = np.flatnonzero((kinds == kind) & (self.lengths >= LEAST_BYTES))
+            n, k = self.lengths[own], self.edits[own]
+            least, most = n.min(), n.max()
+            q = min(9, int(((n - k) // (k + 1)).min()))
+            needed = int((n + 1 - q * (k + 1)).min())
+            grams, holders = [], []
+            for i, a, size in zip(own, self.starts[own], n):
+                grams.append(np.unique(gram_hashes(self.data[a : a + size], q)[: size - q + 1]))
+                holders.append(np.full(len(grams[-1]), i))
+            grams, holders = np.concatenate(grams), np.concatenate(holders)
+            order = np.argsort(grams, kind="stable")
+            grams, holders = grams[order], holders[order]
+            self.sifts.append((q, *bitmap_of(grams), grams, holders))
+            reach = most + k.max() - q + 1
             # Coordinates that a walk reaches before the shortest item of the class ends.
             steps = max(SAMPLED, int(1.6 * least))
-            self.classes.append((own, int(reach), max(1, int(needed[own].min())), steps))
+            self.classes.append((own, int(reach), needed, steps))
+        self.any = {
+            q: bitmap_of(np.concatenate([sift[3] for sift in self.sifts if sift[0] == q])) for q in {sift[0] for sift in self.sifts}
+        }
         self.steps = max((c[3] for c in self.classes), default=0)
         random = np.random.default_rng(5)
         self.moves = random.integers(0, 2, (WALKS, max(1, self.steps), 256), dtype=np.uint8)
@@ -145,10 +168,32 @@ def candidates(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     is the least share, in thousandths, of bytes that differ in two images."""
     if not len(data) or not items.classes:
         return np.zeros((4, 0), np.int64)
-    hits = np.concatenate([[0], np.cumsum(items.bitmap[gram_slots(data)])])
     begins = window_begins(data, offsets)
     ends = offsets[np.searchsorted(offsets, begins, side="right")]
-    dense = np.stack([hits[np.minimum(begins + reach, ends)] - hits[begins] >= c for _, reach, c, _ in items.classes])
+    dense = np.zeros((len(items.classes), len(begins)), dtype=bool)
+    places = {}
+    for q, (bits, bitmap) in items.any.items():
+        hashes = gram_hashes(data, q)
+        hit = bitmap[(hashes >> U64(64 - bits)).astype(np.int64)]
+        before = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
+        at = np.flatnonzero(hit)
+        places[q] = at, hashes[at], before, before[begins]
+    for kind, ((_, reach, least, _), (q, bits, bitmap, grams, holders)) in enumerate(zip(items.classes, items.sifts)):
+        at, hashes, before, low = places[q]
+        hit = bitmap[(hashes >> U64(64 - bits)).astype(np.int64)]
+        hits = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
+        high = before[np.minimum(begins + reach, ends)]
+        dense[kind] = hits[high] - hits[low] >= least
+        own = np.flatnonzero(dense[kind])
+        # Sequences in these windows alone, by the items that hold them.
+        size = len(at) + 1
+        inside = np.cumsum(np.bincount(low[own], minlength=size) - np.bincount(high[own], minlength=size))[:-1] > 0
+        hit &= inside
+        left = np.searchsorted(grams, hashes[hit], side="left")
+        counts = np.searchsorted(grams, hashes[hit], side="right") - left
+        if len(own) and counts.sum() <= MOST_HOLDERS * len(counts):
+            held = of_one_item(items, q, np.repeat(at[hit], counts), holders[spread(left, counts)], len(data))
+            dense[kind, own] = held[begins[own]]
     some = dense.any(axis=0)
     begins, ends, dense = begins[some], ends[some], dense[:, some]
     found = []
@@ -195,6 +240,27 @@ def window_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins & (data != 32))
 
 
+def spread(left: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers left, left + 1, ... of each range, one range after the other."""
+    return np.repeat(left - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def of_one_item(items: Items, q: int, at: np.ndarray, item: np.ndarray, size: int) -> np.ndarray:
+    """From which bytes on a window holds enough sequences of one and the same item, given where (``at``) sequences of
+    which items stand."""
+    order = np.lexsort((at, item))
+    at, item = at[order], item[order]
+    needed = items.lengths[item] + 1 - q * (items.edits[item] + 1)
+    last = np.arange(len(at)) + needed - 1
+    whole = last < len(at)
+    at_last = at[np.minimum(last, len(at) - 1)]
+    whole &= item[np.minimum(last, len(at) - 1)] == item
+    low = np.maximum(at_last - (items.lengths[item] + items.edits[item] - q), 0)
+    whole &= low <= at
+    edges = np.bincount(low[whole], minlength=size + 1)[: size + 1] - np.bincount(at[whole] + 1, minlength=size + 1)[: size + 1]
+    return np.cumsum(edges)[:size] > 0
+
+
 def verbatim(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Columns (row, item, start) of every place where an item stands byte for byte. One under LEAST_BYTES counts only
     where no ASCII letter or digit goes on before or after it."""
@@ -337,7 +403,7 @@ def _passes(benchmark: DataFrame) -> Iterator[Items]:
         data, offsets, _ = normalised(*flat(table["text"].chunk(0)))
         lengths = np.diff(offsets)
         lengths -= (lengths > 0) & (np.append(data, 0)[offsets[1:] - 1] == 32)  # a blank at the end
-        usable = lengths >= LEAST_BYTES
+        usable = lengths > 0
         if usable.any():
             yield Items(table["item_id"].to_numpy()[usable], data, offsets[:-1][usable], lengths[usable])
 
@@ -347,8 +413,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and end (in characters) of a window.
 
     Case and blanks are evened out. An item occurs if it stands in the text byte for byte, or if some window (see
-    ``window_begins``) is within EDIT_SHARE of the item's bytes in edits. Verbatim items are always found; edited ones with the recall of the LSH (see the tests).
-    Null or empty texts match nothing, nor do items without id or under LEAST_BYTES bytes. Rows that repeat a doc_id
+    ``window_begins``) is within EDIT_SHARE of the item's bytes in edits. Verbatim items are always found, those under
+    LEAST_BYTES bytes as whole words and in no other way; edited ones with the recall of the LSH (see the tests).
+    Null or empty texts match nothing, nor do items that are empty or without id. Rows that repeat a doc_id
     give rows of their own; a null doc_id stays null. Other columns are not read.
     """
     docs = id_and_text(docs)

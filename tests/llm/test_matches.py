@@ -112,6 +112,32 @@ def test_items_that_follow_no_blank(spark):
     assert [r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()] == [9]
 
 
+@pytest.mark.parametrize("size", [24, 30, 40, 60, 100, 200])
+def test_recall_of_edited_items_by_length(size):
+    random_ = random.Random(size)
+    letters = "etaoinshrdlu "
+    texts = []
+    for _ in range(200):
+        texts.append("x" + "".join(random_.choice(letters) for _ in range(size - 2)).replace("  ", " e") + "z")
+    data, offsets, _ = decontamination.normalised(*flat(pa.array(texts)))
+    items = decontamination.Items(np.arange(len(texts)), data, offsets[:-1], np.diff(offsets))
+    docs = []
+    for text in texts:
+        edited = list(text)
+        for at in random_.sample(range(size), size // 10):
+            edited[at] = "q"
+        docs.append(f"before it {''.join(edited)} and after it")
+    found = decontamination.matches(items, *decontamination.normalised(*flat(pa.array(docs)))[:2])
+    assert np.mean([k in found[1, found[0] == k] for k in range(len(docs))]) >= 0.93
+
+
+def test_short_items_are_found_verbatim(spark):
+    items = spark.createDataFrame([(1, "What is 2+2?"), (2, "Yes"), (3, "水的沸点")], "item_id long, text string")
+    docs = cases.documents(spark, [(1, "q:what is  2+2?", None), (2, "yesterday eyes", None), (3, "oh yes.", None), (4, "他说水的沸点很高", None), (5, "yes", None)])
+    found = {(r.doc_id, r.item_id, r.edits) for r in decontamination.contaminated(docs, items).collect()}
+    assert found == {(1, 1, 0), (3, 2, 0), (4, 3, 0), (5, 2, 0)}
+
+
 def plain_top(vectors, queries, k):
     out = []
     for q in queries:
