@@ -7,6 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,12 +73,26 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return folder
 
 
-def stored(table: DataFrame, purpose: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stored(
+    table: DataFrame, purpose: str, partition_by: tuple[str, ...] = (), replaces: Iterable[DataFrame] = ()
+) -> DataFrame:
     """The table written to a new shared folder and read back: its lineage ends there, so a lost executor costs
-    no more than the stage that runs."""
+    no more than the stage that runs. Stored tables that it ``replaces`` are released once it is written."""
     folder = shared_folder(table.sparkSession, purpose)
     table.write.partitionBy(*partition_by).parquet(folder)
-    return table.sparkSession.read.schema(table.schema).parquet(folder)
+    read = table.sparkSession.read.schema(table.schema).parquet(folder)
+    read._shared_folder = folder
+    release(*replaces)
+    return read
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the folders behind tables that ``stored`` gave, now that nothing reads them any more. Neither they nor what
+    is derived from them can be read afterwards; other tables are left alone."""
+    for table in tables:
+        folder = getattr(table, "_shared_folder", None)
+        if folder:
+            remove_shared_folders(folder)
 
 
 _made: list[tuple] = []
