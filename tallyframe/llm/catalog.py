@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import bpe, decontamination, langid, lm_scoring, near_dedup, quality, secrets, substring_dedup, topk_search, toxicity
+from tallyframe.llm import (
+    bpe, decontamination, langid, lm_scoring, near_dedup, quality, secrets, spelling, substring_dedup, topk_search, toxicity,
+)
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_masked_lm_scoring": lm_scoring.op8_masked_lm_scoring,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_repeated_substrings": substring_dedup.op10_repeated_substrings,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op7_block_topk_search": topk_search.ORACLE,
