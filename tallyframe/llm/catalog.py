@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tallyframe.llm import (
-    bpe, decontamination, langid, lm_scoring, near_dedup, quality, secrets, spelling, substring_dedup, topk_search, toxicity,
+    bpe, clustering, decontamination, embedding_dedup, langid, lm_scoring, near_dedup, quality, secrets, spelling, substring_dedup, topk_search, toxicity,
 )
 
 QUERIES = {
@@ -18,7 +18,10 @@ QUERIES = {
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
     "op10_repeated_substrings": substring_dedup.op10_repeated_substrings,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_embedding_near_dedup": embedding_dedup.op12_embedding_near_dedup,
+    "op13_centroid_clustering": clustering.op13_centroid_clustering,
 }
 ORACLES: dict[str, str] = {
     "op7_block_topk_search": topk_search.ORACLE,
+    "op13_centroid_clustering": clustering.ORACLE,
 }
