@@ -76,39 +76,82 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-#: Base of the polynomial hash. It is 5 modulo 8, so that powers differ in nearly all bits.
-BASE = 0x9E3779B97F4A7C15
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * U64(0xD1342543DE82EF95))
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the base, or of its inverse modulo 2**64."""
-    key = "inverse" if inverse else "base"
-    if key not in _powers or len(_powers[key]) < n:
-        base = pow(BASE, -1, 1 << 64) if inverse else BASE
-        size = max(n, RUN_BYTES + 1024)
-        values = np.full(size, base, dtype=np.uint64)
-        values[0] = 1
-        made = np.cumprod(values)
-        if size > 8 * RUN_BYTES:  # not kept for the sake of one huge text
-            return made[:n]
-        _powers[key] = made
-    return _powers[key][:n]
-
-
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; one more value than bytes. See ``span_hashes``."""
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_VALUES[data] * powers(len(data)), out=sums[1:])
-    return sums
-
-
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans that depend on the bytes and their number alone."""
-    raw = (sums[ends] - sums[starts]) * powers(len(sums), inverse=True)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * U64(0xA24BAED4963EE407))
+#: Bytes that are hashed or compared at a time; longer spans than the second are compared one by one.
+_GRAM, _LONG = 8, 1 << 10
+_PLACE, _LENGTH, _JOIN = U64(0xD1342543DE82EF95), U64(0xA24BAED4963EE407), U64(0x9E3779B97F4A7C15)
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number, zeros after the end; a view that is read where it is indexed."""
+    return np.ndarray((len(data),), "<u8", np.append(data, np.zeros(_GRAM, np.uint8)), strides=(1,))
+
+
+def spread(left: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers left, left + 1, ... of each range, one range after the other."""
+    return np.repeat(left - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans that depend on the bytes and their number alone.
+
+    Eight bytes at a time are scrambled together with their place in the span, and the results are added up. A sum of
+    powers of a base would be cheaper to take from running sums, but there are texts that make it collide for any base.
+    """
+    lengths = ends - starts
+    counts = -(-lengths // _GRAM)
+    out = np.zeros(len(starts), dtype=np.uint64)
+    held = grams(data)
+    for low, high in _lots(counts):  # work arrays stay small
+        n = counts[low:high]
+        place = spread(np.zeros(high - low, np.int64), n)
+        left = np.repeat(lengths[low:high], n) - _GRAM * place
+        words = held[np.repeat(starts[low:high], n) + _GRAM * place]
+        short = left < _GRAM
+        words[short] &= (U64(1) << (U64(8) * left[short].astype(np.uint64))) - U64(1)
+        values = mix(words ^ mix((place + 1).astype(np.uint64) * _PLACE))
+        filled = n > 0
+        if filled.any():
+            out[low:high][filled] = np.add.reduceat(values, (np.cumsum(n) - n)[filled])
+    return mix(out + lengths.astype(np.uint64) * _LENGTH)
+
+
+def _lots(counts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose counts add up to about ``most``; a larger one stands alone."""
+    ends, low = np.cumsum(counts), 0
+    while low < len(counts):
+        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right"))
+        high = max(high, low + 1)
+        yield low, high
+        low = high
+
+
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` bytes from each position on, eight at least: hashes of halves are scrambled together."""
+    size = _GRAM
+    held = mix(np.array(grams(data)[: max(0, len(data) - _GRAM + 1)]))
+    while size < width:
+        step = min(size, width - size)
+        held = mix(held[: max(0, len(held) - step)] * _JOIN + held[step:])
+        size += step
+    return held
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether spans of two byte arrays are equal, byte for byte."""
+    same = np.ones(len(lengths), dtype=bool)
+    for i in np.flatnonzero(lengths > _LONG):
+        same[i] = np.array_equal(a[a_at[i] : a_at[i] + lengths[i]], b[b_at[i] : b_at[i] + lengths[i]])
+    of_a, of_b = grams(a), grams(b)
+    open_, done = np.flatnonzero((lengths > 0) & (lengths <= _LONG)), 0
+    while len(open_):
+        left = np.minimum(lengths[open_] - done, _GRAM).astype(np.uint64)
+        differ = of_a[a_at[open_] + done] ^ of_b[b_at[open_] + done]
+        equal = (differ << (U64(8) * (U64(_GRAM) - left))) == 0
+        same[open_[~equal]] = False
+        done += _GRAM
+        open_ = open_[equal]
+        open_ = open_[lengths[open_] > done]
+    return same
 
 
 @lru_cache(maxsize=1)
@@ -144,11 +187,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     rows = len(offsets) - 1
     data = lowered(data)
     starts, ends, row = word_spans(data, offsets)
-    hashes = span_hashes(prefix_hashes(data), starts, ends)
+    hashes = span_hashes(data, starts, ends)
     first = np.searchsorted(row, np.arange(rows + 1))
     joined = np.zeros(len(hashes), dtype=np.uint64)
     for k in range(n):
-        joined[: max(0, len(hashes) - k)] += hashes[k:] * U64((BASE * (2 * k + 3)) & (2**64 - 1))
+        joined[: max(0, len(hashes) - k)] += hashes[k:] * U64((int(_JOIN) * (2 * k + 3)) & (2**64 - 1))
         joined = mix(joined) if k < n - 1 else joined
     joined = mix(joined)
     out = []
@@ -160,7 +203,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
             whole = U64(b - a)
             with np.errstate(over="ignore"):
                 for h in hashes[a:b]:
-                    whole = mix(np.array([whole * U64(BASE) + h], dtype=np.uint64))[0]
+                    whole = mix(np.array([whole * _JOIN + h], dtype=np.uint64))[0]
             out.append(np.array([whole], dtype=np.uint64))
         else:
             out.append(np.zeros(0, dtype=np.uint64))

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tallyframe.llm.batches import flat, id_and_text, prefix_hashes, read_table, runs, span_hashes
+from tallyframe.llm.batches import flat, id_and_text, read_table, runs, same_bytes, span_hashes, spread
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces whose ids a worker keeps between runs of texts.
@@ -120,8 +120,8 @@ class Encoder:
         """All ids of the texts in a row, and where each text's ids begin."""
         starts = self.pieces(data, offsets)
         ends = np.append(starts[1:], len(data))
-        _, one, which = np.unique(span_hashes(prefix_hashes(data), starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
+        one, which = self._alike(data, starts, ends)
         distinct = [raw[starts[i] : ends[i]] for i in one]
         missing = [piece for piece in distinct if piece not in self.known]
         made = self.library.encode_batch_fast([piece.decode() for piece in missing], add_special_tokens=False)
@@ -134,12 +134,24 @@ class Encoder:
         counts = np.array([len(x) for x in ids_of], dtype=np.int64)
         held = np.concatenate([*ids_of, np.zeros(0, np.uint32)]).astype(np.uint32)
         where = np.concatenate([[0], np.cumsum(counts)])
-        ids = held[stretches(where[:-1][which], counts[which])]
+        ids = held[spread(where[:-1][which], counts[which])]
         piece_at = np.concatenate([[0], np.cumsum(counts[which])])
         return ids, piece_at[np.searchsorted(starts, offsets)]
 
+    @staticmethod
+    def _alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One of each distinct piece, and which of these every piece is, byte for byte."""
+        _, one, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        lengths, first = ends - starts, one[which]
+        again = np.flatnonzero(first != np.arange(len(first)))
+        if (lengths == lengths[first]).all() and same_bytes(data, starts[again], data, starts[first[again]], lengths[again]).all():
+            return one, which
+        raw, numbers = data.tobytes(), {}  # two pieces have one hash
+        which = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts, ends)])
+        return np.unique(which, return_index=True)[1], which
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        return self.all_bytes[stretches(self.starts[ids], self.lengths[ids])]
+        return self.all_bytes[spread(self.starts[ids], self.lengths[ids])]
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """(start, end) in characters of each token of one text; tokens that share a split character all cover it."""
@@ -152,13 +164,6 @@ class Encoder:
         return np.stack([before[starts] - inside, before[ends]], axis=1)
 
 
-def stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... for its length, then the same of the next."""
-    total = int(lengths.sum())
-    step = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    return step + np.arange(total)
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

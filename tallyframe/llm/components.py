@@ -27,15 +27,17 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b), component being the smallest node that can be reached.
 
     Links from a node to itself are ignored. No links give no rows. The number of steps grows with the logarithm of
-    the longest chain; every step is written to the shared folder.
+    the longest chain; every step is written to the shared folder, and the one before is deleted.
     """
     links = stored(links.where("a <> b").select("a", "b").distinct(), "links")
     before = None
     while True:
-        links = stored(_small_star(_large_star(links)).distinct(), "links")
+        links = stored(_small_star(_large_star(links)).distinct(), "links", replaces=[links])
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
         before = now
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = nodes.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out._shared_folder = links._shared_folder  # so that it can be released
+    return out

@@ -3,7 +3,8 @@ item-sized windows finds candidates, and a banded edit distance decides.
 
 Windows begin at words, and at every character in scripts without blanks. Before the walks a count sifts them: k edits
 leave a window with at least n + 1 - q (k + 1) of the sequences of q bytes of an item of n, and q is chosen so that this
-is 1 or more; the sift loses nothing. Items that stand in a text byte for byte are found by hash, wherever they begin.
+is 1 or more; the sift loses nothing. Items that stand in a text byte for byte are found by their
+first eight bytes and compared, wherever they begin.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.batches import U64, flat, id_and_text, mix, prefix_hashes, read_table, runs, span_hashes, with_small_batches
+from tallyframe.llm.batches import U64, flat, id_and_text, mix, read_table, runs, same_bytes, spread, with_small_batches
 
 #: A window matches an item if at most this share of the item's bytes is edited.
 EDIT_SHARE = 0.10
@@ -132,7 +133,6 @@ class Items:
                     tables.append((keys[order], order))
             self.tables.append(tables)
         # Items by their first eight bytes, or all of them.
-        self.hashes = span_hashes(prefix_hashes(self.data), self.starts, ends)
         first = np.ndarray((len(self.data),), "<u8", np.append(self.data, np.zeros(8, np.uint8)), strides=(1,))[self.starts]
         self.heads = []
         for size in np.unique(np.minimum(self.lengths, 8)):
@@ -240,11 +240,6 @@ def window_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins & (data != 32))
 
 
-def spread(left: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The numbers left, left + 1, ... of each range, one range after the other."""
-    return np.repeat(left - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-
-
 def of_one_item(items: Items, q: int, at: np.ndarray, item: np.ndarray, size: int) -> np.ndarray:
     """From which bytes on a window holds enough sequences of one and the same item, given where (``at``) sequences of
     which items stand."""
@@ -266,14 +261,11 @@ def verbatim(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     where no ASCII letter or digit goes on before or after it."""
     found = [np.zeros((3, 0), np.int64)]
     heads = np.ndarray((len(data),), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,)).copy()
-    sums = None
     for mask, table, keys, owners in items.heads:
         masked = heads & mask
         at = np.flatnonzero(table[(mix(masked) >> U64(48)).astype(np.int64)])
         left = np.searchsorted(keys, masked[at], side="left")
         counts = np.searchsorted(keys, masked[at], side="right") - left
-        if counts.any() and sums is None:
-            sums = prefix_hashes(data)
         for k in range(int(counts.max(initial=0))):
             more = counts > k
             start, item = at[more], owners[left[more] + k]
@@ -281,7 +273,7 @@ def verbatim(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             end = start + items.lengths[item]
             good = end <= offsets[row + 1]
             start, item, row, end = start[good], item[good], row[good], end[good]
-            good = span_hashes(sums, start, end) == items.hashes[item]
+            good = same_bytes(data, start, items.data, items.starts[item], items.lengths[item])
             found.append(np.stack([row[good], item[good], start[good]]))
     row, item, start = np.concatenate(found, axis=1)
     letter = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57)) if len(row) else np.zeros(0, bool)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.batches import U64, flat, id_and_text, lowered, mix, prefix_hashes, read_table, runs, span_hashes, word_spans
+from tallyframe.llm.batches import U64, flat, id_and_text, lowered, mix, read_table, runs, span_hashes, word_spans
 from tallyframe.session import stored
 
 DIGITS = 64
@@ -44,7 +44,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Hash and row of every word, in lower case."""
     data = lowered(data)
     starts, ends, row = word_spans(data, offsets)
-    return span_hashes(prefix_hashes(data), starts, ends), row
+    return span_hashes(data, starts, ends), row
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from tallyframe.llm.batches import flat, id_and_text, read_table, runs, shingles
 from tallyframe.llm.components import components
 from tallyframe.llm.fast_sketch import band_keys, sketches
 from tallyframe.llm.filters import MAX_BITS, bitmap, may_hold
-from tallyframe.session import stored
+from tallyframe.session import release, stored
 
 SKETCH_SIZE = 256
 ROWS_PER_BAND = 6
@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     component_id is the smallest doc_id that links reach, kept says that it is the document's own.
 
     Equal sets are one node from the start. Nodes that share a band are candidates: each is checked against the
-    least node of its bucket on full sets. A bucket whose members then still lie in several components is compared
+    least node of its buckets on full sets, first of all together, then, unless that linked them, of each. A bucket whose members then still lie in several components is compared
     in blocks, member by member; so no pair that shares a band goes unchecked unless it is connected already.
     With bands of 6 of 256 coordinates, a pair at 0.8 shares none with probability 3e-6, at 0.85 2e-9.
 
@@ -139,10 +139,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     filled = sketched.where(taking_part)
     sets = stored(filled.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "sets")
 
-    # Buckets of nodes that share a band, with the least node of each.
+    # Buckets of nodes that share a band, with the least node of each. Rows that repeat an id and its text are one node.
     carriers = filled.select(F.col("doc_id").alias("node"), "set_id", "bands").join(
         sets.select("node", "set_id"), ["node", "set_id"], "left_semi"
     )
+    repeated = filled.groupBy("doc_id", "set_id").agg(F.count("*").alias("times")).where("times > 1")
+    some_repeat = not repeated.isEmpty()
+    if some_repeat:
+        carriers = carriers.dropDuplicates(["node", "set_id"])
     members = carriers.select("node", F.explode("bands").alias("bucket"))
     hubs = (
         members.groupBy("bucket")
@@ -152,21 +156,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     shared = stored(members.join(hubs, "bucket"), "buckets")
 
-    pairs = stored(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     full = stored(_sets_of(docs, wanted, words), "shingles")
-    of_a, of_b = full.toDF("a", "of_a"), full.toDF("b", "of_b")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    checked = pairs.join(of_b, "b").join(of_a, "a").where(
-        100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)
-    )
+    if some_repeat:
+        full = stored(full.dropDuplicates(["node", "shingles"]), "shingles", replaces=[full])
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose full sets are similar; the sets of b meet those of a."""
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        return (
+            pairs.join(full.toDF("b", "of_b"), "b").join(full.toDF("a", "of_a"), "a")
+            .where(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both))
+            .select("a", "b")
+        )
+
+    # First every node with the least of its hubs. Most groups hold together by that, and what two nodes of one group
+    # have in other buckets needs no look.
+    pairs = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stored(similar(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "stars")
+    of_a, of_b = stars.select(F.col("b").alias("a"), F.col("a").alias("lead_a")), stars.select("b", F.col("a").alias("lead_b"))
+    further = (
+        pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+        .where(F.coalesce("lead_a", "a") != F.coalesce("lead_b", "b"))
+        .select("a", "b")
+    )
     repeated_ids = (  # a doc_id with several texts joins their sets
         filled.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high")
         .select("doc_id").join(filled.select("doc_id", "set_id"), "doc_id").join(sets, "set_id").where("doc_id <> node")
-        .select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        .select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     )
-    links = stored(checked.select("a", "b"), "checked")
+    links = stored(stars.unionByName(similar(further)), "checked", replaces=[stars])
     found = components(links)
+    release(links)
 
     # Buckets whose members are still apart: every pair of members, in blocks. Of buckets with the same members, one.
     placed = shared.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -196,8 +217,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .groupBy("bucket", "low", "high")
         .applyInPandas(_linked(percent), "a long, b long")
     )
-    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    linked = components(stars.unionByName(more).unionByName(repeated_ids))
+    held = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    linked = components(held.unionByName(more).unionByName(repeated_ids))
+    release(shared, full, found)
 
     named = sets.join(linked, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     return (
@@ -213,4 +235,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents on runs of two words, at 0.8; see ``near_duplicates`` for awkward rows."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.batches import (
-    U64, flat, id_and_text, mix, prefix_hashes, read_table, runs, span_hashes, with_small_batches, word_spans,
+    U64, flat, id_and_text, mix, read_table, runs, span_hashes, with_small_batches, word_spans,
 )
 
 #: Measures of a text, each a share of its words.
@@ -67,7 +67,7 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     kinds = KINDS[data]
     before = {kind: np.concatenate([[0], np.cumsum(kinds == kind)]) for kind in (_UPPER, _LOWER, _MARK)}
     upper, lower, marks = (before[k][ends] - before[k][starts] for k in (_UPPER, _LOWER, _MARK))
-    hashes = span_hashes(prefix_hashes(data), starts, ends)
+    hashes = span_hashes(data, starts, ends)
     same_row = np.append(False, row[1:] == row[:-1])
     order = np.lexsort((hashes, row))
     again = np.append(False, (hashes[order][1:] == hashes[order][:-1]) & (row[order][1:] == row[order][:-1]))
@@ -92,7 +92,7 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[starts] = True
     kept = inside & (first | (shape != np.append(np.uint8(0), shape[:-1])))
     at = np.concatenate([[0], np.cumsum(kept)])
-    shape_hashes = span_hashes(prefix_hashes(shape[kept]), at[starts], at[ends])
+    shape_hashes = span_hashes(shape[kept], at[starts], at[ends])
     bucket = (mix(shape_hashes) % U64(BUCKETS)).astype(np.int64)
     counts = np.bincount(row * BUCKETS + bucket, minlength=rows * BUCKETS).reshape(rows, BUCKETS)
     shapes[:] = counts / np.maximum(words, 1)[:, None]

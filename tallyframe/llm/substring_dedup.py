@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.batches import U64, flat, id_and_text, mix, prefix_hashes, read_table, runs, span_hashes
+from tallyframe.llm.batches import U64, flat, id_and_text, mix, read_table, runs, span_hashes, window_hashes
 from tallyframe.llm.filters import bitmap, may_hold
 from tallyframe.session import stored
 
@@ -51,15 +51,13 @@ class Units:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
-        self.sums = prefix_hashes(data)
         width = WINDOW - PIECE + 1
         if len(data) < LENGTH:
             none = np.zeros(0, dtype=np.int64)
             self.row = self.anchor = self.first = self.last = none
             self.key = self.name = none.astype(np.uint64)
             return
-        pieces = np.arange(len(data) - PIECE + 1)
-        hashed = span_hashes(self.sums, pieces, pieces + PIECE)
+        hashed = window_hashes(data, PIECE)
         least = _least(hashed, width)
         chosen = (hashed[: len(least)] == least) | (hashed[width - 1 :] == least)
         anchor = np.flatnonzero(chosen)
@@ -73,8 +71,8 @@ class Units:
         first = np.maximum(first, anchor - (LENGTH - WINDOW))
         kept = last >= first
         self.row, self.anchor, self.first, self.last = row[kept], anchor[kept], first[kept], last[kept]
-        self.key = span_hashes(self.sums, self.anchor, self.anchor + WINDOW)
-        spanned = span_hashes(self.sums, self.first, self.last + LENGTH)
+        self.key = span_hashes(data, self.anchor, self.anchor + WINDOW)
+        spanned = span_hashes(data, self.first, self.last + LENGTH)
         self.name = mix(spanned + (self.anchor - self.first).astype(np.uint64) * U64(0x9E3779B97F4A7C15) + self.key)
 
 
@@ -136,7 +134,7 @@ def _emit_contexts(wanted, common, hot: bool):
                     starts = np.repeat(first - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
                     values = pa.ListArray.from_arrays(
                         pa.array(np.append(0, np.cumsum(lengths)), pa.int32()),
-                        pa.array(span_hashes(units.sums, starts, starts + LENGTH).view(np.int64)),
+                        pa.array(window_hashes(units.data, LENGTH)[starts].view(np.int64)),
                     )
                 else:
                     values = pa.array([units.data[a : b + LENGTH].tobytes() for a, b in zip(first, last)], pa.binary())
@@ -160,7 +158,7 @@ def _compared(group: pd.DataFrame) -> pd.DataFrame:
     unit = np.repeat(np.arange(len(names)), counts)
     start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     at = base[unit] + start
-    hashes = span_hashes(prefix_hashes(data), at, at + LENGTH)
+    hashes = window_hashes(data, LENGTH)[at]
     hashes = mix(hashes + (leads[unit] - start).astype(np.uint64) * U64(0x9E3779B97F4A7C15) + keys[unit])
     _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
     hit = np.flatnonzero(times[which] > 1)

@@ -113,3 +113,9 @@ def test_components(spark):
 def test_a_single_document_of_few_words(spark, count):
     rows = [(1, " ".join("abcd"[:count]), "en")]
     assert found(near_dedup.near_duplicates(cases.documents(spark, rows), 5)) == expected(rows, 5, 80)
+
+
+def test_rows_that_repeat_an_id_are_one_node(spark):
+    text = {i: " ".join(f"w{(k * (1 + i // 3)) % 97}" for k in range(60 + i % 3)) for i in range(9)}
+    rows = [(i, text[i], "en") for i in range(9)] + [(i % 2, text[i % 2], "en") for i in range(400)]
+    assert found(near_dedup.near_duplicates(cases.documents(spark, rows), 5, 80)) == expected(rows, 5, 80)
