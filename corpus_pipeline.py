@@ -57,7 +57,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: the rows of the last one. What a stage kept is written and read again as the next
+    one's documents, and deleted once that has written its own. Null, empty and repeated texts are treated as the stages
+    say, an empty table gives no rows, and further columns go along to the last stage but one."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", replaces=[docs])
     return STAGES[-1][1](spark, docs, sf_dir)
