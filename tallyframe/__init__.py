@@ -1,5 +1,6 @@
 """Election tabulation on PySpark: keyed DataFrame queries over polling-place, candidate and division tables."""
 
+from tallyframe.operators.losses import Losses, Totals
 from tallyframe.plans.division_tables import (
     div_summary,
     div_table,
@@ -27,7 +28,7 @@ from tallyframe.sources.registry import election_slice
 from tallyframe.sources.store import read_tables, write_tables
 
 __all__ = [
-    "build_tables", "div_by_party", "div_party_groups", "div_pp_tcp", "div_pp_tcp_wide", "div_summary", "div_table",
+    "Losses", "Totals", "build_tables", "div_by_party", "div_party_groups", "div_pp_tcp", "div_pp_tcp_wide", "div_summary", "div_table",
     "div_table_informal", "div_tcp", "div_tcp_percent", "div_votes_by_type", "election_slice", "nat_primary_by_year",
     "nat_type_by_year", "ordinary_by_candidate", "pp_by_party", "pp_by_party_percent", "pp_by_party_wide",
     "pp_distance", "pp_geocode_changes", "pp_party_groups", "pp_party_groups_percent", "pp_status_counts",

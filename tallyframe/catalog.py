@@ -25,8 +25,8 @@ from tallyframe.plans import (
     tcp_places,
     vote_type_tables,
 )
-from tallyframe.session import shared_folder
-from tallyframe.sources import registry, result_files, store
+from tallyframe.session import release, shared_folder
+from tallyframe.sources import registry, result_files, staging, store
 
 FIXTURE_STATES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 FIXTURE_PARTIES = ["ALP", "CLP", "GRN", "HAN", "IND", "LNP", "LNQ", "LP", "NP", "XEN"]
@@ -55,10 +55,12 @@ class Inputs:
 
     def stored(self, name: str, *elections: int) -> DataFrame:
         """A table, or its rows of some elections, written to the shared folder and read back, for queries that read it
-        several times. The folder goes when the driver ends."""
+        several times. The folder goes when the driver ends, or when the table is released."""
         root = shared_folder(self.spark, "tables")
         store.write_tables({name: rel.restrict(getattr(self, name), elections or None)}, root)
-        return store.read_tables(self.spark, root, (name,))[name]
+        table = store.read_tables(self.spark, root, (name,))[name]
+        table._shared_folder = root
+        return table
 
 
 @dataclass(frozen=True)
@@ -117,9 +119,12 @@ def election_registry(t: Inputs) -> DataFrame:
 
 
 def build_from_files(t: Inputs) -> DataFrame:
-    """Land every file family as CSV, then build the candidate table from the files alone."""
+    """Land every file family as CSV, then build the candidate table from the files alone. The stored copy that they are
+    made from goes as soon as they lie there."""
     root = shared_folder(t.spark, "landed")
-    raw.land_all(t.stored("cand"), t.pp, t.divisions, root)
+    cand = t.stored("cand")
+    raw.land_all(cand, t.pp, t.divisions, root)
+    release(cand)
     return tables_build.build_tables(t.spark, root, FIXTURE_STATES, raw.staged_path)["cand"]
 
 
@@ -132,6 +137,16 @@ def build_cand_base(t: Inputs) -> DataFrame:
     return candidates_build.build_cand_base(raw.first_prefs(cand), raw.tcp(cand))
 
 
+def build_cand_base_bucketed(t: Inputs) -> DataFrame:
+    """The same from files that are staged in buckets of their key, so that the join shuffles nothing."""
+    cand = t.stored("cand")
+
+    def joined(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+        return staging.staged_join(staging.staged(left, key, 8), staging.staged(right, key, 8), key)
+
+    return candidates_build.build_cand_base(raw.first_prefs(cand), raw.tcp(cand), joined)
+
+
 def build_cand_declaration(t: Inputs) -> DataFrame:
     cand = t.stored("cand")
     return candidates_build.build_cand_declaration(raw.first_prefs_by_type(cand), raw.tcp_by_type(cand))
@@ -203,6 +218,12 @@ def share_of_total(t: Inputs) -> DataFrame:
     return rounded(rel.share_of_total(votes, "votes", ["election", "division_id"]), "percent")
 
 
+def share_of_nation(t: Inputs) -> DataFrame:
+    """Each candidate's share of all votes of an election: one group per election, however many candidates."""
+    votes = t.cand.groupBy("election", "division_id", "candidate_id").agg(zero_sum("votes").alias("votes"))
+    return rounded(rel.share_of_total(votes, "votes", ["election"], parts=32), "percent")
+
+
 def rollup_geo(t: Inputs) -> DataFrame:
     return rel.rollup_geo(t.cand, ["votes", "tcp_votes"], ["polling_place_id", "polling_place"])
 
@@ -229,6 +250,7 @@ QUERIES: dict[str, Query] = {
     "build_from_files": build_from_files,
     "build_pp": build_pp,
     "build_cand_base": build_cand_base,
+    "build_cand_base_bucketed": build_cand_base_bucketed,
     "build_cand_declaration": build_cand_declaration,
     "build_cand": build_cand,
     "build_cand_own_early": lambda t: build_cand(t, early_source_election=None),
@@ -240,6 +262,7 @@ QUERIES: dict[str, Query] = {
     "pivot_votes_by_party": pivot_votes_by_party,
     "with_total_row": with_total_row,
     "share_of_total": share_of_total,
+    "share_of_nation": share_of_nation,
     "rollup_geo": rollup_geo,
     "haversine_km": haversine,
     "div_table": lambda t: rounded(division_tables.div_table(t.cand), "percent"),

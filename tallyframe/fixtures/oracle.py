@@ -496,6 +496,10 @@ UNION ALL SELECT election, 'Total', true, {na_list(['votes', 'tcp_votes'])} FROM
         f"SELECT *, {share('votes', 'election, division_id')} AS percent FROM "
         "(SELECT election, division_id, candidate_id, sum(votes) AS votes FROM cand GROUP BY 1, 2, 3)"
     ),
+    "share_of_nation": query(
+        f"SELECT *, {share('votes', 'election')} AS percent FROM "
+        "(SELECT election, division_id, candidate_id, coalesce(sum(votes), 0) AS votes FROM cand GROUP BY 1, 2, 3)"
+    ),
     "rollup_geo": query(
         "\nUNION ALL ".join(
             rollup_level(level, columns)
@@ -529,14 +533,17 @@ FROM (SELECT *, TRY_CAST(latitude AS DOUBLE) AS lat, TRY_CAST(longitude AS DOUBL
         PP_TCP,
     ),
     "div_pp_tcp_pairs": query(
-        f"""SELECT *, first + second AS total, {pct('first', '(first + second)')} AS percent_first,
-  {pct('second', '(first + second)')} AS percent_second
-FROM (SELECT {DIVISION}, polling_place, d.first_party, d.second_party,
-        sum(votes) FILTER (WHERE party_ab = d.first_party) AS first,
-        sum(votes) FILTER (WHERE party_ab = d.second_party) AS second
-      FROM place_tcp JOIN (SELECT {DIVISION}, min(party_ab) AS first_party, max(party_ab) AS second_party
-                           FROM place_tcp GROUP BY {DIVISION}) d USING ({DIVISION})
-      GROUP BY ALL)""",
+        f"""SELECT * EXCLUDE whole, whole AS total, {pct('first', 'whole')} AS percent_first,
+  {pct('second', 'whole')} AS percent_second
+FROM (SELECT *, CASE WHEN parties = 2 THEN first + second END AS whole
+      FROM (SELECT {DIVISION}, polling_place, d.parties, d.names[1] AS first_party, d.names[2] AS second_party,
+              sum(votes) FILTER (WHERE party_ab = d.names[1]) AS first,
+              sum(votes) FILTER (WHERE party_ab = d.names[2]) AS second,
+              sum(votes) FILTER (WHERE NOT list_contains(d.names[1:2], party_ab)) AS other
+            FROM place_tcp JOIN (SELECT {DIVISION}, list_sort(list(DISTINCT party_ab)) AS names,
+                                   count(DISTINCT party_ab) AS parties
+                                 FROM place_tcp GROUP BY {DIVISION}) d USING ({DIVISION})
+            GROUP BY ALL))""",
         CAND,
         PP_TCP,
     ),
@@ -679,3 +686,5 @@ LEFT JOIN (SELECT election, division_id, {na('tpp_total_votes')} AS total_pp FRO
         PP,
     ),
 }
+
+ORACLES["build_cand_base_bucketed"] = ORACLES["build_cand_base"]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.missing import cell_sum, na_sum, share, zero_sum
+from tallyframe.functions.missing import cell_sum, na_sum, percent_of, share, zero_sum
 from tallyframe.schemas import EVENT_IDS
 
 
@@ -25,8 +25,8 @@ def restrict(
 ) -> DataFrame:
     """Keep the given elections and division names, one or several. Both are plain predicates, so they reach the scan.
 
-    Unknown elections are refused by the registry; division names, which only the table knows, by a look at the
-    names among its chosen rows.
+    Unknown elections are refused by the registry. Division names, which only the table knows, are looked for when the
+    query runs: it then fails if one of them is not among the chosen rows. Nothing runs before.
     """
     elections, divisions = several(elections), several(divisions)
     if elections is not None:
@@ -36,13 +36,24 @@ def restrict(
         table = table.where(F.col("election").isin(*elections))
     if divisions is not None:
         table = table.where(F.col("division_nm").isin(*divisions))
-        known = {row.division_nm for row in table.select("division_nm").distinct().collect()}
-        unknown = sorted(set(divisions) - known)
-        if unknown:
-            raise ValueError(f"unknown divisions {unknown}")
+        table = table.where(_all_found(table, sorted(set(divisions))))
     return table
 
 
+def alone(rows: DataFrame) -> DataFrame:
+    """Distinct rows, of which there are few, in one partition. They are made distinct in all tasks before."""
+    return rows.distinct().coalesce(1)
+
+
+def _all_found(chosen: DataFrame, divisions: list[str]) -> Column:
+    """True, or an error that names the divisions without a row; a subquery over one column of the chosen rows."""
+    found = F.collect_set("division_nm")  # of the given names
+    unknown = F.array_except(F.array(*map(F.lit, divisions)), found)
+    message = F.concat(F.lit("unknown divisions "), F.array_join(unknown, ", "))
+    known = F.when(F.size(unknown) == 0, True).otherwise(F.raise_error(message).cast("boolean"))
+    return alone(chosen.select("division_nm")).agg(known.alias("known")).scalar()
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on ``keys`` with missing matching missing; each key comes out once.
 
@@ -50,10 +61,43 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     """
     renamed = right.withColumnsRenamed({key: f"__{key}" for key in keys})
     matches: Column = reduce(and_, (F.col(key).eqNullSafe(F.col(f"__{key}")) for key in keys))
-    joined = left.join(renamed, matches, how)
-    if how == "full":
-        joined = joined.withColumns({key: F.coalesce(F.col(key), F.col(f"__{key}")) for key in keys})
-    return joined.drop(*[f"__{key}" for key in keys])
+    return left.join(renamed, matches, how).drop(*[f"__{key}" for key in keys])
+
+
+Join = Callable[[DataFrame, DataFrame, list[str]], DataFrame]
+
+
+def full_join(left: DataFrame, right: DataFrame, key: str, parts: int = 16) -> DataFrame:
+    """Full outer join on one column with missing matching missing.
+
+    All rows without a key match each other, and adaptive execution splits no full join. So these rows are dealt over
+    ``parts`` by ``parts`` cells: those of the left by row, those of the right by column, each standing in every cell of
+    its row or column. A row that meets no other there is left only if the other side has no rows without a key.
+    """
+    other, empty = F.col(f"__{key}"), F.col(key).isNull()
+    everywhere = F.sequence(F.lit(0), F.lit(parts - 1))
+
+    def dealt(table: DataFrame, own: str, all_of: str) -> DataFrame:
+        part = F.when(empty, F.pmod(F.xxhash64(*table.columns), F.lit(parts)).cast("int")).otherwise(0)
+        cells = F.when(empty, everywhere).otherwise(F.array(F.lit(0)))
+        return table.withColumn(own, part).withColumn(all_of, F.explode(cells))
+
+    def has_empty(table: DataFrame) -> Column:
+        return alone(table.where(empty).select(F.lit(1).alias("one"))).agg((F.count("one") > 0).alias("some")).scalar()
+
+    a = dealt(left, "__row", "__column")
+    b = dealt(right, "__column", "__row").withColumnsRenamed({key: f"__{key}", "__row": "__r", "__column": "__c"})
+    row, column = F.col("__row"), F.col("__column")
+    joined = a.join(b, F.col(key).eqNullSafe(other) & (row == F.col("__r")) & (column == F.col("__c")), "full")
+    only_left, only_right = F.col("__r").isNull(), row.isNull()
+    kept = (
+        F.coalesce(F.col(key), other).isNotNull()
+        | ~(only_left | only_right)
+        | (only_left & (column == 0) & ~has_empty(right))
+        | (only_right & (F.col("__r") == 0) & ~has_empty(left))
+    )
+    joined = joined.where(kept).withColumn(key, F.coalesce(F.col(key), other))
+    return joined.drop(f"__{key}", "__row", "__column", "__r", "__c")
 
 
 def with_total_row(rows: DataFrame, by: list[str], measures: list[str], labels: dict[str, str]) -> DataFrame:
@@ -75,12 +119,22 @@ def with_total_row(rows: DataFrame, by: list[str], measures: list[str], labels:
     )
 
 
-def share_of_total(rows: DataFrame, value: str, over: list[str], name: str = "percent") -> DataFrame:
-    """Each row's ``value`` as a percentage of its group's total.
+def share_of_total(
+    rows: DataFrame, value: str, over: list[str], name: str = "percent", parts: int | None = None
+) -> DataFrame:
+    """Each row's ``value`` as a percentage of its group's total. One missing value makes all shares of a group missing.
 
-    A group is one window, so it lies in one task: meant for rows that are sums already, few to a group.
+    A group is one window, so it lies in one task: meant for rows that are sums already, few to a group. With ``parts``,
+    for groups of any size, totals are summed where the rows lie and joined back; the rows of a group are dealt over so
+    many parts, in each of which its total stands. The rows are then read twice.
     """
-    return rows.withColumn(name, share(value, over))
+    if parts is None:
+        return rows.withColumn(name, share(value, over))
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int")
+    totals = rows.groupBy(*over).agg(na_sum(value).alias("__total"))
+    totals = totals.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    joined = null_safe_join(rows.withColumn("__part", part), totals, [*over, "__part"])
+    return joined.withColumn(name, percent_of(value, "__total")).drop("__total", "__part")
 
 
 def pivot_sum(

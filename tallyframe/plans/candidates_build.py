@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.missing import number
-from tallyframe.operators.relational import null_safe_join
+from tallyframe.operators.losses import LOST, to_numbers
+from tallyframe.operators.relational import Join, null_safe_join
 from tallyframe.schemas import (
     CAND_COLUMNS,
     CANDIDATE_COLUMNS,
@@ -19,7 +19,7 @@ from tallyframe.schemas import (
 )
 
 
-def build_cand_base(first_prefs: DataFrame, tcp: DataFrame) -> DataFrame:
+def build_cand_base(first_prefs: DataFrame, tcp: DataFrame, join: Join = null_safe_join) -> DataFrame:
     """First preferences by polling place with the two-candidate-preferred result; still text."""
     key = ["election", "candidate_id", "polling_place_id"]
     votes = first_prefs.select(
@@ -27,10 +27,12 @@ def build_cand_base(first_prefs: DataFrame, tcp: DataFrame) -> DataFrame:
         F.col("ordinary_votes").alias("votes"), "swing",
     )
     results = tcp.select(*key, F.col("ordinary_votes").alias("tcp_votes"), F.col("swing").alias("tcp_swing"))
-    return null_safe_join(votes, results, key)
+    return join(votes, results, key)
 
 
-def build_cand_declaration(first_prefs_by_type: DataFrame, tcp_by_type: DataFrame) -> DataFrame:
+def build_cand_declaration(
+    first_prefs_by_type: DataFrame, tcp_by_type: DataFrame, join: Join = null_safe_join
+) -> DataFrame:
     """Declaration votes, one row per candidate and vote type, the type standing in for the place; still text.
 
     Both files are wide, so they are joined wide and only then turned to rows: a quarter of the rows to shuffle.
@@ -48,7 +50,7 @@ def build_cand_declaration(first_prefs_by_type: DataFrame, tcp_by_type: DataFram
         for place, column in DECLARATION_TYPES.items()
     ]
     return (
-        null_safe_join(wide, results, key)
+        join(wide, results, key)
         .select(*CANDIDATE_COLUMNS, F.inline(F.array(*blocks)))
         .withColumn("type", F.lit(DECLARATION))
     )
@@ -75,16 +77,15 @@ def build_cand(
     tcp_by_type: DataFrame,
     pp: DataFrame,
     early_source_election: int | None = 2016,
+    mark_losses: bool = False,
+    join: Join = null_safe_join,
 ) -> DataFrame:
-    base = build_cand_base(first_prefs, tcp).withColumn("type", F.lit(ORDINARY))
+    """``mark_losses`` marks texts that are no numbers; ``join`` says how the large files are joined."""
+    base = build_cand_base(first_prefs, tcp, join).withColumn("type", F.lit(ORDINARY))
     ordinary = mark_early(base, pp, early_source_election)
-    declared = build_cand_declaration(first_prefs_by_type, tcp_by_type)
+    declared = build_cand_declaration(first_prefs_by_type, tcp_by_type, join)
     is_informal = F.col("ballot_position") == INFORMAL_BALLOT_POSITION  # text against text, before the cast
     informal = F.when(F.col("ballot_position").isNotNull(), is_informal.cast("int"))
     numbers = ["ballot_position", "votes", "swing", "tcp_votes", "tcp_swing"]
-    return (
-        ordinary.unionByName(declared, allowMissingColumns=True)
-        .withColumn("informal", informal)
-        .withColumns({c: number(c) for c in numbers})
-        .select(*CAND_COLUMNS)
-    )
+    rows = ordinary.unionByName(declared, allowMissingColumns=True).withColumn("informal", informal)
+    return to_numbers(rows, numbers, mark_losses).select(*CAND_COLUMNS, *[LOST] * mark_losses)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.geo import haversine_km
 from tallyframe.functions.missing import number
-from tallyframe.operators.relational import null_safe_join
+from tallyframe.operators.relational import full_join
 from tallyframe.schemas import MOBILE_TEAM, SAME_PLACE_KM, TPP_COLUMNS
 
 COORDINATES = ["latitude_x", "longitude_x", "latitude_y", "longitude_y"]
@@ -21,7 +21,7 @@ def _both(pp: DataFrame, earlier: int, later: int, columns: list[str]) -> DataFr
         rows = pp.where(F.col("election") == election)
         return rows.select(key, *[F.col(c).alias(f"{c}{suffix}") for c in columns])
 
-    return null_safe_join(side(earlier, "_x"), side(later, "_y"), [key], "full")
+    return full_join(side(earlier, "_x"), side(later, "_y"), key)
 
 
 def _distance(legacy: bool):

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Collection
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.missing import cell_sum, percent_of
-from tallyframe.operators.relational import restrict
+from tallyframe.operators.relational import null_safe_join, restrict
 from tallyframe.schemas import DIVISION_KEY
 
 # Places are told apart by name: declaration votes have no id.
 NAMED_PLACE = [*DIVISION_KEY, "polling_place"]
 COUNTED = "tcp_votes IS NOT NULL"
+SIDES = ["first", "second"]
 
 
 def div_pp_tcp(
@@ -44,8 +43,9 @@ def div_pp_tcp_wide(
 ) -> DataFrame:
     """One row per place, a vote and a percent column for each of two parties.
 
-    Without ``parties`` each division has its own pair, the parties of its count by name: then the columns are first
-    and second, with the parties next to their votes. The side that is joined to has one row per division.
+    Without ``parties`` each division has its own pair, the first two parties of its count by name: then the columns are
+    first and second, with the parties next to their votes, and ``other`` for the votes of further parties. A division
+    with one party or with more than two has no totals. The side that is joined to has one row per division and party.
     """
     if parties is None:
         return _own_pairs(div_pp_tcp(cand, elections, divisions))
@@ -62,16 +62,26 @@ def div_pp_tcp_wide(
 
 
 def _own_pairs(votes: DataFrame) -> DataFrame:
-    pairs = votes.groupBy(*DIVISION_KEY).agg(F.min("party_ab").alias("first_party"), F.max("party_ab").alias("second_party"))
-    named = [F.col(c).alias(f"__{c}") if c in DIVISION_KEY else F.col(c) for c in pairs.columns]
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in DIVISION_KEY]
-    joined = votes.join(pairs.select(*named), reduce(and_, same)).drop(*[f"__{c}" for c in DIVISION_KEY])
+    """Parties are numbered by name within each division, one without a name last; the first two have columns, ``other``
+    sums the rest, and ``parties`` says how many there are. Totals and percentages need exactly two."""
     party = F.col("party_ab")
-    cells = {side: cell_sum("votes", party == F.col(f"{side}_party")) for side in ("first", "second")}
-    table = joined.groupBy(*NAMED_PLACE, "first_party", "second_party").agg(*[c.alias(side) for side, c in cells.items()])
-    return table.withColumn("total", F.col("first") + F.col("second")).withColumns(
-        {f"percent_{side}": percent_of(side, "total") for side in cells}
+    by_name = Window.partitionBy(*DIVISION_KEY)
+    parties = votes.select(*DIVISION_KEY, "party_ab").distinct()  # a few of each division
+    numbered = parties.withColumns(
+        {
+            "number": F.row_number().over(by_name.orderBy(party.asc_nulls_last())),
+            "parties": F.count(F.lit(1)).over(by_name),
+        }
     )
+    number = F.col("number")
+    for k, side in enumerate(SIDES, 1):
+        numbered = numbered.withColumn(f"{side}_party", F.max(F.when(number == k, party)).over(by_name))
+    of_division = ["parties", *[f"{side}_party" for side in SIDES]]
+    joined = null_safe_join(votes, numbered, [*DIVISION_KEY, "party_ab"], "inner")
+    cells = {side: cell_sum("votes", number == k) for k, side in enumerate(SIDES, 1)} | {"other": cell_sum("votes", number > 2)}
+    table = joined.groupBy(*NAMED_PLACE, *of_division).agg(*[c.alias(name) for name, c in cells.items()])
+    total = F.when(F.col("parties") == 2, F.col("first") + F.col("second"))
+    return table.withColumn("total", total).withColumns({f"percent_{side}": percent_of(side, "total") for side in SIDES})
 
 
 def pp_tcp_swing(

@@ -28,6 +28,7 @@ CHANGED_HANDS = "HouseSeatsWhichChangedHandsDownload"
 DECIDED_ON_FIRST_PREFS = "HouseSeatsDecidedOnFirstPrefsDownload"
 DECIDED_ON_PREFS = "HouseSeatsDecidedOnPrefsDownload"
 NON_CLASSIC = "HouseNonClassicDivisionsDownload"
+DIVISION_FAMILIES = (NOMINATIONS, MEMBERS_ELECTED, CHANGED_HANDS, DECIDED_ON_FIRST_PREFS, DECIDED_ON_PREFS, NON_CLASSIC)
 
 # --- Fixed values: codes inside the data ---------------------------------------------------------------
 INFORMAL_CANDIDATE = "999"
@@ -38,6 +39,9 @@ ORDINARY = "Ordinary"
 DECLARATION = "Declaration"
 INFORMAL = "Informal"
 
+# --- Fixed values: the column that tells informal rows; missing where there is no ballot position -----------
+INFORMAL_STATES = (0, 1, None)
+
 # --- Fixed value: elections up to this one have no separate pre-poll ordinary count -----------------------
 LAST_ELECTION_WITHOUT_PRE_POLL_ORDINARY = 2007
 

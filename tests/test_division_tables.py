@@ -189,3 +189,28 @@ def test_with_total_row(spark):
         ("a", "Total", True): None, ("b", "Total", True): 2.0,
     }
     assert table.where(F.col("is_total")).count() == 2
+
+
+def tcp(division, place, party, votes):
+    return {"division_nm": division, "division_id": division, "polling_place": place, "party_ab": party, "tcp_votes": votes}
+
+
+def test_own_pairs_need_two_parties_and_keep_every_vote(spark):
+    rows = [
+        tcp("One", "Hall", "ALP", 10.0),
+        tcp("Two", "Hall", "LP", 6.0), tcp("Two", "Hall", "ALP", 4.0), tcp("Two", "School", "ALP", 4.0),
+        tcp("Three", "Hall", "ALP", 10.0), tcp("Three", "Hall", "GRN", 5.0), tcp("Three", "Hall", "LP", 20.0),
+        tcp("Three", "School", "LP", 1.0), tcp("Four", "Hall", "ALP", 1.0), tcp("Four", "Hall", None, 2.0),
+    ]
+    found = {(r["division_nm"], r["polling_place"]): r for r in records(tcp_places.div_pp_tcp_wide(cand_table(spark, rows)))}
+    columns = ["parties", "first_party", "second_party", "first", "second", "other", "total", "percent_first", "percent_second"]
+    assert {k: tuple(r[c] for c in columns) for k, r in found.items()} == {
+        ("One", "Hall"): (1, "ALP", None, 10.0, None, None, None, None, None),
+        ("Two", "Hall"): (2, "ALP", "LP", 4.0, 6.0, None, 10.0, 40.0, 60.0),
+        ("Two", "School"): (2, "ALP", "LP", 4.0, None, None, None, None, None),
+        ("Three", "Hall"): (3, "ALP", "GRN", 10.0, 5.0, 20.0, None, None, None),
+        ("Three", "School"): (3, "ALP", "GRN", None, None, 1.0, None, None, None),
+        ("Four", "Hall"): (2, "ALP", None, 1.0, 2.0, None, 3.0, pytest.approx(100 / 3), pytest.approx(200 / 3)),
+    }
+    votes = sum(r["tcp_votes"] for r in rows)
+    assert sum((r["first"] or 0) + (r["second"] or 0) + (r["other"] or 0) for r in found.values()) == votes

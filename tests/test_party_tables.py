@@ -106,7 +106,7 @@ def test_last_party_is_that_of_the_whole_election(spark):
 def test_one_division_or_election_may_be_given_as_such(spark):
     cand = cand_table(spark, mixed())
     assert party_tables.pp_by_party(cand, 2016, "Alpha").count() == party_tables.pp_by_party(cand, [2016], ["Alpha"]).count() > 0
-    with pytest.raises(ValueError, match="unknown divisions"):
-        party_tables.pp_by_party(cand, divisions="Nowhere")
+    with pytest.raises(Exception, match="unknown divisions Elsewhere, Nowhere"):
+        party_tables.pp_by_party(cand, divisions=["Nowhere", "Alpha", "Elsewhere"]).collect()
     with pytest.raises(ValueError, match="unknown elections"):
         party_tables.pp_by_party(cand, 1999)

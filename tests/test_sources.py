@@ -1,9 +1,13 @@
+import gzip
+
 import pytest
 
 from frames import cand_table, pp_table, records
 from tallyframe.functions.missing import number
 from tallyframe.sources import registry, store
-from tallyframe.sources.result_files import landed_path, read_header, scan_family, scan_files, snake_case
+from tallyframe.sources.result_files import (
+    FileFacts, inspect_files, landed_path, read_header, scan_family, scan_files, snake_case,
+)
 
 BANNERED = """2016 election banner, with a comma
 StateAb,DivisionID,PartyAb,Votes
@@ -148,3 +152,47 @@ def test_slice_of_a_stored_table_reads_one_partition(spark, tmp_path):
     assert len(part.inputFiles()) == 2  # before pruning
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(election" in plan
+
+
+def test_exactly_the_second_record_is_the_header(spark, tmp_path):
+    one = write(tmp_path / "1.csv", "b\nSurname\nSmith\nSurname\nJones\n\"Surname\"\nSurname \n")
+    two = write(tmp_path / "2.csv", 'b\nA,B\n"A",B\nA,B\nx,A\n')
+    assert sorted(r["surname"] for r in records(scan_files(spark, [one]))) == ["Jones", "Smith", "Surname", "Surname", "Surname "]
+    assert sorted((r["a"], r["b"]) for r in records(scan_files(spark, [two]))) == [("A", "B"), ("A", "B"), ("x", "A")]
+
+
+def test_header_rows_of_files_with_line_breaks(spark, tmp_path):
+    path = write(tmp_path / "l.csv", 'b\nPlace,Votes\n"Town\nPlace,Votes\nHall",1\nPlace,Votes\nEast,2\n')
+    found = sorted((r["place"], r["votes"]) for r in records(scan_files(spark, [path])))
+    assert found == [("East", "2"), ("Place", "Votes"), ("Town\nPlace,Votes\nHall", "1")]
+
+
+def test_folders_of_part_files_and_awkward_names(spark, tmp_path):
+    for k in range(3):
+        write(tmp_path / "a folder%20é" / f"part-{k}.csv", f"banner\nA,B\n{k},x\nA,B\n")
+    write(tmp_path / "a folder%20é" / "_SUCCESS", "")
+    facts = inspect_files(spark, [str(tmp_path / "a folder%20é")])
+    assert list(facts.values()) == [FileFacts(("A", "B"), False, 6)]
+
+
+def test_compressed_files(spark, tmp_path):
+    path = tmp_path / "z.csv.gz"
+    path.write_bytes(gzip.compress(b"b\nA,B\n1,2\n"))
+    assert records(scan_files(spark, [str(path)])) == [{"a": "1", "b": "2"}]
+
+
+def test_one_job_looks_at_any_number_of_files(spark, tmp_path):
+    paths = [write(tmp_path / f"{i}.csv", f"b\nA,B{i % 3}\n{i},x\n") for i in range(12)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("looking", "")
+    try:
+        scanned = scan_files(spark, paths)
+        jobs = len(tracker.getJobIdsForGroup("looking"))
+        facts = inspect_files(spark, paths)
+        before = len(tracker.getJobIdsForGroup("looking"))
+        scan_files(spark, paths, facts=facts)
+        assert len(tracker.getJobIdsForGroup("looking")) == before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 2  # adaptive execution runs the two stages of a grouping as a job each
+    assert scanned.count() == 12
