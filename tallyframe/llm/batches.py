@@ -101,7 +101,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     counts = -(-lengths // _GRAM)
     out = np.zeros(len(starts), dtype=np.uint64)
     held = grams(data)
-    for low, high in _lots(counts):  # work arrays stay small
+    for low, high in lots(counts, 1 << 20):  # work arrays stay small
         n = counts[low:high]
         place = spread(np.zeros(high - low, np.int64), n)
         left = np.repeat(lengths[low:high], n) - _GRAM * place
@@ -115,7 +115,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out + lengths.astype(np.uint64) * _LENGTH)
 
 
-def _lots(counts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def lots(counts: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose counts add up to about ``most``; a larger one stands alone."""
     ends, low = np.cumsum(counts), 0
     while low < len(counts):

@@ -246,4 +246,5 @@ def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False)
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and round trip of all documents; nulls, empties and repeats are as for ``encode``."""
     return round_trip(read_table(spark, sf_dir, "documents"))

@@ -3,7 +3,9 @@ item-sized windows finds candidates, and a banded edit distance decides.
 
 Windows begin at words, and at every character in scripts without blanks. Before the walks a count sifts them: k edits
 leave a window with at least n + 1 - q (k + 1) of the sequences of q bytes of an item of n, and q is chosen so that this
-is 1 or more; the sift loses nothing. Items that stand in a text byte for byte are found by their
+is 1 or more; the sift loses nothing. Walks of long texts drift apart, so a long item is cut into pieces at its own words:
+of a text with k edits in n bytes some piece has no more than its share of them. A piece that is found proposes where its
+item may begin, and the whole item decides. Items that stand in a text byte for byte are found by their
 first eight bytes and compared, wherever they begin.
 """
 
@@ -17,14 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.batches import U64, flat, id_and_text, mix, read_table, runs, same_bytes, spread, with_small_batches
+from tallyframe.llm.batches import U64, flat, id_and_text, lots, mix, read_table, runs, same_bytes, spread, with_small_batches
 
 #: A window matches an item if at most this share of the item's bytes is edited.
 EDIT_SHARE = 0.10
-#: Items with fewer bytes must stand there byte for byte.
-LEAST_BYTES = 24
-#: Independent walks, hash tables per walk, and sampled coordinates per table.
-WALKS, TABLES, SAMPLED = 3, 24, 5
+#: The share of items with fewer bytes allows no edit, so that they are found byte for byte alone.
+LEAST_BYTES = 10
+#: Items with fewer bytes count as whole words only.
+WHOLE_WORDS = 24
+#: Items of twice as many bytes are cut into pieces of at least about so many.
+PIECE_BYTES = 48
+#: Independent walks, hash tables per walk, and sampled coordinates per table; and the same for pieces under WHOLE_WORDS
+#: bytes, where one edit is much and a walk has little way to fall back into step.
+WALKS, TABLES, SAMPLED = 4, 24, 5
+WALKS_SHORT, SAMPLED_SHORT = 10, 3
 #: Least share of equal bytes in two images for the edits to be counted; unrelated texts have about 0.07.
 LEAST_ALIKE = 0.2
 #: Items of lengths within this factor share tables.
@@ -78,9 +86,34 @@ def bitmap_of(grams: np.ndarray) -> tuple[int, np.ndarray]:
     return bits, bitmap
 
 
+@dataclass
+class Spans:
+    """Spans of one byte array, and the most edits that each may have."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.edits = np.floor(EDIT_SHARE * self.lengths + 1e-9).astype(np.int64)
+
+
+def cut(item: np.ndarray) -> np.ndarray:
+    """Where the pieces of an item begin: at words, as evenly as these allow; at its start alone if it is short."""
+    parts = len(item) // PIECE_BYTES
+    if parts < 2:
+        return np.zeros(1, np.int64)
+    begins = window_begins(item, np.array([0, len(item)]))
+    begins = begins[begins <= len(item) - PIECE_BYTES // 2]
+    wanted = np.arange(1, parts) * len(item) / parts
+    nearest = begins[np.abs(begins[None, :] - wanted[:, None]).argmin(axis=1)]
+    at = np.unique(np.append(0, nearest))
+    return at[np.append(True, np.diff(at) >= PIECE_BYTES // 2)]
+
+
 @dataclass
 class Items:
-    """What a pass needs of its items, in classes of similar length."""
+    """What a pass needs of its items, and of their pieces in classes of similar length."""
 
     ids: np.ndarray
     data: np.ndarray
@@ -88,18 +121,27 @@ class Items:
     lengths: np.ndarray
 
     def __post_init__(self) -> None:
-        self.edits = np.floor(EDIT_SHARE * self.lengths).astype(np.int64)
-        self.edits[self.lengths < LEAST_BYTES] = 0
-        kinds = np.floor(np.log(np.maximum(self.lengths, 1) / LEAST_BYTES) / np.log(CLASS_RATIO)).astype(int)
+        self.spans = Spans(self.data, self.starts, self.lengths)
+        self.edits = self.spans.edits
+        cuts = [cut(self.data[a : a + n]) for a, n in zip(self.starts, self.lengths)]
+        counts = np.array([len(c) for c in cuts], dtype=np.int64)
+        self.item_of = np.repeat(np.arange(len(cuts)), counts)
+        self.place_of = np.concatenate([*cuts, np.zeros(0, np.int64)]).astype(np.int64)
+        last = np.append(self.item_of[1:] != self.item_of[:-1], True)[: len(self.item_of)]
+        ends = np.where(last, self.lengths[self.item_of], np.append(self.place_of[1:], 0)[: len(self.place_of)])
+        self.whole = (counts == 1)[self.item_of]
+        self.pieces = pieces = Spans(self.data, self.starts[self.item_of] + self.place_of, ends - self.place_of)
+        long = pieces.lengths >= LEAST_BYTES
+        kinds = np.floor(np.log(np.maximum(pieces.lengths, 1) / LEAST_BYTES) / np.log(CLASS_RATIO)).astype(int)
         self.classes, self.sifts = [], []
-        for kind in np.unique(kinds[self.lengths >= LEAST_BYTES]):
-            own = np.flatnonzero((kinds == kind) & (self.lengths >= LEAST_BYTES))
-            n, k = self.lengths[own], self.edits[own]
+        for kind in np.unique(kinds[long]):
+            own = np.flatnonzero((kinds == kind) & long)
+            n, k = pieces.lengths[own], pieces.edits[own]
             least, most = n.min(), n.max()
             q = min(9, int(((n - k) // (k + 1)).min()))
             needed = int((n + 1 - q * (k + 1)).min())
             grams, holders = [], []
-            for i, a, size in zip(own, self.starts[own], n):
+            for i, a, size in zip(own, pieces.starts[own], n):
                 grams.append(np.unique(gram_hashes(self.data[a : a + size], q)[: size - q + 1]))
                 holders.append(np.full(len(grams[-1]), i))
             grams, holders = np.concatenate(grams), np.concatenate(holders)
@@ -115,17 +157,20 @@ class Items:
         }
         self.steps = max((c[3] for c in self.classes), default=0)
         random = np.random.default_rng(5)
-        self.moves = random.integers(0, 2, (WALKS, max(1, self.steps), 256), dtype=np.uint8)
+        self.tries = [(WALKS, SAMPLED) if pieces.lengths[own].min() >= WHOLE_WORDS else (WALKS_SHORT, SAMPLED_SHORT) for own, *_ in self.classes]
+        self.walks = max((walks for walks, _ in self.tries), default=0)
+        self.moves = random.integers(0, 2, (self.walks, max(1, self.steps), 256), dtype=np.uint8)
         self.samples = [
-            np.sort(random.integers(0, steps, (WALKS, TABLES, SAMPLED)), axis=2) for _, _, _, steps in self.classes
+            np.sort(random.integers(0, c[3], (walks, TABLES, sampled)), axis=2)
+            for c, (walks, sampled) in zip(self.classes, self.tries)
         ]
         self.tables, self.images = [], []
-        ends = self.starts + self.lengths
+        ends = pieces.starts + pieces.lengths
         for (own, _, _, steps), samples in zip(self.classes, self.samples):
             tables = []
             self.images.append([])
-            for w in range(WALKS):
-                image = self.walk(self.data, self.starts[own], ends[own], w, steps)
+            for w in range(len(samples)):
+                image = self.walk(self.data, pieces.starts[own], ends[own], w, steps)
                 self.images[-1].append(image)
                 for coordinates in samples[w]:
                     keys = _packed(image, coordinates)
@@ -164,7 +209,7 @@ def _packed(image: np.ndarray, coordinates: np.ndarray) -> np.ndarray:
 
 
 def candidates(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Columns (start, end of its text, item, unlikeness) of windows that share a table entry with an item; unlikeness
+    """Columns (start, end of its text, piece, unlikeness) of windows that share a table entry with a piece; unlikeness
     is the least share, in thousandths, of bytes that differ in two images."""
     if not len(data) or not items.classes:
         return np.zeros((4, 0), np.int64)
@@ -192,16 +237,18 @@ def candidates(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
         left = np.searchsorted(grams, hashes[hit], side="left")
         counts = np.searchsorted(grams, hashes[hit], side="right") - left
         if len(own) and counts.sum() <= MOST_HOLDERS * len(counts):
-            held = of_one_item(items, q, np.repeat(at[hit], counts), holders[spread(left, counts)], len(data))
+            held = of_one_piece(items.pieces, q, np.repeat(at[hit], counts), holders[spread(left, counts)], len(data))
             dense[kind, own] = held[begins[own]]
     some = dense.any(axis=0)
     begins, ends, dense = begins[some], ends[some], dense[:, some]
     found = []
     for low in range(0, len(begins), BLOCK):
         block = slice(low, low + BLOCK)
-        for w in range(WALKS):
-            image = items.walk(data, begins[block], ends[block], w, items.steps)
-            for kind, (own, _, _, steps) in enumerate(items.classes):
+        for w in range(items.walks):
+            kinds = [kind for kind, (walks, _) in enumerate(items.tries) if w < walks]
+            image = items.walk(data, begins[block], ends[block], w, max(items.classes[kind][3] for kind in kinds))
+            for kind in kinds:
+                own, _, _, steps = items.classes[kind]
                 samples, tables, images = items.samples[kind], items.tables[kind], items.images[kind][w]
                 columns = np.flatnonzero(dense[kind, block])
                 for t in range(TABLES if len(columns) else 0):
@@ -240,25 +287,25 @@ def window_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins & (data != 32))
 
 
-def of_one_item(items: Items, q: int, at: np.ndarray, item: np.ndarray, size: int) -> np.ndarray:
-    """From which bytes on a window holds enough sequences of one and the same item, given where (``at``) sequences of
-    which items stand."""
+def of_one_piece(pieces: Spans, q: int, at: np.ndarray, item: np.ndarray, size: int) -> np.ndarray:
+    """From which bytes on a window holds enough sequences of one and the same piece, given where (``at``) sequences of
+    which pieces stand."""
     order = np.lexsort((at, item))
     at, item = at[order], item[order]
-    needed = items.lengths[item] + 1 - q * (items.edits[item] + 1)
+    needed = pieces.lengths[item] + 1 - q * (pieces.edits[item] + 1)
     last = np.arange(len(at)) + needed - 1
     whole = last < len(at)
     at_last = at[np.minimum(last, len(at) - 1)]
     whole &= item[np.minimum(last, len(at) - 1)] == item
-    low = np.maximum(at_last - (items.lengths[item] + items.edits[item] - q), 0)
+    low = np.maximum(at_last - (pieces.lengths[item] + pieces.edits[item] - q), 0)
     whole &= low <= at
     edges = np.bincount(low[whole], minlength=size + 1)[: size + 1] - np.bincount(at[whole] + 1, minlength=size + 1)[: size + 1]
     return np.cumsum(edges)[:size] > 0
 
 
 def verbatim(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Columns (row, item, start) of every place where an item stands byte for byte. One under LEAST_BYTES counts only
-    where no ASCII letter or digit goes on before or after it."""
+    """Columns (row, item, start) of every place where an item stands byte for byte. One under WHOLE_WORDS counts
+    only where no ASCII letter or digit goes on before or after it."""
     found = [np.zeros((3, 0), np.int64)]
     heads = np.ndarray((len(data),), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,)).copy()
     for mask, table, keys, owners in items.heads:
@@ -276,12 +323,21 @@ def verbatim(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             good = same_bytes(data, start, items.data, items.starts[item], items.lengths[item])
             found.append(np.stack([row[good], item[good], start[good]]))
     row, item, start = np.concatenate(found, axis=1)
-    letter = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57)) if len(row) else np.zeros(0, bool)
-    end = start + items.lengths[item]
-    last = np.minimum(end, len(data) - 1)
-    cut = (start > offsets[row]) & letter[start - 1] & letter[start] | (end < offsets[row + 1]) & letter[last] & letter[end - 1]
-    whole = ~cut | (items.lengths[item] >= LEAST_BYTES)
-    return np.stack([row, item, start])[:, whole]
+    stands = in_words(data, offsets, row, start, start + items.lengths[item]) | (items.lengths[item] >= WHOLE_WORDS)
+    return np.stack([row, item, start])[:, stands]
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes of normalised texts are ASCII letters or digits."""
+    return ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
+
+
+def in_words(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether no ASCII letter or digit goes on over the ends of spans of texts."""
+    if not len(row):
+        return np.zeros(0, bool)
+    letter, last = _letters(data), np.minimum(end, len(data) - 1)
+    return ~((start > offsets[row]) & letter[start - 1] & letter[start] | (end < offsets[row + 1]) & letter[last] & letter[end - 1])
 
 
 def _new(columns: np.ndarray) -> np.ndarray:
@@ -298,10 +354,15 @@ def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     exact = exact[:, np.lexsort(exact[::-1])]
     exact = exact[:, _new(exact[:2])]
     out = [np.stack([exact[0], exact[1], np.zeros_like(exact[0]), exact[2], items.lengths[exact[1]]])]
-    start, end, item, unlike = candidates(items, data, offsets)
-    row = np.searchsorted(offsets, start, side="right") - 1
+    start, end, piece, unlike = candidates(items, data, offsets)
+    row, item = np.searchsorted(offsets, start, side="right") - 1, items.item_of[piece]
     open_ = ~np.isin(row * len(items.ids) + item, exact[0] * len(items.ids) + exact[1])
-    start, end, item, unlike, row = start[open_], end[open_], item[open_], unlike[open_], row[open_]
+    start, end, piece, unlike, row, item = (x[open_] for x in (start, end, piece, unlike, row, item))
+    whole = items.whole[piece]
+    more = proposed(items, data, offsets, *(x[~whole] for x in (start, end, piece, row)))
+    start, row = np.append(start[whole], more[0]), np.append(row[whole], more[1])
+    item, unlike = np.append(item[whole], more[2]), np.append(unlike[whole], more[3])
+    end = offsets[row + 1]
     order = np.lexsort((start, unlike, item, row))
     start, end, item, row = start[order], end[order], item[order], row[order]
     leads = _new(np.stack([row, item]))
@@ -309,7 +370,7 @@ def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     settled = np.zeros(int(leads.sum()), dtype=bool)
     for some in (np.flatnonzero(leads), None):
         some = np.flatnonzero(~leads & ~settled[pair]) if some is None else some
-        edits, sizes = edit_distances(items, data, start[some], end[some], item[some])
+        edits, sizes = edit_distances(items.spans, data, start[some], end[some], item[some])
         good = np.flatnonzero(edits <= items.edits[item[some]])
         good = good[np.lexsort((start[some][good], edits[good], pair[some][good]))]
         at = some[good]
@@ -318,37 +379,61 @@ def matches(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def edit_distances(items: Items, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray):
-    """Least edits between each item and any prefix of what begins at its window, and that prefix's length; edits
-    beyond the item's limit are not told apart."""
+def proposed(items: Items, data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray, row: np.ndarray):
+    """Columns (start, row, item, unlikeness) of windows at which an item of several pieces may begin: all as far from
+    where one of its pieces stands, within the piece's own share of edits, as the item's edits can shift it. Unlikeness
+    is the shift."""
+    edits, _ = edit_distances(items.pieces, data, start, end, piece)
+    good = edits <= items.pieces.edits[piece]
+    start, piece, row = start[good], piece[good], row[good]
+    item, guess = items.item_of[piece], start - items.place_of[piece]
+    begins = window_begins(data, offsets)
+    low = np.searchsorted(begins, np.maximum(guess - items.edits[item], offsets[row]), side="left")
+    high = np.searchsorted(begins, np.minimum(guess + items.edits[item] + 1, offsets[row + 1]), side="left")
+    counts = np.maximum(high - low, 0)
+    at = begins[spread(low, counts)] if len(low) else np.zeros(0, np.int64)
+    each = np.repeat(np.arange(len(low)), counts)
+    found = np.stack([at, row[each], item[each], np.abs(at - guess[each])])
+    found = found[:, np.lexsort(found[[3, 0, 2, 1]])]
+    return found[:, _new(found[:3])]
+
+
+def edit_distances(spans: Spans, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray):
+    """Least edits between each span and any prefix of what begins at its window, and the length of the prefix that has
+    them and comes closest to the span's; edits beyond the span's limit are not told apart. A span under WHOLE_WORDS bytes
+    must not end within a word."""
+    letter = _letters(data)
     best, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-    order = np.argsort(items.lengths[which], kind="stable")
-    huge = 10_000
-    for low in range(0, len(order), 1024):
-        part = order[low : low + 1024]
+    order = np.argsort(spans.lengths[which], kind="stable")
+    for low, high in lots(np.maximum(spans.lengths[which[order]], 256)):
+        part = order[low:high]
         own, at, stop = which[part], starts[part], ends[part]
-        n = items.lengths[own]
-        k, most = int(items.edits[own].max()), int(n.max())
+        n = spans.lengths[own]
+        k, most = int(spans.edits[own].max()), int(n.max())
+        kind, huge = (np.int16, 10_000) if most < 20_000 else (np.int32, 1 << 29)
         spots = at[:, None] + np.arange(-k, most + k)[None, :]
         inside = (spots >= at[:, None]) & (spots < stop[:, None])
         text = np.where(inside, data[np.clip(spots, 0, len(data) - 1)], 0).T.copy()  # by position
-        letters = items.data[np.minimum(items.starts[own][None, :] + np.arange(most)[:, None], len(items.data) - 1)]
+        letters = spans.data[np.minimum(spans.starts[own][None, :] + np.arange(most)[:, None], len(spans.data) - 1)]
         # Row d of a table: the prefix is d - k bytes longer than what is read of the item.
-        shift = np.arange(-k, k + 1, dtype=np.int16)[:, None]
-        table = np.where(shift >= 0, shift, np.int16(huge)).repeat(len(part), axis=1)
+        shift = np.arange(-k, k + 1, dtype=kind)[:, None]
+        table = np.where(shift >= 0, shift, kind(huge)).repeat(len(part), axis=1)
         last = table.copy()
         for i in range(most):
-            now = table + (text[i : i + 2 * k + 1] != letters[i]).astype(np.int16)
-            np.minimum(now[:-1], table[1:] + np.int16(1), out=now[:-1])
+            now = table + (text[i : i + 2 * k + 1] != letters[i]).astype(kind)
+            np.minimum(now[:-1], table[1:] + kind(1), out=now[:-1])
             step = 1
             while step <= 2 * k:  # bytes put in: the least of all shorter prefixes, by doubling
-                now[step:] = np.minimum(now[step:], now[:-step] + np.int16(step))
+                now[step:] = np.minimum(now[step:], now[:-step] + kind(step))
                 step *= 2
             table = now
             done = n == i + 1
             last[:, done] = table[:, done]
-        last[n[None, :] + shift > (stop - at)[None, :]] = huge
-        column = last.argmin(axis=0)
+        end = (at + n)[None, :] + shift
+        last[end > stop[None, :]] = huge
+        inner = (end < stop[None, :]) & letter[np.minimum(end, len(data) - 1)] & letter[np.clip(end - 1, 0, len(data) - 1)]
+        last[inner & (n < WHOLE_WORDS)[None, :]] = huge
+        column = (last.astype(np.int64) * (2 * k + 2) + np.abs(shift)).argmin(axis=0)
         best[part] = last[column, np.arange(len(part))]
         size[part] = n + column - k
     return best, size
@@ -405,8 +490,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and end (in characters) of a window.
 
     Case and blanks are evened out. An item occurs if it stands in the text byte for byte, or if some window (see
-    ``window_begins``) is within EDIT_SHARE of the item's bytes in edits. Verbatim items are always found, those under
-    LEAST_BYTES bytes as whole words and in no other way; edited ones with the recall of the LSH (see the tests).
+    ``window_begins``) is within EDIT_SHARE of the item's bytes in edits. Items under WHOLE_WORDS bytes
+    occur as whole words only. Verbatim items are always found, edited ones with the recall of the LSH (see the tests).
     Null or empty texts match nothing, nor do items that are empty or without id. Rows that repeat a doc_id
     give rows of their own; a null doc_id stays null. Other columns are not read.
     """
@@ -441,4 +526,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of ``benchmark`` in all documents; see ``contaminated`` for awkward rows."""
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -180,6 +180,8 @@ def train_trees(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) ->
 
 
 def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned outside the held-out fold; see ``train_trees`` and ``predict_languages`` for
+    awkward rows."""
     docs = read_table(spark, sf_dir, "documents")
     held_out = remainder(3) == 1
     trees = train_trees(docs.select("doc_id", "text", "lang").where(~held_out))

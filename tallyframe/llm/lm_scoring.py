@@ -338,5 +338,6 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op8_masked_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a network trained on them; awkward rows are as for its training and scoring."""
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs))

@@ -167,8 +167,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             measures, shapes = measured(*flat(part.column("text")))
             made = features(measures, shapes).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(votes(measures)), pa.array([row.tobytes() for row in made], pa.binary())],
-                names=["votes", "features"],
+                [part.column("doc_id"), pa.array(votes(measures)), pa.array([row.tobytes() for row in made], pa.binary())],
+                names=["doc_id", "votes", "features"],
             )
 
 
@@ -181,7 +181,7 @@ class Model:
 
 def train(docs: DataFrame) -> Model | None:
     """Labellers are judged on the votes of all texts with a word; the scorer is fitted on up to TRAIN_DOCS of them,
-    chosen by hashed doc_id. None without any such text. Null ids and texts are left out."""
+    chosen by hashed doc_id, one for each id. None without any such text. Null ids and texts are left out."""
     usable = id_and_text(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull())
     counted = usable.mapInArrow(_measure_rows, "votes long").groupBy("votes").count().toArrow()  # at most 3 ** labellers
     if not counted.num_rows:
@@ -189,9 +189,10 @@ def train(docs: DataFrame) -> Model | None:
     order = np.argsort(counted["votes"].to_numpy())
     codes, counts = counted["votes"].to_numpy()[order], counted["count"].to_numpy()[order].astype(float)
     prior, rates = estimate(digits(codes), counts)
-    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     ids = [r.doc_id for r in chosen.collect()]
-    picked = usable.where(F.col("doc_id").isin(ids)).mapInArrow(_feature_rows, "votes long, features binary").toArrow()
+    picked = usable.where(F.col("doc_id").isin(ids)).mapInArrow(_feature_rows, "doc_id long, votes long, features binary")
+    picked = picked.groupBy("doc_id").agg(F.min(F.struct("votes", "features")).alias("least")).select("least.*").toArrow()
     raw = sorted(zip(picked["votes"].to_pylist(), picked["features"].to_pylist()))
     rows = np.stack([np.frombuffer(f, dtype=np.float32) for _, f in raw]).astype(np.float64)
     targets = posterior(digits(np.array([v for v, _ in raw])), prior, rates)
@@ -250,5 +251,6 @@ def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, by a scorer trained on them; nulls, empties and repeats are as for ``score_quality``."""
     docs = read_table(spark, sf_dir, "documents")
     return score_quality(docs, train(docs))

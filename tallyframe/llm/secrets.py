@@ -207,4 +207,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; nulls, empties and repeats are as for the scan."""
     return digest(find_secrets(read_table(spark, sf_dir, "documents")))

@@ -276,4 +276,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of repeats from all documents; nulls, empties and repeats are as for ``remove_repeats``."""
     return remove_repeats(read_table(spark, sf_dir, "documents"))

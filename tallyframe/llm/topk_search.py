@@ -24,12 +24,12 @@ SCALE = 64
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) with floor(64 * x) of every component. Rows without id, without vector, or with a null or
-    non-finite component are left out; of rows that repeat an id the one with the least vector stays."""
+    non-finite component are left out; rows that repeat an id all stay."""
     x = F.col("embedding")
     finite = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     whole = F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")).cast("long"))
     usable = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite)
-    return usable.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return usable.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def _matrix(rows, width: int) -> np.ndarray:
@@ -99,7 +99,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest integer inner products of each query (vec_id, v) with rows
     of ``vectors`` (vec_id, v) of other ids; all if there are fewer. Ties go to the smaller vec_id.
 
-    Vectors of different lengths are filled up with zeros. No queries or no vectors give no rows.
+    Vectors of different lengths are filled up with zeros. Rows that repeat an id are candidates of their own, and as
+    queries share one ranking. No queries or no vectors give no rows.
 
     Vectors are dealt into groups and queries into chunks, both of bounded size, by hashed id; every chunk meets every
     group once, on the pair of their numbers. Within a group blocks are ranges of ids. Each task yields k rows per query
@@ -121,6 +122,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def op7_block_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all embeddings for every twentieth one; see ``integer_vectors`` and ``top_k`` for awkward rows."""
     vectors = integer_vectors(read_table(spark, sf_dir, "embeddings"))
     return top_k(vectors.where("vec_id % 20 = 0"), vectors, k=20)
 

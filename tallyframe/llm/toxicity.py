@@ -201,6 +201,8 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | float) -> DataFrame:
 
 
 def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels outside the held-out fold; see ``train`` and ``score_toxicity`` for
+    awkward rows."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     held_out = remainder(4) == 2
     known = labels.select("doc_id", "toxic").where(~held_out)

@@ -112,21 +112,26 @@ def test_items_that_follow_no_blank(spark):
     assert [r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()] == [9]
 
 
-@pytest.mark.parametrize("size", [24, 30, 40, 60, 100, 200])
-def test_recall_of_edited_items_by_length(size):
+def edited(text, edits, kinds, random_):
+    """The text with so many bytes replaced, put in or taken out."""
+    letters = list(text)
+    for at in random_.sample(range(len(letters)), edits):
+        kind = random_.choice(kinds)
+        letters[at] = {"replaced": "q", "put in": letters[at] + "q", "taken out": ""}[kind]
+    return "".join(letters)
+
+
+@pytest.mark.parametrize("kinds", [["replaced"], ["replaced", "put in", "taken out"]], ids=["replaced", "mixed"])
+@pytest.mark.parametrize("size", [10, 16, 24, 30, 40, 60, 100, 150, 200, 300, 390, 1000, 2000])
+def test_recall_of_edited_items_by_length(size, kinds):
     random_ = random.Random(size)
-    letters = "etaoinshrdlu "
+    alphabet = "etaoinshrdlu "
     texts = []
-    for _ in range(200):
-        texts.append("x" + "".join(random_.choice(letters) for _ in range(size - 2)).replace("  ", " e") + "z")
+    for _ in range(200 if size <= 400 else 60):
+        texts.append("x" + "".join(random_.choice(alphabet) for _ in range(size - 2)).replace("  ", " e") + "z")
     data, offsets, _ = decontamination.normalised(*flat(pa.array(texts)))
     items = decontamination.Items(np.arange(len(texts)), data, offsets[:-1], np.diff(offsets))
-    docs = []
-    for text in texts:
-        edited = list(text)
-        for at in random_.sample(range(size), size // 10):
-            edited[at] = "q"
-        docs.append(f"before it {''.join(edited)} and after it")
+    docs = [f"before it {edited(text, size // 10, kinds, random_)} and after it" for text in texts]
     found = decontamination.matches(items, *decontamination.normalised(*flat(pa.array(docs)))[:2])
     assert np.mean([k in found[1, found[0] == k] for k in range(len(docs))]) >= 0.93
 
@@ -138,10 +143,12 @@ def test_short_items_are_found_verbatim(spark):
     assert found == {(1, 1, 0), (3, 2, 0), (4, 3, 0), (5, 2, 0)}
 
 
-def plain_top(vectors, queries, k):
+def plain_top(rows, k):
+    """All rows are candidates; those of one id share a ranking."""
     out = []
-    for q in queries:
-        scored = sorted((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        asked = [v for i, v in rows if i == q]
+        scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for own in asked for i, v in rows if i != q)
         out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
     return out
 
@@ -156,9 +163,9 @@ def test_top_k_with_ties_and_gaps(spark, monkeypatch):
     odd = [(9001, None), (9002, [None, 1.0]), (9003, [float("nan")]), (9004, [float("inf")]), (None, [1.0]), (9005, [2.0]), (9006, [])]
     table = spark.createDataFrame(rows + odd + rows[:5], "vec_id long, embedding array<float>")
     vectors = topk_search.integer_vectors(table)
-    whole = {i: [64 * x for x in v] for i, v in rows + [(9005, [2.0]), (9006, [])]}
+    whole = [(i, [64 * x for x in v]) for i, v in rows + rows[:5] + [(9005, [2.0]), (9006, [])]]
     found = topk_search.top_k(vectors.where("vec_id % 20 = 0"), vectors, 20).collect()
-    assert sorted(map(tuple, found)) == plain_top(whole, sorted(i for i in whole if i % 20 == 0), 20)
+    assert sorted(map(tuple, found)) == plain_top(whole, 20)
 
 
 def test_top_k_of_little(spark):
@@ -256,3 +263,14 @@ def test_pipeline_stages_take_awkward_documents(spark):
     near = {r.doc_id: r for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()}
     assert 2 not in near and 1 in near
     assert len([1 for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect() if r.doc_id == 7]) == 2
+
+
+def test_top_k_over_repeated_ids_equals_its_sql(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), (rng.integers(-3, 4, 8) / 4).tolist(), 0) for i in rng.integers(0, 45, 160)]
+    schema = "vec_id long, embedding array<float>, label int"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in topk_search.op7_block_topk_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(connection.execute(topk_search.ORACLE).fetchall())
