@@ -6,7 +6,7 @@ import pytest
 
 import tallyframe as tf
 from frames import records
-from tallyframe.session import cluster_settings, remove_shared_folders, shared_folder, stored
+from tallyframe.session import SHUFFLED, cluster_settings, remove_shared_folders, shared_folder, stored
 
 PERSON = "StateAb,DivisionID,DivisionNm,CandidateID,Surname,GivenNm,BallotPosition,Elected,HistoricElected,PartyAb,PartyNm"
 AT_PLACE = (
@@ -104,6 +104,9 @@ def test_cluster_settings_scale_with_the_input():
     large = cluster_settings(100 * 10**12)
     assert 10_000 <= int(large[partitions]) <= 50_000
     assert int(large["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) > 64 * 1024**2
+    summed = cluster_settings(100 * 10**12, shuffled=SHUFFLED["vote types"])
+    assert int(summed["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) == 64 * 1024**2
+    assert 2000 <= int(summed[partitions]) <= 4000
 
 
 def test_no_shared_folder_is_left(spark):
