@@ -1,6 +1,6 @@
 """Exact top-k search by inner product with block-at-a-time pruning.
 
-Vectors of a group lie in blocks by id. A query bounds each block by the sum over components of the most that the block's
+Vectors of a group lie in blocks along a Hilbert curve, so that those of a block are alike. A query bounds each block by the sum over components of the most that the block's
 largest and smallest values allow, takes blocks from the highest bound down, scores a block through its forward index
 (the block's matrix), and stops once no bound reaches its k-th score.
 """
@@ -15,10 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyframe.llm.batches import read_table
+from tallyframe.llm.clustering import hilbert_keys
 
 BLOCK = 128
 #: Vectors and queries that meet in one task.
 GROUP_ROWS, QUERY_ROWS = 8192, 4096
+#: Components that place a vector on the curve, and bits of each.
+CURVE_COMPONENTS, CURVE_BITS = 64, 4
 SCALE = 64
 
 
@@ -49,7 +52,8 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int):
-    """(query row, id, score) of the k highest scores of each query over rows sorted by id; ties go to smaller ids."""
+    """(query row, id, score) of the k highest scores of each query over all rows, which lie in blocks as they come; ties
+    go to smaller ids."""
     starts = np.arange(0, len(ids), BLOCK)
     high = np.maximum.reduceat(matrix, starts, axis=0)
     low = np.minimum.reduceat(matrix, starts, axis=0)
@@ -82,14 +86,24 @@ def search(queries: np.ndarray, query_ids: np.ndarray, matrix: np.ndarray, ids:
     return np.nonzero(filled)[0], best_ids[filled], best[filled]
 
 
+def _along_curve(matrix: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order of rows along a curve over their first components; equal places by id."""
+    part = matrix[:, :CURVE_COMPONENTS]
+    if not part.shape[1]:
+        return np.argsort(ids, kind="stable")
+    low, high = part.min(axis=0), part.max(axis=0)
+    cells = np.floor((part - low.astype(np.float64)) / np.maximum(high - low.astype(np.float64), 1) * ((1 << CURVE_BITS) - 1))
+    return np.lexsort((ids, *hilbert_keys(cells.astype(np.int64), CURVE_BITS).T[::-1]))
+
+
 def _searched(k: int):
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(block):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        block = block.sort_values("vec_id")
         width = max(block["v"].map(len).max(), queries["v"].map(len).max())
-        query_ids, ids = queries["vec_id"].to_numpy(), block["vec_id"].to_numpy()
-        rows, found, scores = search(_matrix(queries["v"], width), query_ids, _matrix(block["v"], width), ids, k)
+        query_ids, ids, matrix = queries["vec_id"].to_numpy(), block["vec_id"].to_numpy(), _matrix(block["v"], width)
+        order = _along_curve(matrix, ids)
+        rows, found, scores = search(_matrix(queries["v"], width), query_ids, matrix[order], ids[order], k)
         return pd.DataFrame({"query_id": query_ids[rows], "vec_id": found, "score": scores})
 
     return run
@@ -103,7 +117,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     queries share one ranking. No queries or no vectors give no rows.
 
     Vectors are dealt into groups and queries into chunks, both of bounded size, by hashed id; every chunk meets every
-    group once, on the pair of their numbers. Within a group blocks are ranges of ids. Each task yields k rows per query
+    group once, on the pair of their numbers. Within a group blocks are ranges of the curve. Each task yields k rows per query
     at most; the last step ranks those.
     """
     n, n_queries = vectors.count(), queries.count()

@@ -274,3 +274,25 @@ def test_top_k_over_repeated_ids_equals_its_sql(spark, tmp_path):
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert got == sorted(connection.execute(topk_search.ORACLE).fetchall())
+
+
+def test_blocks_are_skipped_on_clustered_vectors(monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = rng.integers(-60, 60, (32, 64))
+    rows = centres[rng.integers(0, 32, 8192)] + rng.integers(-4, 5, (8192, 64))
+    queries = rows[:50]
+    ids = rng.permutation(8192)
+    scored = []
+    product = topk_search._product
+    monkeypatch.setattr(topk_search, "_product", lambda a, b: scored.append(len(a) * len(b)) or product(a, b))
+
+    def found(order):
+        scored.clear()
+        q, i, s = topk_search.search(queries, ids[:50], rows[order], ids[order], 20)
+        held = sum(n for n in scored[2:])  # the first two are the bounds
+        return sorted(zip(q.tolist(), i.tolist(), s.tolist())), held / (50 * 8192)
+
+    by_curve, share = found(topk_search._along_curve(rows, ids))
+    by_id, plain_share = found(np.argsort(ids))
+    assert by_curve == by_id
+    assert share < 0.2 < plain_share
