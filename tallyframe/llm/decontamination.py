@@ -36,7 +36,7 @@ WALKS_SHORT, SAMPLED_SHORT = 10, 3
 #: Least share of equal bytes in two images for the edits to be counted; unrelated texts have about 0.07.
 LEAST_ALIKE = 0.2
 #: Items of lengths within this factor share tables.
-CLASS_RATIO = 1.25
+CLASS_RATIO = 1.6
 #: Items of one pass over the documents are sent to every executor; more bytes take more passes.
 PASS_BYTES = 8 << 20
 RUN_BYTES = 1 << 20
@@ -113,7 +113,7 @@ def cut(item: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """What a pass needs of its items, and of their pieces in classes of similar length."""
+    """What a pass needs of its items, and of their pieces in classes of similar length and one size of sequences."""
 
     ids: np.ndarray
     data: np.ndarray
@@ -133,12 +133,13 @@ class Items:
         self.pieces = pieces = Spans(self.data, self.starts[self.item_of] + self.place_of, ends - self.place_of)
         long = pieces.lengths >= LEAST_BYTES
         kinds = np.floor(np.log(np.maximum(pieces.lengths, 1) / LEAST_BYTES) / np.log(CLASS_RATIO)).astype(int)
+        sizes = np.minimum(9, (pieces.lengths - pieces.edits) // (pieces.edits + 1))  # of sequences; longer ones sift more
+        kinds = 10 * kinds + sizes
         self.classes, self.sifts = [], []
         for kind in np.unique(kinds[long]):
             own = np.flatnonzero((kinds == kind) & long)
             n, k = pieces.lengths[own], pieces.edits[own]
-            least, most = n.min(), n.max()
-            q = min(9, int(((n - k) // (k + 1)).min()))
+            least, most, q = n.min(), n.max(), int(sizes[own[0]])
             needed = int((n + 1 - q * (k + 1)).min())
             grams, holders = [], []
             for i, a, size in zip(own, pieces.starts[own], n):
@@ -216,7 +217,7 @@ def candidates(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     begins = window_begins(data, offsets)
     ends = offsets[np.searchsorted(offsets, begins, side="right")]
     dense = np.zeros((len(items.classes), len(begins)), dtype=bool)
-    places = {}
+    places, reaches = {}, {}
     for q, (bits, bitmap) in items.any.items():
         hashes = gram_hashes(data, q)
         hit = bitmap[(hashes >> U64(64 - bits)).astype(np.int64)]
@@ -237,8 +238,11 @@ def candidates(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
         left = np.searchsorted(grams, hashes[hit], side="left")
         counts = np.searchsorted(grams, hashes[hit], side="right") - left
         if len(own) and counts.sum() <= MOST_HOLDERS * len(counts):
-            held = of_one_piece(items.pieces, q, np.repeat(at[hit], counts), holders[spread(left, counts)], len(data))
-            dense[kind, own] = held[begins[own]]
+            piece, low, high = of_one_piece(items.pieces, q, np.repeat(at[hit], counts), holders[spread(left, counts)])
+            first = piece * (len(data) + 1)
+            reaches[kind] = first + low, np.maximum.accumulate(first + high)
+            edges = np.bincount(low, minlength=len(data) + 1) - np.bincount(high + 1, minlength=len(data) + 1)
+            dense[kind, own] = np.cumsum(edges)[begins[own]] > 0
     some = dense.any(axis=0)
     begins, ends, dense = begins[some], ends[some], dense[:, some]
     found = []
@@ -260,6 +264,9 @@ def candidates(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
                     for k in range(int(counts.max(initial=0))):
                         more = at[counts[at] > k]
                         column, owner = columns[more], owners[left[more] + k]
+                        if kind in reaches:  # the sift has passed the window for this very piece
+                            good = within(reaches[kind], own[owner], begins[low + column], len(data))
+                            column, owner = column[good], owner[good]
                         alike = (image[:steps, column] == images[:, owner]).mean(axis=0)
                         near = alike >= LEAST_ALIKE
                         where, unlike = low + column[near], (1000 - 1000 * alike[near]).astype(np.int64)
@@ -287,20 +294,30 @@ def window_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins & (data != 32))
 
 
-def of_one_piece(pieces: Spans, q: int, at: np.ndarray, item: np.ndarray, size: int) -> np.ndarray:
-    """From which bytes on a window holds enough sequences of one and the same piece, given where (``at``) sequences of
-    which pieces stand."""
-    order = np.lexsort((at, item))
-    at, item = at[order], item[order]
-    needed = pieces.lengths[item] + 1 - q * (pieces.edits[item] + 1)
+def of_one_piece(pieces: Spans, q: int, at: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """Columns (piece, first, last) of bytes from which on a window holds enough sequences of a piece, given where (``at``)
+    sequences of which pieces stand; sorted by piece and first."""
+    order = np.lexsort((at, piece))
+    at, piece = at[order], piece[order]
+    needed = pieces.lengths[piece] + 1 - q * (pieces.edits[piece] + 1)
     last = np.arange(len(at)) + needed - 1
     whole = last < len(at)
     at_last = at[np.minimum(last, len(at) - 1)]
-    whole &= item[np.minimum(last, len(at) - 1)] == item
-    low = np.maximum(at_last - (pieces.lengths[item] + pieces.edits[item] - q), 0)
+    whole &= piece[np.minimum(last, len(at) - 1)] == piece
+    low = np.maximum(at_last - (pieces.lengths[piece] + pieces.edits[piece] - q), 0)
     whole &= low <= at
-    edges = np.bincount(low[whole], minlength=size + 1)[: size + 1] - np.bincount(at[whole] + 1, minlength=size + 1)[: size + 1]
-    return np.cumsum(edges)[:size] > 0
+    found = np.stack([piece[whole], low[whole], at[whole]])
+    return found[:, np.lexsort((found[1], found[0]))]
+
+
+def within(reach: tuple[np.ndarray, np.ndarray], piece: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+    """Whether windows of pieces begin in what ``of_one_piece`` gave for them."""
+    keys, ends = reach
+    if not len(keys):
+        return np.zeros(len(piece), bool)
+    wanted = piece * (size + 1) + begin
+    before = np.searchsorted(keys, wanted, side="right") - 1
+    return (before >= 0) & (ends[np.maximum(before, 0)] >= wanted)
 
 
 def verbatim(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -386,12 +403,14 @@ def proposed(items: Items, data: np.ndarray, offsets: np.ndarray, start: np.ndar
     edits, _ = edit_distances(items.pieces, data, start, end, piece)
     good = edits <= items.pieces.edits[piece]
     start, piece, row = start[good], piece[good], row[good]
+    if not len(start):
+        return np.zeros((4, 0), np.int64)
     item, guess = items.item_of[piece], start - items.place_of[piece]
     begins = window_begins(data, offsets)
     low = np.searchsorted(begins, np.maximum(guess - items.edits[item], offsets[row]), side="left")
     high = np.searchsorted(begins, np.minimum(guess + items.edits[item] + 1, offsets[row + 1]), side="left")
     counts = np.maximum(high - low, 0)
-    at = begins[spread(low, counts)] if len(low) else np.zeros(0, np.int64)
+    at = begins[spread(low, counts)]
     each = np.repeat(np.arange(len(low)), counts)
     found = np.stack([at, row[each], item[each], np.abs(at - guess[each])])
     found = found[:, np.lexsort(found[[3, 0, 2, 1]])]
