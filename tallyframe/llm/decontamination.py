@@ -133,7 +133,7 @@ class Items:
         self.pieces = pieces = Spans(self.data, self.starts[self.item_of] + self.place_of, ends - self.place_of)
         long = pieces.lengths >= LEAST_BYTES
         kinds = np.floor(np.log(np.maximum(pieces.lengths, 1) / LEAST_BYTES) / np.log(CLASS_RATIO)).astype(int)
-        sizes = np.minimum(9, (pieces.lengths - pieces.edits) // (pieces.edits + 1))  # of sequences; longer ones sift more
+        sizes = np.minimum(8, (pieces.lengths - pieces.edits) // (pieces.edits + 1))  # of sequences; longer ones sift more
         kinds = 10 * kinds + sizes
         self.classes, self.sifts = [], []
         for kind in np.unique(kinds[long]):
@@ -255,22 +255,26 @@ def candidates(items: Items, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
                 own, _, _, steps = items.classes[kind]
                 samples, tables, images = items.samples[kind], items.tables[kind], items.images[kind][w]
                 columns = np.flatnonzero(dense[kind, block])
-                for t in range(TABLES if len(columns) else 0):
+                if not len(columns):
+                    continue
+                seen, met = image[:steps, columns], []
+                for t in range(TABLES):
                     keys, owners = tables[w * TABLES + t]
-                    wanted = _packed(image, samples[w][t])[columns]
+                    wanted = _packed(seen, samples[w][t])
                     left = np.searchsorted(keys, wanted, side="left")
-                    counts = np.searchsorted(keys, wanted, side="right") - left
-                    at = np.flatnonzero(counts)
-                    for k in range(int(counts.max(initial=0))):
-                        more = at[counts[at] > k]
-                        column, owner = columns[more], owners[left[more] + k]
-                        if kind in reaches:  # the sift has passed the window for this very piece
-                            good = within(reaches[kind], own[owner], begins[low + column], len(data))
-                            column, owner = column[good], owner[good]
-                        alike = (image[:steps, column] == images[:, owner]).mean(axis=0)
-                        near = alike >= LEAST_ALIKE
-                        where, unlike = low + column[near], (1000 - 1000 * alike[near]).astype(np.int64)
-                        found.append(np.stack([begins[where], ends[where], own[owner[near]], unlike]))
+                    at = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == wanted)
+                    counts = np.searchsorted(keys, wanted[at], side="right") - left[at]
+                    met.append(np.repeat(at, counts) * len(own) + owners[spread(left[at], counts)])
+                column, owner = np.divmod(np.unique(np.concatenate(met)), len(own))
+                if kind in reaches:  # the sift has passed the window for this very piece
+                    good = within(reaches[kind], own[owner], begins[low + columns[column]], len(data))
+                    column, owner = column[good], owner[good]
+                for part in range(0, len(column), BLOCK):
+                    some, piece = column[part : part + BLOCK], owner[part : part + BLOCK]
+                    alike = (seen[:, some] == images[:, piece]).mean(axis=0)
+                    near = alike >= LEAST_ALIKE
+                    where, unlike = low + columns[some[near]], (1000 - 1000 * alike[near]).astype(np.int64)
+                    found.append(np.stack([begins[where], ends[where], own[piece[near]], unlike]))
     if not found:
         return np.zeros((4, 0), np.int64)
     pairs = np.concatenate(found, axis=1)
