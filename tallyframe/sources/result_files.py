@@ -87,7 +87,8 @@ def inspect_files(spark: SparkSession, paths: Iterable[str], line_breaks: bool |
     headers = {path: read_header(spark, path) for path in paths}
     kinds = sorted(set(headers.values()))
     bare = F.replace("value", F.lit('"'), F.lit(""))
-    may_be = [(bare == ",".join(kind).replace('"', "")) & _is_header(_fields("value", kind), kind) for kind in kinds]
+    # A condition, since the fields of an "and" are taken out as a common part and so split on every line, for every kind.
+    may_be = [F.when(bare == ",".join(kind).replace('"', ""), _is_header(_fields("value", kind), kind)) for kind in kinds]
     odd = (F.length("value") - F.length(bare)) % 2 == 1
     broken, rows = _per_path(spark, spark.read.text(paths), paths, odd, may_be)
     if line_breaks is not None:

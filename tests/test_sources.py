@@ -196,3 +196,11 @@ def test_one_job_looks_at_any_number_of_files(spark, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs <= 2  # adaptive execution runs the two stages of a grouping as a job each
     assert scanned.count() == 12
+
+
+def test_only_lines_that_may_be_headers_are_split_into_fields(spark, tmp_path):
+    """Splitting is the dear part; a line of more fields than the splitter takes shows whether it was tried."""
+    path = write(tmp_path / "wide.csv", "b\nA,B\n1,2\n" + "," * 30_000 + '\n"A",B\n')
+    other = write(tmp_path / "other.csv", "b\nC,D,E\n1,2,3\n")
+    facts = inspect_files(spark, [path, other])
+    assert facts == {path: FileFacts(("A", "B"), False, 2), other: FileFacts(("C", "D", "E"), False, 1)}
