@@ -20,6 +20,9 @@ SKETCH_SIZE = 256
 ROWS_PER_BAND = 6
 #: Members of a bucket that one task compares with each other at a time.
 CHUNK = 1024
+BANDS = SKETCH_SIZE // ROWS_PER_BAND
+#: Buckets of so many members are compared together with the others of their hub, BANDS of them at most.
+SMALL_BUCKET = CHUNK // BANDS
 
 
 def _sketched(words: int):
@@ -116,6 +119,48 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", mark).mapInArrow(run, schema)
 
 
+def _still_apart(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The blocks (merged, group, low, high) in which members of buckets (bucket, node, hub, size) have yet to be compared,
+    with the component that each was found in; ``found`` leaves out nodes without a link.
+
+    Similar documents meet in many buckets, mostly with the same hub. The small buckets of a hub are therefore one group and
+    one block, in which each member stands once. A larger bucket is a group of its own, cut into blocks of two chunks of
+    members; so is each bucket of a hub that has more than BANDS, being an id with several texts. Of buckets with the same
+    members, one is compared.
+    """
+    placed = shared.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = (
+        placed.groupBy("bucket", "hub", "size")
+        .agg(
+            F.min("component").alias("low"), F.max("component").alias("high"),
+            F.bit_xor(F.xxhash64("node")).alias("mark"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark2"),
+        )
+        .where("low < high")
+        .groupBy("hub", "size", "mark", "mark2")  # the hub is the least member
+        .agg(F.min("bucket").alias("bucket"))
+    )
+    small = F.col("size") <= SMALL_BUCKET
+    merging = apart.where(small).groupBy("hub").agg(F.count("*").alias("buckets")).where(F.col("buckets") <= BANDS)
+    apart = apart.join(merging, "hub", "left").select("bucket", (small & F.col("buckets").isNotNull()).alias("merged"))
+    group, chunks = F.when(F.col("merged"), F.col("hub")).otherwise(F.col("bucket")), F.ceil(F.col("size") / CHUNK)
+    split = (
+        placed.join(apart, "bucket")
+        .select(
+            "merged", group.alias("group"), "node", "component",
+            F.when(F.col("merged"), 1).otherwise(chunks).cast("int").alias("chunks"),
+        )
+        .distinct()
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    )
+    return split.select(
+        "merged", "group", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    ).select(
+        "merged", "group", "node", "component",
+        F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
+        F.when(F.col("chunk") > F.col("other"), 1).when(F.col("chunk") < F.col("other"), 0).otherwise(-1).alias("side"),
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -176,32 +221,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = components(links)
     release(links)
 
-    # Buckets whose members are still apart: every pair of members, in blocks. Of buckets with the same members, one.
-    placed = shared.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = (
-        placed.groupBy("bucket", "size")
-        .agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            F.bit_xor(F.xxhash64("node")).alias("mark"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("mark2"),
-        )
-        .where("low < high")
-        .groupBy("size", "mark", "mark2")
-        .agg(F.min("bucket").alias("bucket"))
-    )
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    split = placed.join(apart.select("bucket"), "bucket").select(
-        "bucket", "node", "component", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk")
-    )
-    blocks = split.select(
-        "bucket", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    ).select(
-        "bucket", "node", "component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
-        F.when(F.col("chunk") > F.col("other"), 1).when(F.col("chunk") < F.col("other"), 0).otherwise(-1).alias("side"),
-    )
+    # Buckets whose members are still apart: every pair of members, in blocks.
+    blocks = _still_apart(shared, found)
     more = (
         blocks.join(full, "node")
-        .select("bucket", "low", "high", "node", "component", "side", "shingles")
-        .groupBy("bucket", "low", "high")
+        .select("merged", "group", "low", "high", "node", "component", "side", "shingles")
+        .groupBy("merged", "group", "low", "high")
         .applyInPandas(_linked(percent), "a long, b long")
     )
     held = found.select(F.col("node").alias("a"), F.col("component").alias("b"))

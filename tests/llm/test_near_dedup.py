@@ -119,3 +119,23 @@ def test_rows_that_repeat_an_id_are_one_node(spark):
     text = {i: " ".join(f"w{(k * (1 + i // 3)) % 97}" for k in range(60 + i % 3)) for i in range(9)}
     rows = [(i, text[i], "en") for i in range(9)] + [(i % 2, text[i % 2], "en") for i in range(400)]
     assert found(near_dedup.near_duplicates(cases.documents(spark, rows), 5, 80)) == expected(rows, 5, 80)
+
+
+def test_members_of_a_hubs_small_buckets_are_compared_once(spark):
+    """40 buckets with hub 0, of which every pair of members stays apart; 5000 stands for an id with very many texts."""
+    buckets = {b: [0, *range(1 + b % 20, 8 + b % 20)] for b in range(40)}
+    buckets |= {100 + b: [5000, 5001 + b, 5002 + b] for b in range(near_dedup.BANDS + 1)}
+    buckets |= {200: [0, *range(10_000, 10_000 + near_dedup.SMALL_BUCKET)], 201: [1, *range(20_000, 20_000 + 2 * near_dedup.CHUNK)]}
+    rows = [(n, b, min(m), len(m)) for b, m in buckets.items() for n in m]
+    shared = spark.createDataFrame(rows, "node long, bucket long, hub long, size long")
+    blocks = near_dedup._still_apart(shared, spark.createDataFrame([(3, 0), (0, 0)], "node long, component long")).collect()
+    together = {}
+    for r in blocks:
+        together.setdefault((r.merged, r.group, r.low, r.high), []).append(r)
+    assert sorted(r.node for r in together[True, 0, 0, 0]) == [0, *range(1, 27)]
+    assert {r.node: r.component for r in together[True, 0, 0, 0]}[3] == 0
+    assert max(len(block) for block in together.values()) <= 2 * near_dedup.CHUNK + 200
+    held = [({r.node for r in block if r.side < 1}, {r.node for r in block if r.side}) for block in together.values()]
+    for members in buckets.values():
+        few = members[:30]
+        assert all(any((a in x and b in y) or (b in x and a in y) for x, y in held) for a in few for b in few if a < b)
