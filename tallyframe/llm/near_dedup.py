@@ -185,9 +185,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = stored(filled.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "sets")
 
     # Buckets of nodes that share a band, with the least node of each. Rows that repeat an id and its text are one node.
-    carriers = filled.select(F.col("doc_id").alias("node"), "set_id", "bands").join(
-        sets.select("node", "set_id"), ["node", "set_id"], "left_semi"
-    )
+    # Sketches are moved only to leave out copies, and not even then where Spark finds these few enough to send round.
+    of_copies = filled.select("doc_id", "set_id").join(sets.where("copies > 1").select("set_id", "node"), "set_id")
+    copies = stored(of_copies.where("doc_id <> node").select(F.col("doc_id").alias("node"), "set_id"), "copies")
+    carriers = filled.select(F.col("doc_id").alias("node"), "set_id", "bands").join(copies, ["node", "set_id"], "left_anti")
     repeated = filled.groupBy("doc_id", "set_id").agg(F.count("*").alias("times")).where("times > 1")
     some_repeat = not repeated.isEmpty()
     if some_repeat:
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .where("hub < last")
         .select("bucket", "hub", "size")
     )
-    shared = stored(members.join(hubs, "bucket"), "buckets")
+    shared = stored(members.join(hubs, "bucket"), "buckets", replaces=[copies])
 
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     full = stored(_sets_of(docs, wanted, words), "shingles")
@@ -208,7 +209,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     of_a, of_b = full.toDF("a", "of_a"), full.toDF("b", "of_b")
     both = F.size(F.array_intersect("of_a", "of_b"))
-    pairs = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = stored(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    of_a = of_a.join(pairs.select("a").distinct(), "a", "left_semi")  # few are hubs
     checked = pairs.join(of_b, "b").join(of_a, "a").where(
         100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)
     )
@@ -217,12 +219,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .select("doc_id").join(filled.select("doc_id", "set_id"), "doc_id").join(sets, "set_id").where("doc_id <> node")
         .select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     )
-    links = stored(checked.select("a", "b"), "checked")
+    links = stored(checked.select("a", "b"), "checked", replaces=[pairs])
     found = components(links)
     release(links)
 
     # Buckets whose members are still apart: every pair of members, in blocks.
-    blocks = _still_apart(shared, found)
+    blocks = stored(_still_apart(shared, found), "blocks")
     more = (
         blocks.join(full, "node")
         .select("merged", "group", "low", "high", "node", "component", "side", "shingles")
@@ -231,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     held = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     linked = components(held.unionByName(more).unionByName(repeated_ids))
-    release(shared, full, found)
+    release(shared, full, found, blocks)
 
     named = sets.join(linked, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     return (
