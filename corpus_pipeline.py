@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import bpe, decontamination, quality, secrets
 from tallyframe.llm.batches import read_table
+from tallyframe.llm.filters import asking, sent_round
 from tallyframe.llm.near_dedup import near_duplicates
 from tallyframe.session import stored
 
@@ -22,14 +23,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates (runs of five words, 0.8) the document with the smallest doc_id stays. Rows that
     repeat a doc_id and its text become one; rows without doc_id stay."""
-    kept = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("times"))
-    kept = stored(kept.withColumnRenamed("doc_id", "kept_id"), "kept")
-
-    def those(rows: DataFrame) -> DataFrame:
-        return docs.join(rows, docs.doc_id.eqNullSafe(rows.kept_id), "left_semi")
-
-    once = F.col("kept_id").isNull() | (F.col("times") == 1)
-    return those(kept.where(once)).unionByName(those(kept.where(~once)).dropDuplicates(["doc_id", "text"]))
+    rows = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("odd_id"))
+    rows = rows.agg(F.count("*").alias("times"), F.count_if("kept").alias("kept"))
+    odd = stored(rows.where("times > 1 OR kept <> 1"), "odd")
+    # Most texts belong to ids of one row that stays, and are not moved.
+    doc_id = F.col("doc_id").cast("long")
+    may_be_odd = asking(odd, "odd_id")(doc_id)
+    asked, same = docs.where(may_be_odd), doc_id == F.col("odd_id")
+    out = docs.where(~may_be_odd).unionByName(asked.join(sent_round(odd.where("kept <> 1")), same, "left_anti"))
+    several = odd.where("kept > 1")
+    if several.isEmpty():
+        return out
+    return out.unionByName(asked.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

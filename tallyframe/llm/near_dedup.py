@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.batches import flat, id_and_text, read_table, runs, shingles
 from tallyframe.llm.components import components
 from tallyframe.llm.fast_sketch import band_keys, sketches
-from tallyframe.llm.filters import MAX_BITS, bitmap, may_hold
+from tallyframe.llm.filters import MAX_BITS, asking, bitmap, may_hold, sent_round
 from tallyframe.session import release, stored
 
 SKETCH_SIZE = 256
@@ -185,14 +185,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = stored(filled.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "sets")
 
     # Buckets of nodes that share a band, with the least node of each. Rows that repeat an id and its text are one node.
-    # Sketches are moved only to leave out copies, and not even then where Spark finds these few enough to send round.
+    # Sketches are moved only of sets that may have copies, to leave these out.
     of_copies = filled.select("doc_id", "set_id").join(sets.where("copies > 1").select("set_id", "node"), "set_id")
     copies = stored(of_copies.where("doc_id <> node").select(F.col("doc_id").alias("node"), "set_id"), "copies")
-    carriers = filled.select(F.col("doc_id").alias("node"), "set_id", "bands").join(copies, ["node", "set_id"], "left_anti")
     repeated = filled.groupBy("doc_id", "set_id").agg(F.count("*").alias("times")).where("times > 1")
     some_repeat = not repeated.isEmpty()
+    all_rows, copied = filled.select(F.col("doc_id").alias("node"), "set_id", "bands"), asking(sets.where("copies > 1"), "set_id")
+    firsts = all_rows.where(copied("set_id")).join(copies, ["node", "set_id"], "left_anti")
     if some_repeat:
-        carriers = carriers.dropDuplicates(["node", "set_id"])
+        firsts = firsts.dropDuplicates(["node", "set_id"])
+    carriers = all_rows.where(~copied("set_id")).unionByName(firsts)
     members = carriers.select("node", F.explode("bands").alias("bucket"))
     hubs = (
         members.groupBy("bucket")
@@ -207,11 +209,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if some_repeat:
         full = stored(full.dropDuplicates(["node", "shingles"]), "shingles", replaces=[full])
 
-    of_a, of_b = full.toDF("a", "of_a"), full.toDF("b", "of_b")
-    both = F.size(F.array_intersect("of_a", "of_b"))
+    # Joins move the sets that they need and few others, however many there are.
     pairs = stored(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    of_a = of_a.join(pairs.select("a").distinct(), "a", "left_semi")  # few are hubs
-    checked = pairs.join(of_b, "b").join(of_a, "a").where(
+    of_a = full.toDF("a", "of_a").where(asking(pairs.select("a").distinct(), "a")("a"))
+    of_b = full.toDF("b", "of_b").where(asking(pairs.select("b").distinct(), "b")("b"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    checked = of_b.join(sent_round(pairs), "b").join(of_a, "a").where(
         100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)
     )
     repeated_ids = (  # a doc_id with several texts joins their sets
@@ -225,8 +228,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # Buckets whose members are still apart: every pair of members, in blocks.
     blocks = stored(_still_apart(shared, found), "blocks")
+    in_blocks = asking(blocks.select("node").distinct(), "node")
     more = (
-        blocks.join(full, "node")
+        full.where(in_blocks("node")).join(sent_round(blocks), "node")
         .select("merged", "group", "low", "high", "node", "component", "side", "shingles")
         .groupBy("merged", "group", "low", "high")
         .applyInPandas(_linked(percent), "a long, b long")
