@@ -32,6 +32,8 @@ WIDTH = 24
 PART_EXAMPLES, ROUNDS = 1 << 16, 2
 BATCH, RATE = 256, 0.15
 RUN_BYTES = 1 << 20
+#: Words scored at a time, whose arrays stay in the processor's cache.
+SCORED = 1 << 10
 SHAPES = {
     "word": (CODES + 1, WIDTH), "side": (len(SIDES), WIDTH), "bias": (WIDTH,), "first": (WIDTH, DIGITS), "first_bias": (DIGITS,),
     "given": (DIGITS, WIDTH), "second": (WIDTH, DIGITS), "second_bias": (DIGITS, DIGITS),
@@ -40,43 +42,82 @@ SHAPES = {
 PIECES = 16
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word, in lower case."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The data in lower case, and hash, row, start and end of every word in it."""
     data = lowered(data)
     starts, ends, row = word_spans(data, offsets)
-    return span_hashes(data, starts, ends), row
+    return data, span_hashes(data, starts, ends), row, starts, ends
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word, in lower case."""
+    return words_of(data, offsets)[1:3]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, and with no word those of each byte in words and, as byte 256, of their ends."""
+    letters, held, size = np.zeros(257, np.int64), [], 0
     for batch in batches:
         for part in runs(batch):
-            data, offsets = flat(part.column("text"))
-            starts, ends, _ = word_spans(data, offsets)
-            words, counts = np.unique(word_hashes(data, offsets)[0], return_counts=True)
-            letters = np.bincount(lowered(data), minlength=257)
-            letters[[0x20, *range(0x09, 0x0E)]], letters[256] = 0, len(starts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int16()), pa.array(words.view(np.int64)), pa.array(counts)], COUNTED)
-            yield pa.RecordBatch.from_arrays([pa.array(range(257), pa.int16()), pa.nulls(257, pa.int64()), pa.array(letters)], COUNTED)
-
-
+            data, hashes, _, starts, _ = words_of(*flat(part.column("text")))
+            found = np.bincount(data, minlength=257)
+            found[[0x20, *range(0x09, 0x0E)]], found[256] = 0, len(starts)
+            letters += found
+            held.append(np.unique(hashes, return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD_WORDS:
+                held = [_merged(held)]
+                size = len(held[0][0])
+                if size > HELD_WORDS // 2:
+                    yield _counted(*held[0])
+                    held, size = [], 0
+    if held:
+        yield _counted(*_merged(held))
+    yield pa.RecordBatch.from_arrays([pa.array(range(257), pa.int16()), pa.nulls(257, pa.int64()), pa.array(letters)], COUNTED)
+
+
+def _merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the same words added up."""
+    words, n = (np.concatenate(c) for c in zip(*counts))
+    order = np.argsort(words)
+    words = words[order]
+    begins = np.flatnonzero(np.append(True, words[1:] != words[:-1])[: len(words)])
+    return words[begins], np.add.reduceat(n[order], begins) if len(words) else n
+
+
+def _counted(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int16()), pa.array(words.view(np.int64)), pa.array(n)], COUNTED)
+
+
+#: Counts of words that a task holds before it adds them up, and before it passes on half as many different ones.
+HELD_WORDS = 1 << 19
 COUNTED = ["byte", "word", "n"]
 
 
 class Coder:
-    """Codes of words, by the place of their hash among the commonest."""
+    """Codes of words, by the place of their hash among the commonest. The first bits of a hash tell where to look."""
+
+    BITS = 16
 
     def __init__(self, words: list[int]):
         hashes = np.array(words, dtype=np.int64).view(np.uint64)
         self.codes = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes = hashes[self.codes]
+        tops = (self.hashes >> U64(64 - self.BITS)).astype(np.int64)
+        self.begins = np.searchsorted(tops, np.arange(1 << self.BITS)).astype(np.int32)
+        self.most = int(np.bincount(tops, minlength=1).max())
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        rare = (COMMON + (mix(hashes) % U64(DIGITS)).astype(np.int32)).astype(np.int32)
-        if not len(self.hashes):
-            return rare
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.codes[at], rare)
+        out = np.full(len(hashes), -1, dtype=np.int32)
+        if len(self.hashes):
+            at, last = self.begins.take((hashes >> U64(64 - self.BITS)).view(np.int64)), len(self.hashes) - 1
+            for _ in range(self.most):
+                held = np.minimum(at, last)
+                np.copyto(out, self.codes.take(held), where=self.hashes.take(held) == hashes)
+                at += 1
+        rare = np.flatnonzero(out < 0)
+        out[rare] = COMMON + (mix(hashes[rare]) % U64(DIGITS)).astype(np.int32)
+        return out
 
 
 def _pools(coder):
@@ -129,83 +170,207 @@ class Network:
         self.w = {name: self.flat[a:b].reshape(s) for (name, s), a, b in zip(SHAPES.items(), cuts, cuts[1:])}
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = np.repeat(self.w["bias"][None], around.shape[1], axis=0)
-        for k in range(len(SIDES)):
-            total += self.w["word"][around[k]] * self.w["side"][k]
-        return np.tanh(total)
+        vectors = self.w["word"].take(around, axis=0)
+        total = np.einsum("knd,kd->nd", vectors, self.w["side"])
+        total += self.w["bias"]
+        return np.tanh(total, out=total)
 
     def log_probabilities(self, codes: np.ndarray, around: np.ndarray) -> np.ndarray:
-        first, second = np.divmod(codes, DIGITS)
+        first, second = codes // DIGITS, codes % DIGITS
         h = self.hidden(around)
-        given = np.tanh(h + self.w["given"][first])
-        return _log_softmax(h @ self.w["first"] + self.w["first_bias"], first) + _log_softmax(
-            given @ self.w["second"] + self.w["second_bias"][first], second
-        )
+        given = self.w["given"].take(first, axis=0)
+        given += h
+        x = h @ self.w["first"]
+        x += self.w["first_bias"]
+        y = np.tanh(given, out=given) @ self.w["second"]
+        y += self.w["second_bias"].take(first, axis=0)
+        return _log_softmax(x, first) + _log_softmax(y, second)
 
     def train(self, codes: np.ndarray, around: np.ndarray, squares: np.ndarray) -> None:
         """One step of Adagrad on a batch."""
-        self.step(codes, around, Network(squares).w)
+        Training(self, squares).steps(codes, around, len(codes))
+
+
+class Batches:
+    """Batches of ``size`` examples, with all that can be told of them before any step: places of the targets in arrays of
+    probabilities, and which words stand around: those at one place, and the others place by place, sorted."""
+
+    def __init__(self, codes: np.ndarray, around: np.ndarray, size: int):
+        self.size, self.number = size, len(codes) // size
+        codes = codes.astype(np.int64)
+        self.first = codes // DIGITS
+        row = np.arange(len(codes)) % size * DIGITS
+        self.first_at, self.second_at = row + self.first, row + codes % DIGITS
+        places = len(SIDES) * size
+        near = around.astype(np.uint16).reshape(len(SIDES), self.number, size).transpose(1, 0, 2).reshape(self.number, places)
+        self.near = near.astype(np.int64)
+        order = np.argsort(near, axis=1, kind="stable")
+        words = near.ravel().take(order + np.arange(self.number)[:, None] * places)
+        fresh = np.ones((self.number, places + 1), dtype=bool)
+        np.not_equal(words[:, 1:], words[:, :-1], out=fresh[:, 1:-1])
+        once = fresh[:, :-1] & fresh[:, 1:]
+        begins = fresh[:, :-1] & ~once
+        words, order = words.ravel(), order.ravel()
+        at = np.flatnonzero(~once)
+        self.many, self.many_ends = order[at], np.cumsum(places - once.sum(axis=1))
+        starts = begins.ravel()[at]
+        self.own_many, self.many_ends_own = words[at[starts]].astype(np.int64), np.cumsum(begins.sum(axis=1))
+        self.begins = np.flatnonzero(starts)
+        at = np.flatnonzero(once)
+        self.once, self.own_once, self.once_ends = order[at], words[at].astype(np.int64), np.cumsum(once.sum(axis=1))
+
+    def __iter__(self):
+        """Per batch: first digits, places of both digits, words around, places of words at several, where each begins
+        among these, places of the others, and the words: first those at several places."""
+        many = own = once = 0
+        for k in range(self.number):
+            low, high = k * self.size, (k + 1) * self.size
+            many_end, own_end, once_end = int(self.many_ends[k]), int(self.many_ends_own[k]), int(self.once_ends[k])
+            yield (
+                self.first[low:high], self.first_at[low:high], self.second_at[low:high], self.near[k],
+                self.many[many:many_end], self.begins[own:own_end] - many, self.once[once:once_end],
+                np.concatenate([self.own_many[own:own_end], self.own_once[once:once_end]]),
+            )
+            many, own, once = many_end, own_end, once_end
+
+
+class Training:
+    """Adagrad on a network, with sums of squares of the slopes that are kept from batch to batch.
+
+    Vectors of words are taken and put as one item each, all other weights are updated as one array.
+    """
 
-    def step(self, codes: np.ndarray, around: np.ndarray, sums: dict[str, np.ndarray]) -> None:
-        """The same, with the sums of squares seen by name."""
-        first, second = codes // DIGITS, codes % DIGITS
-        w, rows = self.w, np.arange(len(codes))
-        vectors = w["word"].take(around, axis=0)
-        h = np.tanh(np.einsum("knd,kd->nd", vectors, w["side"]) + w["bias"])
-        p = _softmax(h @ w["first"] + w["first_bias"])
-        p[rows, first] -= 1
-        given = np.tanh(h + w["given"].take(first, axis=0))
-        q = _softmax(given @ w["second"] + w["second_bias"].take(first, axis=0))
-        q[rows, second] -= 1
-        back = (q @ w["second"].T) * (1 - given * given)
-        back_h = (p @ w["first"].T + back) * (1 - h * h)
-        chosen = np.zeros((len(codes), DIGITS), dtype=np.float32)
-        chosen[rows, first] = 1
-        slopes = {
-            "first": h.T @ p, "first_bias": p.sum(axis=0), "second": given.T @ q, "bias": back_h.sum(axis=0),
-            "given": chosen.T @ back, "second_bias": chosen.T @ q, "side": np.einsum("nd,knd->kd", back_h, vectors),
-        }
+    ITEM = f"V{4 * WIDTH}"
+
+    def __init__(self, network: Network, squares: np.ndarray):
+        self.network, self.cut = network, (CODES + 1) * WIDTH
+        self.words, self.word_squares = network.flat[: self.cut].view(self.ITEM), squares[: self.cut].view(self.ITEM)
+        self.rest, self.rest_squares = network.flat[self.cut :], squares[self.cut :]
+        self.slopes = Network(np.zeros_like(network.flat))
+
+    def steps(self, codes: np.ndarray, around: np.ndarray, size: int = BATCH) -> None:
+        """One step for each ``size`` examples, and one for the rest."""
+        whole = len(codes) // size * size
+        for low, high, n in ((0, whole, size), (whole, len(codes), len(codes) - whole)):
+            if high > low:
+                work = Work(n)
+                for batch in Batches(codes[low:high], around[:, low:high], n):
+                    self.step(work, *batch)
+
+    def step(self, work, first, first_at, second_at, near, many, begins, once, own) -> None:
+        w, s, n = self.network.w, self.slopes.w, len(first)
+        p, q = work.p_and_q
+        vectors = self.words.take(near).view(np.float32).reshape(len(SIDES), n, WIDTH)
+        h, given = work.h_and_given
+        np.einsum("knd,kd->nd", vectors, w["side"], out=h)
+        h += w["bias"]
+        np.tanh(h, out=h)
+        np.matmul(h, w["first"], out=p)
+        p += w["first_bias"]
+        w["given"].take(first, axis=0, out=given, mode="clip")
+        given += h
+        np.tanh(given, out=given)
+        np.matmul(given, w["second"], out=q)
+        q += w["second_bias"].take(first, axis=0, out=work.chosen, mode="clip")
+        _softmax(work.p_and_q)
+        p.reshape(-1)[first_at] -= 1
+        q.reshape(-1)[second_at] -= 1
+        work.turned[0], work.turned[1] = w["first"].T, w["second"].T
+        back_h, back = np.matmul(work.p_and_q, work.turned, out=work.back)
+        slope = np.multiply(work.h_and_given, work.h_and_given, out=work.slope)
+        np.subtract(1, slope, out=slope)
+        back *= slope[1]
+        back_h += back
+        back_h *= slope[0]
+        work.chosen.fill(0)
+        work.chosen.reshape(-1)[first_at] = 1
+        np.matmul(h.T, p, out=s["first"])
+        np.matmul(work.ones, p, out=s["first_bias"])
+        np.matmul(given.T, q, out=s["second"])
+        np.matmul(work.ones, back_h, out=s["bias"])
+        np.matmul(work.chosen.T, back, out=s["given"])
+        np.matmul(work.chosen.T, q, out=s["second_bias"])
+        np.einsum("nd,knd->kd", back_h, vectors, out=s["side"])
         # Only vectors of words that stand around have a slope.
-        words = around.ravel()
-        order = np.argsort(words.astype(np.uint16), kind="stable")
-        words = words[order]
-        begins = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-        each = (back_h[None] * w["side"][:, None]).reshape(-1, WIDTH).take(order, axis=0)
-        own, s = words[begins], np.add.reduceat(each, begins)
-        grown = sums["word"].take(own, axis=0) + s * s
-        sums["word"][own] = grown
-        w["word"][own] -= RATE * s / (np.sqrt(grown) + 1e-6)
-        for name, s in slopes.items():
-            sums[name] += s * s
-            w[name] -= RATE * s / (np.sqrt(sums[name]) + 1e-6)
+        each = np.multiply(back_h, w["side"][:, None], out=work.each).reshape(-1).view(self.ITEM)
+        sums = work.sums[: len(own)]
+        if len(begins):
+            # Pairs of numbers are added as complex ones, which takes half the calls.
+            pairs = each.take(many).view(np.complex64).reshape(-1, WIDTH // 2)
+            np.add.reduceat(pairs, begins, out=sums[: len(begins)].view(np.complex64))
+        sums[len(begins) :].reshape(-1).view(self.ITEM)[:] = each.take(once)
+        word, squares = self.words.take(own), self.word_squares.take(own)
+        _adagrad(word.view(np.float32), sums.reshape(-1), squares.view(np.float32), work.square[: sums.size])
+        self.words[own], self.word_squares[own] = word, squares
+        slopes = self.slopes.flat[self.cut :]
+        _adagrad(self.rest, slopes, self.rest_squares, work.rest)
+
+
+class Work:
+    """Arrays for steps of ``n`` examples."""
+
+    def __init__(self, n: int):
+        def array(*shape):
+            return np.empty(shape, np.float32)
+
+        places = len(SIDES) * n
+        self.p_and_q, self.chosen, self.ones = array(2, n, DIGITS), array(n, DIGITS), np.ones(n, np.float32)
+        self.h_and_given, self.back, self.slope = (array(2, n, WIDTH) for _ in range(3))
+        self.turned = array(2, DIGITS, WIDTH)
+        self.each, self.sums, self.square = array(len(SIDES), n, WIDTH), array(places, WIDTH), array(places * WIDTH)
+        self.rest = array(sum(int(np.prod(shape)) for name, shape in SHAPES.items() if name != "word"))
+
+
+def _adagrad(weights: np.ndarray, slopes: np.ndarray, squares: np.ndarray, work: np.ndarray) -> None:
+    """A step down the slopes, in place."""
+    squares += np.multiply(slopes, slopes, out=work)
+    np.sqrt(squares, out=work)
+    work += np.float32(1e-6)
+    np.divide(slopes, work, out=work)
+    work *= np.float32(RATE)
+    weights -= work
+
+
+#: Between these numbers no exp of 32 bits, nor a sum of DIGITS ones, overflows or vanishes.
+LEAST, MOST = -80, 80
+ONES = np.ones(DIGITS, np.float32)
+
+
+def _safe(x: np.ndarray) -> np.ndarray | None:
+    """What is to be taken off the rows of ``x`` before exp; None if nothing needs to be."""
+    return None if x.min() > LEAST and x.max() < MOST else x.max(axis=-1, keepdims=True)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(axis=1, keepdims=True)
+    """Over the last axis, in place."""
+    off = _safe(x)
+    if off is not None:
+        x -= off
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x *= np.reciprocal(x @ ONES)[..., None]
     return x
 
 
 def _log_softmax(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x[np.arange(len(x)), chosen] - np.log(np.exp(x).sum(axis=1))
+    """Of the chosen of each row; ``x`` is overwritten."""
+    off = _safe(x)
+    if off is not None:
+        x -= off
+    said = x.reshape(-1).take(np.arange(len(x)) * DIGITS + chosen)
+    return said - np.log(np.exp(x, out=x) @ ONES)
 
 
 def _trained(start, coder):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, random = Network(start.value.copy()), 0, np.random.default_rng(7)
-        squares = Network(np.full_like(own.flat, 1e-2)).w
+        training = Training(own, np.full_like(own.flat, 1e-2))
         for batch in batches:
             for part in runs(batch):
                 hashes, row = word_hashes(*flat(part.column("text")))
                 codes = coder.value(hashes)
                 around = contexts(codes, row)
                 order = random.permutation(len(codes))
-                for low in range(0, len(codes), BATCH):
-                    some = order[low : low + BATCH]
-                    own.step(codes[some], around[:, some], squares)
+                training.steps(codes[order], around.take(order, axis=1))
                 seen += len(codes)
         if seen:
             pieces = np.array_split(own.flat, PIECES)
@@ -294,24 +459,23 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
         next_row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in runs(batch, run_bytes=RUN_BYTES):
-                data, offsets = flat(part.column("text"))
-                hashes, row = word_hashes(data, offsets)
+                data, hashes, row, starts, ends = words_of(*flat(part.column("text")))
                 said = np.full(len(hashes), -np.log(CODES))
                 ids = next_row + np.arange(part.num_rows)
                 next_row += part.num_rows
                 if own is not None and len(hashes):
                     codes = coder(hashes)
                     around = contexts(codes, row)
-                    for low in range(0, len(codes), 8192):
-                        some = slice(low, low + 8192)
+                    for low in range(0, len(codes), SCORED):
+                        some = slice(low, low + SCORED)
                         said[some] = own.log_probabilities(codes[some], around[:, some])
                     pooled = np.flatnonzero(codes >= COMMON)
                     pooled = pooled[np.lexsort((hashes[pooled], row[pooled]))]
                     new = np.flatnonzero((np.diff(hashes[pooled], prepend=U64(0)) != 0) | (np.diff(row[pooled], prepend=-1) != 0))
                     times = np.diff(np.append(new, len(pooled)))
                     at = pooled[new]
-                    starts, ends, _ = word_spans(data, offsets)
-                    letters = np.concatenate([[0.0], np.cumsum(spelling[lowered(data)])])
+                    letters = np.zeros(len(data) + 1)
+                    np.cumsum(spelling.take(data), out=letters[1:])
                     spelled = letters[ends[at]] - letters[starts[at]] + spelling[256] + unseen[codes[at] - COMMON]
                     none = pa.nulls(len(at), pa.int64())
                     yield pa.RecordBatch.from_arrays(
