@@ -31,7 +31,11 @@ WIDTH = 24
 #: Words that one partition trains on, at least and at about; and rounds of averaging, each over all words.
 PART_EXAMPLES, ROUNDS = 1 << 16, 2
 BATCH, RATE = 256, 0.15
+#: Batches that are laid out at a time.
+GROUP = 16
 RUN_BYTES = 1 << 20
+#: Words whose shares of a code every task is given, at most; those of all others are joined.
+FREQUENT = 1 << 18
 #: Words scored at a time, whose arrays stay in the processor's cache.
 SCORED = 1 << 10
 SHAPES = {
@@ -134,19 +138,43 @@ def _pools(coder):
     return run
 
 
+def _share(coder: Coder, pools: np.ndarray, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some counted words have a shared code, and logarithms of their shares of it."""
+    codes = coder(words.view(np.uint64))
+    pooled = codes >= COMMON
+    return pooled, np.log(n[pooled]) - np.log(pools.sum(axis=0)[codes[pooled] - COMMON])
+
+
 def _shares(coder, pools: np.ndarray):
     """Logarithm of each counted word's share of its shared code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, n = coder.value(batch.column("word").to_numpy().view(np.uint64)), batch.column("n").to_numpy()
-            pooled = codes >= COMMON
-            share = np.log(n[pooled]) - np.log(pools.sum(axis=0)[codes[pooled] - COMMON])
+            pooled, share = _share(coder.value, pools, batch.column("word").to_numpy(), batch.column("n").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("word").filter(pa.array(pooled)), pa.array(share)], ["word", "share"])
 
     return run
 
 
+def _frequent(counts: DataFrame, coder: Coder, pools: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the commonest words of shared codes, FREQUENT at most, and logarithms of their shares."""
+    size = F.floor(F.log2("n") * 8)
+    least, total = None, 0
+    for row in counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).orderBy(F.desc("size")).collect():
+        total += row.words
+        if total > FREQUENT:
+            break
+        least = row.size
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    held = counts.where(size >= least).toArrow()
+    words = held.column("word").to_numpy()
+    pooled, share = _share(coder, pools, words, held.column("n").to_numpy())
+    words = words[pooled].view(np.uint64)
+    order = np.argsort(words)
+    return words[order], share[order]
+
+
 def contexts(codes: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Codes of the words at SIDES of each word; beyond its text the code for no word."""
     out = np.full((len(SIDES), len(codes)), CODES, dtype=np.int32)
@@ -246,16 +274,17 @@ class Training:
         self.network, self.cut = network, (CODES + 1) * WIDTH
         self.words, self.word_squares = network.flat[: self.cut].view(self.ITEM), squares[: self.cut].view(self.ITEM)
         self.rest, self.rest_squares = network.flat[self.cut :], squares[self.cut :]
-        self.slopes = Network(np.zeros_like(network.flat))
+        self.slopes, self.work = Network(np.zeros_like(network.flat)), None
 
     def steps(self, codes: np.ndarray, around: np.ndarray, size: int = BATCH) -> None:
         """One step for each ``size`` examples, and one for the rest."""
-        whole = len(codes) // size * size
-        for low, high, n in ((0, whole, size), (whole, len(codes), len(codes) - whole)):
+        whole, some = len(codes) // size * size, GROUP * size
+        cuts = [(low, min(low + some, whole), size) for low in range(0, whole, some)] + [(whole, len(codes), len(codes) - whole)]
+        for low, high, n in cuts:
             if high > low:
-                work = Work(n)
+                self.work = self.work if self.work and self.work.n == n else Work(n)
                 for batch in Batches(codes[low:high], around[:, low:high], n):
-                    self.step(work, *batch)
+                    self.step(self.work, *batch)
 
     def step(self, work, first, first_at, second_at, near, many, begins, once, own) -> None:
         w, s, n = self.network.w, self.slopes.w, len(first)
@@ -313,7 +342,7 @@ class Work:
         def array(*shape):
             return np.empty(shape, np.float32)
 
-        places = len(SIDES) * n
+        self.n, places = n, len(SIDES) * n
         self.p_and_q, self.chosen, self.ones = array(2, n, DIGITS), array(n, DIGITS), np.ones(n, np.float32)
         self.h_and_given, self.back, self.slope = (array(2, n, WIDTH) for _ in range(3))
         self.turned = array(2, DIGITS, WIDTH)
@@ -399,6 +428,8 @@ class Model:
     counts: DataFrame
     pools: np.ndarray
     spelling: np.ndarray
+    #: Hashes and shares (as logarithms) of the commonest words of shared codes.
+    frequent: tuple[np.ndarray, np.ndarray]
 
     def unseen(self) -> np.ndarray:
         """Logarithm of what each shared code leaves to words that were never counted."""
@@ -436,7 +467,7 @@ def train(docs: DataFrame) -> Model | None:
             sums = sums.groupBy("piece", lot).applyInPandas(_summed, schema)
         rows = sorted(sums.collect(), key=lambda r: r.piece)
         network = Network(np.concatenate([np.frombuffer(r.weights, dtype=np.float32) / np.float32(r.n) for r in rows]).astype(np.float32))
-    return Model(coder, network, counts, pools, np.log(letters / letters.sum()))
+    return Model(coder, network, counts, pools, np.log(letters / letters.sum()), _frequent(counts, coder, pools))
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -447,14 +478,14 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     are kept one for one, also those without doc_id and repeated ones; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(
-        model and (model.coder, model.network.flat, model.unseen(), model.spelling)
+        model and (model.coder, model.network.flat, model.unseen(), model.spelling, model.frequent)
     )
     names = ["row", "doc_id", "n_words", "word", "times", "amount"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with n_words have the amount of all codes of a text; the others a word of a shared code, how often the text
-        holds it, and the amount for once if it was never counted."""
-        coder, weights, unseen, spelling = shared.value or (None, None, None, None)
+        """Rows with n_words have the amount of all codes of a text and of frequent words' shares; the others another word
+        of a shared code, how often the text holds it, and the amount for once if it was never counted."""
+        coder, weights, unseen, spelling, (frequent, share) = shared.value or (None, None, None, None, (None, None))
         own = Network(weights) if weights is not None else None
         next_row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -470,6 +501,12 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
                         some = slice(low, low + SCORED)
                         said[some] = own.log_probabilities(codes[some], around[:, some])
                     pooled = np.flatnonzero(codes >= COMMON)
+                    if len(frequent):
+                        of_pooled = hashes[pooled]
+                        at = np.minimum(np.searchsorted(frequent, of_pooled), len(frequent) - 1)
+                        known = frequent.take(at) == of_pooled
+                        said[pooled[known]] += share.take(at[known])
+                        pooled = pooled[~known]
                     pooled = pooled[np.lexsort((hashes[pooled], row[pooled]))]
                     new = np.flatnonzero((np.diff(hashes[pooled], prepend=U64(0)) != 0) | (np.diff(row[pooled], prepend=-1) != 0))
                     times = np.diff(np.append(new, len(pooled)))

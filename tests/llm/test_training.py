@@ -1,0 +1,109 @@
+"""Training and scoring of op8 against plain versions of the same steps."""
+
+import re
+from dataclasses import replace
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import cases
+from tallyframe.llm import lm_scoring
+from tallyframe.llm.batches import lowered, word_spans
+
+
+def plain_step(w, squares, codes, around):
+    """Adagrad on one batch, with every slope whole and in 64 bits."""
+
+    def softmax(x):
+        e = np.exp(x - x.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    first, second = np.divmod(codes, lm_scoring.DIGITS)
+    rows = np.arange(len(codes))
+    vectors = w["word"][around]
+    h = np.tanh((vectors * w["side"][:, None]).sum(axis=0) + w["bias"])
+    p = softmax(h @ w["first"] + w["first_bias"])
+    p[rows, first] -= 1
+    given = np.tanh(h + w["given"][first])
+    q = softmax(given @ w["second"] + w["second_bias"][first])
+    q[rows, second] -= 1
+    back = (q @ w["second"].T) * (1 - given**2)
+    back_h = (p @ w["first"].T + back) * (1 - h**2)
+    slopes = {name: np.zeros(shape) for name, shape in lm_scoring.SHAPES.items()}
+    slopes |= {"first": h.T @ p, "first_bias": p.sum(axis=0), "second": given.T @ q, "bias": back_h.sum(axis=0)}
+    slopes["side"] = (back_h * vectors).sum(axis=1)
+    np.add.at(slopes["given"], first, back)
+    np.add.at(slopes["second_bias"], first, q)
+    np.add.at(slopes["word"], around, back_h * w["side"][:, None])
+    for name, s in slopes.items():
+        squares[name] += s * s
+        w[name] -= lm_scoring.RATE * s / (np.sqrt(squares[name]) + 1e-6)
+
+
+@pytest.mark.parametrize("kinds", [3, 40, lm_scoring.CODES])
+def test_steps_equal_plain_adagrad(kinds):
+    random = np.random.default_rng(4)
+    codes, around = random.integers(0, kinds, 300), random.integers(0, kinds + 1, (4, 300))
+    around[0, :50] = np.arange(50) + 1000  # some words at one place alone
+    network = lm_scoring.Network()
+    w = {name: x.astype(np.float64) for name, x in lm_scoring.Network().w.items()}
+    squares = {name: np.full(shape, 1e-2) for name, shape in lm_scoring.SHAPES.items()}
+    training = lm_scoring.Training(network, np.full_like(network.flat, 1e-2))
+    for _ in range(3):
+        training.steps(codes, around, 128)
+        for low in (0, 128, 256):
+            plain_step(w, squares, codes[low : low + 128], around[:, low : low + 128])
+    for name in w:
+        assert network.w[name] == pytest.approx(w[name], abs=1e-4), name
+
+
+@pytest.mark.parametrize("size", [1, 79, 200, 3000])
+def test_softmax_of_large_numbers(size):
+    x = np.random.default_rng(3).normal(0, 1, (20, lm_scoring.DIGITS)).astype(np.float32)
+    x *= size / np.abs(x).max()
+    e = np.exp(x.astype(np.float64) - x.max(axis=1, keepdims=True))
+    p = e / e.sum(axis=1, keepdims=True)
+    assert lm_scoring._softmax(x.copy()) == pytest.approx(p, abs=1e-5)
+    chosen = x.argmax(axis=1)
+    assert lm_scoring._log_softmax(x.copy(), chosen) == pytest.approx(np.log(p[np.arange(20), chosen]), abs=1e-3)
+
+
+def test_words_of_one_task_are_counted_together(monkeypatch):
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]) for texts in (["A b b", None], ["b c", " "], ["a"])]
+    rows = [r for b in lm_scoring._count_words(iter(batches)) for r in b.to_pylist() if r["word"] is not None]
+    assert sorted(r["n"] for r in rows) == [1, 2, 3]
+    monkeypatch.setattr(lm_scoring, "HELD_WORDS", 1)
+    rows = [r for b in lm_scoring._count_words(iter(batches)) for r in b.to_pylist() if r["word"] is not None]
+    assert sum(r["n"] for r in rows) == 6 and len({r["word"] for r in rows}) == 3
+
+
+def test_shares_sent_to_tasks_score_as_joined_ones_and_stay_bounded(spark, monkeypatch):
+    common = [f"c{i}" for i in range(lm_scoring.COMMON)]
+    rare = " ".join([f"r{i}" for i in range(300)] * 2 + [f"s{i}" for i in range(200)])
+    docs = cases.documents(spark, [(1, " ".join(common * 3), "en"), (2, rare, "en"), (3, "r1 c1 s1 new r1", "en"), (None, "s1", "en")])
+    model = lm_scoring.train(docs)
+    assert len(model.frequent[0]) == 501
+    nothing = replace(model, frequent=(np.zeros(0, np.uint64), np.zeros(0)))
+    # All words "s..." but one and "new" are counted once, those of "r..." at least twice.
+    monkeypatch.setattr(lm_scoring, "FREQUENT", lm_scoring.COMMON + 350)
+    some = replace(model, frequent=lm_scoring._frequent(model.counts, model.coder, model.pools))
+    assert len(some.frequent[0]) == 301
+    scored = [
+        {r.doc_id: (r.n_words, r.log_likelihood) for r in lm_scoring.score_documents(docs, m).collect()} for m in (model, nothing, some)
+    ]
+    for said in scored[1:]:
+        assert said.keys() == scored[0].keys() == {1, 2, 3, None}
+        for key, (n, likelihood) in said.items():
+            assert n == scored[0][key][0] and likelihood == pytest.approx(scored[0][key][1], rel=1e-9)
+
+
+def test_words_and_their_rows_as_a_regular_expression_finds_them():
+    random = np.random.default_rng(6)
+    letters = [b"a", b"Z", b"@", b"[", b" ", b"\t", b"\r", b"\x08", b"\x0e", b"\x00", "é".encode()]
+    for _ in range(300):
+        texts = [b"".join(random.choice(letters, random.integers(0, 12))) for _ in range(random.integers(0, 6))]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        found = [(m.start() + o, m.end() + o, i) for i, (t, o) in enumerate(zip(texts, offsets)) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        assert list(zip(*word_spans(data, offsets))) == found
+        assert lowered(data).tobytes() == b"".join(texts).lower()
